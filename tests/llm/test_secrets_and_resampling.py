@@ -1,0 +1,98 @@
+import hashlib
+import random
+
+import numpy as np
+import regex as re
+from pyspark.sql import functions as F
+
+from holdfast.llm import importance_resampling as ir
+from holdfast.llm import secret_scan as ss
+from tests.llm.helpers import ODD, docs_frame, prose
+
+
+def key(seed, n=40, alphabet="0123456789abcdef"):
+    r = random.Random(seed)
+    return "".join(r.choice(alphabet) for _ in range(n))
+
+
+AB = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+SECRETS = [f'{prose(i, 60)} token = "{key(i)}" {prose(i + 50, 40)}' for i in range(20)]
+SECRETS += [f"{prose(i, 60)} api_key: {key(i, 36, AB)} {prose(i + 50, 40)}" for i in range(20, 30)]
+PLAIN = [f"{prose(i, 60)} commit {key(i)} {prose(i + 50, 40)}" for i in range(30, 40)]
+PLAIN += [f"{prose(i, 60)} thanbleshaningtionnted see http://www.example.org/a/long-title-of-an-article-here.html {prose(i, 9)}" for i in range(40, 50)]
+
+
+def test_findings_and_redaction(spark):
+    texts = [*SECRETS, *PLAIN, *ODD, SECRETS[0]]
+    docs = docs_frame(spark, texts)
+    docs = docs.unionByName(docs.filter("doc_id = 1"))
+    got = ss.scan(docs).collect()
+    for r in got:
+        t = texts[r["doc_id"]]
+        assert hashlib.sha256(t[r["start"] : r["start"] + r["n_chars"]].encode()).hexdigest() == r["value_sha256"]
+    for i, t in enumerate(texts):
+        assert sum(r["doc_id"] == i for r in got) == len(re.findall(ss.CANDIDATE, t or "")) * (2 if i == 1 else 1), i
+    hit = {r["doc_id"] for r in got if r["is_secret"]}
+    assert hit >= set(range(30)) and not hit & set(range(30, 50))
+    out = ss.redact(docs)
+    assert out.columns == docs.columns and out.count() == len(texts) + 1
+    for r in out.collect():
+        t = texts[r["doc_id"]]
+        if r["doc_id"] in hit:
+            assert ss.MASK in r["text"] and r["n_chars"] == len(r["text"])
+            assert r["text"].split(ss.MASK)[0] in t and r["text"].split(ss.MASK)[-1] in t and len(r["text"]) < len(t)
+        else:
+            assert r["text"] == t
+    assert ss.scan(docs.limit(0)).count() == 0 and ss.redact(docs.limit(0)).count() == 0
+
+
+def test_forest_on_held_out_findings(spark):
+    words = spark.createDataFrame([(w,) for w in "the tion ing ment keit ung ver ein que eux ado cion para heit and ther ous able inter over".split() if len(w) > 2], "word string")
+    rows = ss.labelled_findings(spark, 3000).withColumn("fold", F.pmod(F.xxhash64("value"), F.lit(4)))
+    model = ss.forest(rows.filter("fold > 0").drop("fold"), words)
+    from pyspark.ml.feature import VectorAssembler
+
+    held = VectorAssembler(inputCols=ss.FEATURES, outputCol="f_all").transform(ss.features(rows.filter("fold = 0"), words))
+    right = model.transform(held).agg(F.avg((F.col("prediction") == F.col("label")).cast("double"))).first()[0]
+    assert right > 0.95
+
+
+def test_weights_and_top_k_equal_brute_force(spark):
+    texts = [prose(i, 80) for i in range(60)] + ["### @@ " * 20 + prose(i, 5) for i in range(15)] + ODD
+    docs = docs_frame(spark, texts)
+    docs = docs.unionByName(docs.filter("doc_id = 3"))
+    labels = spark.createDataFrame([(i, 1 if i < 60 else 0, 0) for i in range(0, 75, 2)] + [(0, 1, 0), (None, 1, 0), (2, None, 0), (9999, 1, 1)], "doc_id bigint, quality int, toxic int")
+    got = ir.resample(docs, labels, keep=0.7).collect()
+    assert len(got) == len(texts) + 1
+    rows = [*texts, texts[3]]
+    count = lambda ts: sum((np.bincount(ir.buckets_of(t), minlength=ir.BUCKETS) for t in ts), np.zeros(ir.BUCKETS))
+    log = lambda c: np.log((c + 1) / (c.sum() + ir.BUCKETS))
+    ratio = log(count([t for i, t in enumerate(texts) if i < 60 and i % 2 == 0])) - log(count(rows))
+    for r in got:
+        assert abs(r["log_weight"] - ratio[ir.buckets_of(texts[r["doc_id"]])].sum()) < 1e-6
+    order = sorted((r["value"] for r in got), reverse=True)
+    least = order[int(np.ceil(0.7 * len(got))) - 1]
+    assert all(r["kept"] == (r["value"] >= least) for r in got)
+    assert sum(r["kept"] for r in got if r["doc_id"] < 60) >= 57 and not any(r["kept"] for r in got if 60 <= r["doc_id"] < 75)
+    same = {r["value"] for r in got if r["doc_id"] == 3}
+    assert len(same) == 1
+    assert ir.resample(docs.limit(0), labels).count() == 0
+    assert ir.resample(docs, labels.limit(0)).filter("log_weight = 0").count() == len(rows)
+
+
+def test_kth_largest(spark):
+    r = random.Random(2)
+    vals = [r.randrange(-(2**63), 2**63) for _ in range(300)] + [0, 0, 0, -1, 1, 2**63 - 1, -(2**63)]
+    df = spark.createDataFrame([(v,) for v in vals], "place bigint")
+    for k in (1, 2, 100, len(vals)):
+        assert ir.kth_largest(df, k) == sorted(vals, reverse=True)[k - 1]
+
+
+def test_gumbel_noise_follows_weights(spark):
+    """Two kinds of documents whose weights differ by log 3: of single draws about 3 of 4 go to the heavier."""
+    docs = spark.range(4000).selectExpr("id AS doc_id", "CASE WHEN id % 2 = 0 THEN 'aa' ELSE 'bb' END AS text")
+    ratio = np.zeros(ir.BUCKETS)
+    ratio[ir.buckets_of("aa")] = np.log(3)
+    v = [r["value"] for r in ir.weighed(docs, ratio).orderBy("doc_id").collect()]
+    wins = np.mean([v[i] > v[i + 1] for i in range(0, 4000, 2)])
+    assert abs(wins - 0.75) < 0.04
