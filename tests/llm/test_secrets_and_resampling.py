@@ -62,7 +62,7 @@ def test_weights_and_top_k_equal_brute_force(spark):
     docs = docs_frame(spark, texts)
     docs = docs.unionByName(docs.filter("doc_id = 3"))
     labels = spark.createDataFrame([(i, 1 if i < 60 else 0, 0) for i in range(0, 75, 2)] + [(0, 1, 0), (None, 1, 0), (2, None, 0), (9999, 1, 1)], "doc_id bigint, quality int, toxic int")
-    got = ir.resample(docs, labels, keep=0.7).collect()
+    got = ir.resample(docs, labels, keep=0.8).collect()
     assert len(got) == len(texts) + 1
     rows = [*texts, texts[3]]
     count = lambda ts: sum((np.bincount(ir.buckets_of(t), minlength=ir.BUCKETS) for t in ts), np.zeros(ir.BUCKETS))
@@ -71,7 +71,7 @@ def test_weights_and_top_k_equal_brute_force(spark):
     for r in got:
         assert abs(r["log_weight"] - ratio[ir.buckets_of(texts[r["doc_id"]])].sum()) < 1e-6
     order = sorted((r["value"] for r in got), reverse=True)
-    least = order[int(np.ceil(0.7 * len(got))) - 1]
+    least = order[int(np.ceil(0.8 * len(got))) - 1]
     assert all(r["kept"] == (r["value"] >= least) for r in got)
     assert sum(r["kept"] for r in got if r["doc_id"] < 60) >= 57 and not any(r["kept"] for r in got if 60 <= r["doc_id"] < 75)
     same = {r["value"] for r in got if r["doc_id"] == 3}
