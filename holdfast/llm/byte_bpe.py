@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 SEGMENT = 200_000
-CACHE_WORDS = 400_000
+CACHE_WORDS = 600_000
 LONG_BYTES = 256
 
 #: Rows (word, tokens); positions are unnested, joined with the merge table,
@@ -50,8 +50,7 @@ WITH RECURSIVE state AS (
 ),
 done AS (SELECT w, arg_max(toks, turn) AS toks FROM state GROUP BY w),
 tokens AS (SELECT w, unnest(toks) AS tok, generate_subscripts(toks, 1) AS pos FROM done)
-SELECT w, string_agg(tok::VARCHAR, ' ' ORDER BY pos) AS ids, count(*) AS n,
-       string_agg(v.hex, '' ORDER BY pos) AS decoded
+SELECT w, string_agg(tok::VARCHAR, ' ' ORDER BY pos) AS ids, string_agg(v.hex, '' ORDER BY pos) AS decoded
 FROM tokens JOIN vocab v USING (tok) GROUP BY w
 """
 
@@ -77,7 +76,9 @@ class WordCoder:
         self._load("merges", pair=pa.array([x for x, _ in merges], pa.int64()), rank=pa.array([x for _, x in merges], pa.int32()))
         self._load("vocab", tok=pa.array(ranks.values(), pa.int32()), hex=pa.array([t.hex() for t in ranks]))
         self.single = [ranks[bytes([i])] for i in range(256)]
-        self.known: dict[str, tuple[bytes, int, bytes | None]] = {}
+        #: word -> its ids, joined by spaces; and its decoded bytes where they are other than the word's
+        self.ids: dict[str, bytes] = {}
+        self.odd: dict[str, bytes] = {}
 
     def _load(self, table: str, **columns) -> None:
         self.db.register("loaded", pa.table(columns))
@@ -106,25 +107,27 @@ class WordCoder:
         return [self.ranks[p] for p in parts if p is not None]
 
     def learn(self, new: set[str]) -> None:
-        """Adds (ids, number, decoded bytes if other than the word's) of the words."""
+        """Encodes the words and decodes what came out."""
         coded = [(w, w.encode()) for w in new]
         short = [(w, b) for w, b in coded if len(b) <= LONG_BYTES]
         for w, b in coded:
             if len(b) > LONG_BYTES:
                 ids = self._by_heap(b)
-                back = {v: k for k, v in self.ranks.items()} if ids else {}
-                decoded = b"".join(back[i] for i in ids)
-                self.known[w] = (" ".join(map(str, ids)).encode(), len(ids), None if decoded == b else decoded)
+                back = {v: k for k, v in self.ranks.items()}
+                self._keep(w, b, " ".join(map(str, ids)), b"".join(back[i] for i in ids))
         if not short:
             return
         toks = pa.array([[self.single[x] for x in b] for _, b in short], pa.list_(pa.int32()))
         self.db.register("start", pa.table({"w": pa.array(range(len(short)), pa.int32()), "toks": toks}))
         done = self.db.execute(ENCODE).fetchall()
         self.db.unregister("start")
-        for i, ids, n, hexed in done:
-            w, b = short[i]
-            decoded = bytes.fromhex(hexed)
-            self.known[w] = (ids.encode(), n, None if decoded == b else decoded)
+        for i, ids, hexed in done:
+            self._keep(*short[i], ids, bytes.fromhex(hexed))
+
+    def _keep(self, word: str, coded: bytes, ids: str, decoded: bytes) -> None:
+        self.ids[word] = ids.encode()
+        if decoded != coded:
+            self.odd[word] = decoded
 
 
 _CODERS: dict[str, WordCoder] = {}
@@ -136,26 +139,40 @@ def coder(name: str) -> WordCoder:
     return _CODERS[name]
 
 
+def _parts(texts: list[str | None], pattern) -> Iterator[list[tuple[int, list[str]]]]:
+    """Blocks of (number of the text, its matches or some of them) with about SEGMENT matches each."""
+    block, size = [], 0
+    for i, t in enumerate(texts):
+        if len(t or "") < SEGMENT:
+            own = [pattern.findall(t or "")]
+        else:
+            found = pattern.finditer(t)
+            own = iter(lambda found=found: [m[0] for m in itertools.islice(found, SEGMENT)], [])
+        for p in own:
+            block.append((i, p))
+            size += len(p)
+            if size >= SEGMENT:
+                yield block
+                block, size = [], 0
+    yield block
+
+
 def _digests(texts: list[str | None], name: str, pattern) -> Iterator[tuple[int, str, str]]:
     c = coder(name)
-    pieces = itertools.chain.from_iterable(((i, p) for p in pattern.findall(t)) if len(t) < 10 * SEGMENT else ((i, m[0]) for m in pattern.finditer(t)) for i, t in enumerate(x or "" for x in texts))
     state = [[0, hashlib.sha256(), hashlib.sha256()] for _ in texts]
-    while block := list(itertools.islice(pieces, SEGMENT)):
-        need = {p for _, p in block}
-        if len(c.known) + len(need) > CACHE_WORDS:
-            c.known.clear()
-        if new := need.difference(c.known):
+    for block in _parts(texts, pattern):
+        need = set().union(*[own for _, own in block])
+        if len(c.ids) + len(need) > CACHE_WORDS:
+            c.ids.clear()
+            c.odd.clear()
+        if new := need.difference(c.ids):
             c.learn(new)
-        known = c.known
-        for i, group in itertools.groupby(block, lambda x: x[0]):
-            s, own = state[i], [p for _, p in group]
-            got = [known[p] for p in own]
-            s[1].update(b" " * bool(s[0]) + b" ".join([g[0] for g in got]))
-            s[0] += sum([g[1] for g in got])
-            if any([g[2] is not None for g in got]):
-                s[2].update(b"".join([p.encode() if g[2] is None else g[2] for p, g in zip(own, got)]))
-            else:
-                s[2].update("".join(own).encode())
+        for i, own in block:
+            if own:
+                s, ids = state[i], b" ".join(map(c.ids.__getitem__, own))
+                s[1].update(b" " + ids if s[0] else ids)
+                s[0] += ids.count(b" ") + 1
+                s[2].update(b"".join([c.odd.get(p) or p.encode() for p in own]) if c.odd else "".join(own).encode())
     for n, a, b in state:
         yield n, a.hexdigest(), b.hexdigest()
 
@@ -195,7 +212,7 @@ def encode_ids(texts: list[str], ranks: str = "byte_bpe_50k.tiktoken", pattern:
     out = []
     for t in texts:
         own = cut.findall(t or "")
-        if new := set(own).difference(c.known):
+        if new := set(own).difference(c.ids):
             c.learn(new)
-        out.append([int(i) for p in own for i in c.known[p][0].split()])
+        out.append([int(i) for p in own for i in c.ids[p].split()])
     return out
