@@ -1,31 +1,40 @@
-"""Queries over the driver's tables and their SQL."""
+"""Registry of queries over the driver's tables, each with its SQL where SQL can express it."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-from pyspark.sql.window import Window
+
+_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+_SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    """Registers a function under its own name."""
+
+    def add(f):
+        _QUERIES[f.__name__] = f
+        if sql:
+            _SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def list_by_offset(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Members of each container with their offsets, in offset order."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "lang", "source", "n_chars")
-    before = Window.partitionBy("source").orderBy("doc_id").rowsBetween(Window.unboundedPreceding, -1)
-    return docs.select(
-        F.col("source").alias("container"),
-        F.concat("lang", F.lit("/"), "doc_id", F.lit(".txt")).alias("name"),
-        F.coalesce(F.sum("n_chars").over(before), F.lit(0)).cast("bigint").alias("member_offset"),
-        F.col("n_chars").alias("member_size"),
-    ).orderBy("container", "member_offset", "name")
+def _load() -> None:
+    from holdfast.plans import bytes_queries, join_queries, listing_queries  # noqa: F401
 
 
 def queries() -> dict:
-    return {"list_by_offset": list_by_offset}
+    _load()
+    return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {
-        "list_by_offset": """SELECT source AS container, lang || '/' || doc_id || '.txt' AS name,
- CAST(coalesce(sum(n_chars) OVER (PARTITION BY source ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS member_offset,
- n_chars AS member_size FROM documents ORDER BY 1, 3, 2"""
-    }
+    _load()
+    return dict(_SQL)
