@@ -10,6 +10,11 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+def reversed_hex(b: Column) -> Column:
+    """Hex digits of the bytes from the last to the first (reverse() itself works on characters)."""
+    return F.regexp_replace(F.reverse(F.hex(b)), "(.)(.)", "$2$1")
+
+
 def slice_of(b: Column, offset, size) -> Column:
     """size bytes at offset, null if there are fewer."""
     offset, size = (x if isinstance(x, Column) else F.lit(x) for x in (offset, size))
@@ -27,7 +32,7 @@ def unsigned_be(b: Column, offset, n: int) -> Column:
 
 
 def unsigned_le(b: Column, offset, n: int) -> Column:
-    return F.conv(F.hex(F.reverse(slice_of(b, offset, n))), 16, 10).cast("bigint" if n < 8 else "decimal(20,0)")
+    return F.conv(reversed_hex(slice_of(b, offset, n)), 16, 10).cast("bigint" if n < 8 else "decimal(20,0)")
 
 
 def _signed(x: Column, n: int) -> Column:
@@ -51,7 +56,7 @@ def pack_be(x: Column, n: int) -> Column:
 
 
 def pack_le(x: Column, n: int) -> Column:
-    return F.reverse(pack_be(x, n))
+    return F.unhex(reversed_hex(pack_be(x, n)))
 
 
 def byte_swap(x: Column, n: int) -> Column:

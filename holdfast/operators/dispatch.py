@@ -13,13 +13,13 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from holdfast import catalog
+from holdfast.functions import bytesfn
 from holdfast.operators import paths
 
 
 def signature(content: Column) -> Column:
     """First four bytes as an unsigned little-endian number; null if there are fewer."""
-    head = F.substring(content, 1, 4)
-    return F.when(F.octet_length(content) >= 4, F.conv(F.hex(F.reverse(head)), 16, 10).cast("bigint"))
+    return bytesfn.unsigned_le(content, 0, 4)
 
 
 def candidates(files: DataFrame, fmts: DataFrame, key: str = "path") -> DataFrame:
