@@ -129,7 +129,7 @@ def children_of_dir(spark, sf_dir):
     return paths.children(members(spark, sf_dir).select("name", F.col("doc_id").alias("ord")), "en")
 
 
-@query(f"""WITH m AS (SELECT name FROM ({MEMBERS})) SELECT name FROM m WHERE lower(name) = 'de/src0/0.txt' OR name = (SELECT min(name) FROM m)
+@query(f"""WITH m AS (SELECT name FROM ({MEMBERS})) SELECT name FROM m WHERE lower(name) = 'de/src0/0.txt' UNION ALL SELECT name FROM m WHERE name = (SELECT min(name) FROM m)
  UNION ALL SELECT name FROM m WHERE starts_with(lower(name), 'es/src3/') UNION ALL SELECT name FROM m WHERE starts_with(lower(name), 'es/')""")
 def expand_selection(spark, sf_dir):
     m = members(spark, sf_dir).select("name")
