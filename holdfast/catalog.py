@@ -79,6 +79,7 @@ register(
     Format("NSA", "archive", "Big-endian index archive", [0], ["nsa", "dat"], True, 0, True),
     Format("SAR", "archive", "Big-endian index archive without compression", [0], ["sar"], True, 0, True),
     Format("CPK", "archive", "Archive indexed by typed tables", [magic(b"CPK ")], ["cpk"], False, 0, True),
+    Format("RPA", "archive", "Archive with a pickled index", [magic(b"RPA-")], ["rpa"], True, 0, True),
     Format("WILL", "archive", "Archive grouped by extension", [0], ["arc"], True),
     Format("AFA", "archive", "Archive with a packed index", [magic(b"AFAH")], ["afa"], False, 0, True, ["QNT", "AJP", "OGG"]),
     Format("WAV", "audio", "Wave audio", [magic(b"RIFF")], ["wav"], True),
@@ -101,6 +102,15 @@ def aliases(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([(e.lower(), t, k) for e, t, k in ALIASES], "extension string, target string, type string")
 
 
+def schemes(spark: SparkSession, path: str, newer_than: int = -1) -> DataFrame:
+    """tag, params (JSON text) of a parameter table (Parquet: version, tag, params), if it is newer."""
+    return spark.read.parquet(path).filter(F.col("version") > newer_than).select("tag", "params")
+
+
+def writable(fmts: DataFrame) -> DataFrame:
+    return fmts.filter("can_write")
+
+
 def lookup_side(dim: DataFrame) -> DataFrame:
     """dim, marked for broadcast if it has at most BROADCAST_ROWS rows."""
     return F.broadcast(dim) if dim.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else dim

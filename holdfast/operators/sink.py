@@ -95,6 +95,18 @@ def build_xp3(members) -> bytes:
     return bytes(body) + b"\x01" + struct.pack("<QQ", len(small), len(index)) + small
 
 
+def build_rpa(members) -> bytes:
+    """Version 3 with number 0: the packed index is a plain pickle behind the data."""
+    import pickle
+
+    body, index = bytearray(34), {}
+    for name, data in members:
+        index[name] = [(len(body), len(data))]
+        body += data
+    body[:34] = b"RPA-3.0 %016x %08x\n" % (len(body), 0)
+    return bytes(body) + zlib.compress(pickle.dumps(index, 2))
+
+
 def build_layout(layout: Layout) -> Callable[[list[tuple[str, bytes]]], bytes]:
     """A writer for a container that is described as data."""
 
@@ -131,6 +143,7 @@ WRITERS: dict[str, Callable[[list[tuple[str, bytes]]], bytes]] = {
     "NSA": lambda m: _big_endian(m, True),
     "WILL": build_will,
     "XP3": build_xp3,
+    "RPA": build_rpa,
 }
 
 

@@ -186,7 +186,40 @@ def list_will(b: bytes) -> Iterator[dict]:
             yield {"name": name.split(b"\0")[0].decode("cp932", "replace") + "." + ext.split(b"\0")[0].decode("ascii").lower(), "offset": off, "size": size, "unpacked_size": size, "is_packed": False}
 
 
-#: Two layouts that are data only, in the usual shape.
+def read_pickle(b: bytes):
+    """Dicts, lists, tuples, numbers and strings of a pickle; nothing is ever called or imported."""
+    import io
+    import pickle
+
+    class Plain(pickle.Unpickler):
+        def find_class(self, module, name):
+            if (module, name) in (("_codecs", "encode"), ("codecs", "encode")):
+                return lambda s, charset="latin1": s.encode("latin1")
+            raise ValueError(f"not plain data: {module}.{name}")
+
+    return Plain(io.BytesIO(b), encoding="latin1").load()
+
+
+@reader("RPA")
+def list_rpa(b: bytes) -> Iterator[dict]:
+    """A line with the place of a packed index (and a number that it is combined with): name -> [(offset, size[, head])]."""
+    line = b.split(b"\n", 1)[0].split()
+    if not line or line[0] not in (b"RPA-2.0", b"RPA-3.0"):
+        raise ValueError("not this format")
+    key = 0
+    for part in line[2:]:
+        key ^= int(part, 16)
+    for name, parts in read_pickle(zlib.decompress(b[int(line[1], 16) :])).items():
+        off, size, *head = parts[0]
+        off, size = off ^ key, size ^ key
+        head = (head[0] if head else b"") or b""
+        head = head.encode("latin1") if isinstance(head, str) else head
+        if off + size > len(b):
+            raise ValueError("a member beyond the end")
+        yield {"name": name if isinstance(name, str) else name.decode("utf-8"), "offset": off, "size": size, "unpacked_size": size + len(head), "is_packed": False, "attrs": {"head": head.hex()}}
+
+
+#: Layouts that are data only, in the usual shape.
 LAYOUTS = {
     "GENERIC/PACK": Layout("GENERIC/PACK", b"PACK", (4, 4), 8, 40, (0, 32), (32, 4), (36, 4)),
     "GENERIC/REL": Layout("GENERIC/REL", b"PackFile", (8, 4), 12, 32, (0, 16), (16, 4), (20, 4), None, "end"),
@@ -241,7 +274,8 @@ def open_members(entries: DataFrame, files: DataFrame) -> DataFrame:
     so a decoder runs on its own rows only.
     """
     e = entries.filter(F.col("name").isNotNull()).join(files.select("path", "content"), "path")
-    raw = bytesfn.member(F.col("content"), F.col("offset"), F.col("size"))
+    head = F.coalesce(F.unhex(F.try_element_at("attrs", F.lit("head"))), F.lit(b""))
+    raw = F.concat(head, bytesfn.member(F.col("content"), F.col("offset"), F.col("size")))
     parts = [e.filter("packing IS NULL").withColumn("data", raw)]
     for name in ("deflate", "zlib", "lzss", "lzma"):
         parts.append(e.filter(F.col("packing") == name).withColumn("data", codecs.decode(name)(raw)))
@@ -341,6 +375,66 @@ def utf_rows(tables: DataFrame, content: str = "content") -> DataFrame:
     return tables.select("path", F.posexplode(rows(content)).alias("row_no", "row"))
 
 
+def exe_find(content: Column, section: str, what: bytes) -> Column:
+    """Offset in the file of the first occurrence of `what` inside a section of a PE file, -1 if there is none."""
+    hit = F.get(F.filter(exe_sections(content), lambda x: x["name"] == section), F.lit(0))
+    body = bytesfn.slice_of(content, hit["offset"], hit["size"])
+    at = bytesfn.find_bytes(body, what)
+    return F.when(hit.isNotNull() & (at >= 0), at + hit["offset"]).otherwise(F.lit(-1).cast("bigint"))
+
+
+def exe_resources(content: Column) -> Column:
+    """array of resources of a PE file: type, name, place and size in the file (numbers as #n)."""
+
+    @F.udf("array<struct<type: string, name: string, offset: bigint, size: bigint>>", useArrow=True)
+    def run(b):
+        try:
+            return pe_resources(bytes(b or b""))
+        except (struct.error, ValueError, IndexError):
+            return None
+
+    return run(content)
+
+
+def pe_resources(b: bytes) -> list[tuple] | None:
+    u = struct.unpack_from
+    pe = u("<I", b, 60)[0]
+    if b[:2] != b"MZ" or b[pe : pe + 4] != b"PE\0\0":
+        return None
+    n, opt = u("<H", b, pe + 6)[0], u("<H", b, pe + 20)[0]
+    plus = u("<H", b, pe + 24)[0] == 0x20B
+    root_va = u("<I", b, pe + 24 + (112 if plus else 96) + 16)[0]
+    secs = [u("<8sIIII", b, pe + 24 + opt + 40 * i) for i in range(n)]
+
+    def place(va):
+        for _, vs, at, size, off in secs:
+            if at <= va < at + max(vs, size):
+                return va - at + off
+        raise ValueError("no section")
+
+    if not root_va:
+        return []
+    base = place(root_va)
+
+    def label(v):
+        if v >> 31:
+            at = base + (v & 0x7FFFFFFF)
+            return b[at + 2 : at + 2 + 2 * u("<H", b, at)[0]].decode("utf-16le")
+        return f"#{v}"
+
+    def entries(at):
+        named, ids = u("<HH", b, at + 12)
+        return [u("<II", b, at + 16 + 8 * i) for i in range(named + ids)]
+
+    out = []
+    for kind, sub in entries(base):
+        for name, leaf in entries(base + (sub & 0x7FFFFFFF)):
+            for _, data in entries(base + (leaf & 0x7FFFFFFF)):
+                va, size = u("<II", b, base + data)
+                out.append((label(kind), label(name), place(va), size))
+    return out
+
+
 def exe_sections(content: Column) -> Column:
     """array of sections of a PE file: name, virtual address and size, place and size in the file."""
 

@@ -5,6 +5,8 @@ content is a column like others: queries that do not use it do not read it.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, InputPartition
@@ -34,8 +36,7 @@ def files(spark: SparkSession, path: str, recursive: bool = False, mask: str | N
 def listing(spark: SparkSession, path: str) -> DataFrame:
     """Directories first, then files, by name: one directory, not below."""
     deep = files(spark, path, recursive=True).select("path", "length")
-    base = F.lit(path.rstrip("/") + "/")
-    rest = F.substring_index(F.col("path"), base, -1)
+    rest = F.regexp_extract("path", re.escape(path.rstrip("/") + "/") + "(.*)$", 1)
     rows = deep.select(rest.alias("name"), "length", F.col("path").alias("ord"))
     return paths.children(rows, "").orderBy(F.when(F.col("kind") == "directory", 0).otherwise(1), F.lower("name"))
 

@@ -130,3 +130,58 @@ def test_watched_directory(spark, tmp_path):
     watch.run_once(s, "watched", str(tmp_path / "cp"))
     (tmp_path / "in/b.zip").write_bytes(sink.build_zip(SHORT[:1]))
     assert spark.table("watched").count() == 3
+
+
+def test_index_pickles_call_nothing(spark):
+    import os
+    import pickle
+    import zlib
+
+    import pytest
+
+    class Evil:
+        def __reduce__(self):
+            return (os.system, ("true",))
+
+    assert cs.read_pickle(pickle.dumps({"a": [(1, 2, b"h")]}, 2)) == {"a": [(1, 2, b"h")]}
+    with pytest.raises(ValueError):
+        cs.read_pickle(pickle.dumps(Evil()))
+    data = b"RPA-3.0 %016x %08x\n" % (40, 7)
+    b = data.ljust(40, b"x") + zlib.compress(pickle.dumps({"f": [(34 ^ 7, 6 ^ 7, b"HEAD")]}, 2))
+    f = spark.createDataFrame([("p", b)], "path string, content binary")
+    assert bytes(cs.open_members(cs.list_members(f, ["RPA"]), f).first()["data"]) == b"HEADxxxxxx"
+
+
+def test_exe_resources_and_search(spark):
+    rsrc = bytearray(256)
+    struct.pack_into("<HH", rsrc, 12, 0, 1)
+    struct.pack_into("<II", rsrc, 16, 10, 0x80000000 | 32)
+    struct.pack_into("<HH", rsrc, 32 + 12, 1, 0)
+    struct.pack_into("<II", rsrc, 48, 0x80000000 | 120, 0x80000000 | 64)
+    struct.pack_into("<HH", rsrc, 64 + 12, 0, 1)
+    struct.pack_into("<II", rsrc, 80, 1033, 96)
+    struct.pack_into("<II", rsrc, 96, 0x2000 + 140, 5)
+    struct.pack_into("<H", rsrc, 120, 4)
+    rsrc[122:130] = "DATA".encode("utf-16le")
+    rsrc[140:145] = b"bytes"
+    opt = bytearray(224)
+    struct.pack_into("<H", opt, 0, 0x10B)
+    struct.pack_into("<I", opt, 96 + 16, 0x2000)
+    head = b"MZ" + bytes(58) + struct.pack("<I", 64) + b"PE\0\0" + struct.pack("<HH", 0x14C, 1) + bytes(12) + struct.pack("<HH", 224, 0) + bytes(opt)
+    at = len(head) + 40
+    pe = head + struct.pack("<8sIIII", b".rsrc", 256, 0x2000, 256, at) + bytes(16) + bytes(rsrc)
+    df = spark.createDataFrame([(pe,)], "b binary").select(cs.exe_resources(F.col("b")).alias("r"), cs.exe_find(F.col("b"), ".rsrc", b"bytes").alias("at"), cs.exe_find(F.col("b"), ".none", b"x").alias("no")).first()
+    assert [tuple(x) for x in df["r"]] == [("#10", "DATA", at + 140, 5)] and df["at"] == at + 140 and df["no"] == -1
+
+
+def test_manifest(spark, tmp_path):
+    (tmp_path / "v.xml").write_text('<Update><Release><Version>1.5</Version><Url>http://a</Url><Notes>n</Notes></Release><FormatsData><FileVersion>99</FileVersion><Url>http://b</Url><Requires><Assembly Name="A" Version="1.0"/><Assembly Name="B" Version="2.0"/></Requires></FormatsData></Update>')
+    got = files.manifest(spark, str(tmp_path / "v.xml")).collect()
+    assert [(r["Version"], r["file_version"], r["assembly"], r["needs"]) for r in got] == [("1.5", "99", "A", "1.0"), ("1.5", "99", "B", "2.0")]
+
+
+def test_directory_listing(spark, tmp_path):
+    for n in ("b.txt", "A.txt", "sub/x.txt", "sub/y/z.txt"):
+        (tmp_path / n).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / n).write_text(n)
+    assert [(r["name"], r["kind"]) for r in files.listing(spark, str(tmp_path)).collect()] == [("sub", "directory"), ("A.txt", "file"), ("b.txt", "file")]

@@ -122,3 +122,27 @@ def test_heads(spark):
     assert (got[4]["a"]["channels"], got[4]["a"]["pcm_offset"], got[4]["a"]["pcm_size"]) == (2, 44, 4)
     made = spark.createDataFrame([(b"\1\2\3\4",)], "p binary").select(media.wav(F.col("p"), F.lit(2), F.lit(44100), F.lit(16)).alias("w")).first()
     assert bytes(made.w) == wav
+
+
+def test_scripts_and_tables(spark):
+    import json
+
+    from holdfast.functions import script
+
+    b = "一行目\r\n\r\nthree".encode("cp932")
+    df = spark.createDataFrame([(b,), (b"\0\1binary",)], "b binary").select(script.is_script(F.col("b")).alias("s"), script.read_lines(F.col("b")).alias("l"))
+    r = df.collect()
+    assert r[0]["s"] and not r[1]["s"] and [(x["id"], x["text"]) for x in r[0]["l"]] == [(0, "一行目"), (2, "three")]
+    back = df.limit(1).select(script.write_lines(F.col("l")).alias("w")).first()["w"]
+    assert bytes(back) == b.replace(b"\r\n", b"\n")
+    t = spark.createDataFrame([('a = { x = 1, "two", { -3.5, true } }, -- note\n b = nil',), ("{ broken",), (None,)], "s string").select(script.table_as_json(F.col("s")).alias("j")).collect()
+    assert json.loads(t[0]["j"]) == {"a": {"x": 1, "1": "two", "2": [-3.5, True]}, "b": None} and t[1]["j"] is None and t[2]["j"] is None
+
+
+def test_palettes(spark):
+    from holdfast.functions.palette import ORDERS, read_palette
+
+    b = bytes([9, 1, 2, 3, 4, 5, 6, 7, 8])
+    df = spark.createDataFrame([(b,)], "b binary").select(*[read_palette(F.col("b"), 1, 2, o).alias(o) for o in ORDERS]).first()
+    u = lambda x: x & 0xFFFFFFFF
+    assert u(df["rgb"][0]) == 0xFF010203 and u(df["bgr"][1]) == 0xFF060504 and u(df["bgra"][1]) == 0x08070605 and u(df["rgbx"][0]) == 0xFF010203
