@@ -27,7 +27,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def _load() -> None:
-    from holdfast.plans import bytes_queries, container_queries, join_queries, listing_queries  # noqa: F401
+    from holdfast.plans import bytes_queries, container_queries, join_queries, listing_queries, more_queries  # noqa: F401
 
 
 def queries() -> dict:

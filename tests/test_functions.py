@@ -6,13 +6,13 @@ import pytest
 from pyspark.sql import functions as F
 
 from holdfast.functions import bytesfn as bf
-from holdfast.functions import codecs, media, text
+from holdfast.functions import codecs, media, rangecoder, text  # noqa: F401
 
 RNG = random.Random(9)
 SAMPLES = [b"", b"a", b"abcabcabcabcabcabc" * 9, bytes(range(256)) * 3, bytes(5000), bytes(RNG.randrange(4) for _ in range(3000)), RNG.randbytes(2000), "ことば テスト".encode("cp932") * 20]
 
 
-@pytest.mark.parametrize("name", ["zlib", "deflate", "gzip", "bz2", "zstd", "lzma", "lzss", "lz4_block", "rle", "mtf"])
+@pytest.mark.parametrize("name", ["zlib", "deflate", "gzip", "bz2", "zstd", "lzma", "lzss", "lz4_block", "rle", "mtf", "range"])
 def test_round_trips(name):
     for b in SAMPLES:
         assert bytes(codecs.DECODERS[name](bytes(codecs.ENCODERS[name](b)))) == b
