@@ -2,7 +2,7 @@
 
 Rules vote good (1), bad (-1) or abstain (0) on a document. How far each rule
 can be trusted is not set by hand: expectation-maximisation over the votes of
-all documents estimates the accuracy of each rule and the share of good
+all documents estimates how each rule votes on good and on bad ones, and the share of good
 documents, and a document is kept if its posterior probability of being good
 is at least KEEP_AT. Documents with equal votes are one case, so the estimate
 needs only the count of each vote pattern: at most 3 ** rules rows, however
@@ -27,9 +27,10 @@ from holdfast.llm.common import stage, words
 
 KEEP_AT = 0.5
 MIN_WORDS = 50
-#: Bounds on what EM may believe of a rule and of the corpus.
-ACCURACY = (0.55, 0.99)
+#: Bounds on what EM may believe of the corpus, and how much of its start it keeps.
 SHARE = (0.05, 0.99)
+PRIOR = 0.25
+RARE, FALSE_ALARM = 0.1, 0.001
 ROUNDS = 100
 SYMBOLS = "[^#*$%&|<>]+"
 
@@ -43,7 +44,7 @@ def rules() -> dict[str, Column]:
     n, c = F.col("n_words"), F.col("word_chars")
     return {
         "symbols": _vote(F.col("n_symbols") * 100 <= n * 2, F.col("n_symbols") * 10 > n),
-        "dup_lines": _vote(F.col("n_dup_lines") * 20 <= F.col("n_lines"), F.col("n_dup_lines") * 10 > F.col("n_lines") * 3),
+        "dup_lines": _vote(F.col("n_dup_lines") * 20 <= F.col("n_lines"), (F.col("n_dup_lines") * 10 > F.col("n_lines") * 3) & (F.col("n_dup_lines") >= 3)),
         "repeats": _vote(F.col("n_repeat_words") * 10 <= n, F.col("n_repeat_words") * 10 > n * 3),
         "word_length": _vote((c >= n * 3) & (c <= n * 12), (c < n * 2) | (c > n * 15)),
         "capitals": _vote(F.col("n_upper") * 10 <= c, F.col("n_upper") * 10 > c * 4),
@@ -81,36 +82,55 @@ def base_failed() -> Column:
     return (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
 
 
-def estimate(patterns: list[tuple[tuple[int, ...], int]], rounds: int = ROUNDS) -> tuple[list[float], float]:
-    """Accuracy of each rule and the share of good documents.
+def estimate(patterns: list[tuple[tuple[int, ...], int]], rounds: int = ROUNDS) -> tuple[list[dict[int, dict[int, float]]], float]:
+    """rates[j][y][v]: how often rule j, if it votes, votes v on good (y = 1) and bad (y = 0) documents; and the share of good ones.
 
-    One-coin model: a rule that votes is right with probability a, whatever the
-    class; abstaining says nothing.
+    Abstaining says nothing.
+
+    Starts from the rules' intent: a document that any rule calls bad is
+    probably bad. Each round expects every pattern's probability of being good
+    and counts the rates again; PRIOR of the first counts is mixed in, and a
+    rule may not call good documents bad more often than bad ones, so the
+    classes cannot change places. Kinds of junk exclude each other, so a rule
+    for a rare kind stands alone: one that calls at most RARE of all documents
+    bad is held to FALSE_ALARM; one that calls more must be backed by others.
     """
     if not patterns:
         return [], 0.5
-    m = len(patterns[0][0])
-    acc, share = [0.8] * m, 0.7
+    m, total = len(patterns[0][0]), sum(n for _, n in patterns)
+    good = [0.05 if -1 in votes else 0.95 for votes, _ in patterns]
+    rates, share, first = [], 0.5, None
     for _ in range(rounds):
-        right, voted, good, all_docs = [1.0] * m, [2.0] * m, 1.0, 2.0
-        for votes, n in patterns:
-            p = posterior(votes, acc, share)
-            good, all_docs = good + n * p, all_docs + n
+        counts = [{y: dict.fromkeys((-1, 1), 1e-2) for y in (0, 1)} for _ in range(m)]
+        for (votes, n), p in zip(patterns, good):
             for j, v in enumerate(votes):
                 if v:
-                    voted[j] += n
-                    right[j] += n * (p if v > 0 else 1 - p)
-        new = [min(max(r / v, ACCURACY[0]), ACCURACY[1]) for r, v in zip(right, voted)]
-        new_share = min(max(good / all_docs, SHARE[0]), SHARE[1])
-        moved = max(abs(share - new_share), *(abs(a - b) for a, b in zip(acc, new)))
-        acc, share = new, new_share
+                    counts[j][1][v] += n * p
+                    counts[j][0][v] += n * (1 - p)
+        first = first or counts
+        new = []
+        for c, f in zip(counts, first):
+            mixed = {y: {v: c[y][v] + PRIOR * f[y][v] for v in c[y]} for y in c}
+            r = {y: {v: x / sum(mixed[y].values()) for v, x in mixed[y].items()} for y in mixed}
+            fires = (c[0][-1] + c[1][-1]) / total
+            alarm = min(r[1][-1], r[0][-1], FALSE_ALARM if fires <= RARE else 1.0)
+            new.append({0: r[0], 1: {-1: alarm, 1: 1 - alarm}})
+        new_share = min(max(sum(n * p for (_, n), p in zip(patterns, good)) / total, SHARE[0]), SHARE[1])
+        moved = abs(new_share - share) + max((abs(a[y][v] - b[y][v]) for a, b in zip(new, rates) for y in a for v in a[y]), default=1.0)
+        rates, share = new, new_share
+        good = [posterior(votes, rates, share) for votes, _ in patterns]
         if moved < 1e-9:
             break
-    return acc, share
+    return rates, share
+
+
+def weight(rate: dict[int, dict[int, float]], vote: int) -> float:
+    """What a vote adds to the log-odds of being good."""
+    return math.log(rate[1][vote] / rate[0][vote]) if vote else 0.0
 
 
-def posterior(votes, acc, share) -> float:
-    x = math.log(share / (1 - share)) + sum(v * math.log(a / (1 - a)) for v, a in zip(votes, acc))
+def posterior(votes, rates, share) -> float:
+    x = math.log(share / (1 - share)) + sum(weight(r, v) for r, v in zip(rates, votes))
     return 1 / (1 + math.exp(-x)) if x > -700 else 0.0
 
 
@@ -123,10 +143,10 @@ def judge(docs: DataFrame, *keep: str, text_col: str = "text", keep_at: float =
     votes = rules()
     held = stage(features(docs, *keep, text_col=text_col).withColumn("base_failed", base_failed()), "quality")
     counted = held.groupBy(*[v.alias(k) for k, v in votes.items()]).count().collect()  # at most 3 ** rules rows
-    acc, share = estimate(sorted((tuple(r[: len(votes)]), r["count"]) for r in counted))
+    rates, share = estimate(sorted((tuple(r[: len(votes)]), r["count"]) for r in counted))
     x = F.lit(math.log(share / (1 - share)))
-    for (_, v), a in zip(votes.items(), acc):
-        x = x + v * F.lit(math.log(a / (1 - a)))
+    for v, r in zip(votes.values(), rates):
+        x = x + F.when(v < 0, weight(r, -1)).when(v > 0, weight(r, 1)).otherwise(weight(r, 0))
     scored = held.withColumn("quality", 1 / (1 + F.exp(-x)))
     return scored.withColumn("kept", ~F.col("base_failed") & (F.col("quality") >= keep_at))
 

@@ -32,20 +32,33 @@ def test_counts_and_verdicts_equal_brute_force(spark):
         failed = want[0] < 50 or 100 * want[4] > 50 * want[0]
         assert r["base_failed"] == failed and (not failed or not r["kept"])
     assert got[12]["kept"] and got[14]["kept"]
+    assert not any(got[i]["kept"] for i in range(len(ODD), len(ODD) + 3)) and not got[len(TEXTS) - 1]["kept"]
 
 
 def test_em_finds_good_and_bad_rules():
     rng = np.random.default_rng(1)
-    true, acc = rng.random(4000) < 0.8, [0.95, 0.9, 0.6, 0.85]
-    votes = Counter()
+    true, acc = rng.random(6000) < 0.8, [0.95, 0.9, 0.6, 0.85]
+    votes, right, all_bad = Counter(), Counter(), []
     for y in true:
         s = 1 if y else -1
-        votes[tuple(int(s if rng.random() < a else -s) if rng.random() < 0.9 else 0 for a in acc)] += 1
-    got, share = ws.estimate(sorted(votes.items()))
-    assert abs(share - 0.8) < 0.05 and all(abs(a - b) < 0.06 for a, b in zip(got, acc))
+        v = tuple(int(s if rng.random() < a else 0 if rng.random() < 0.8 else -s) if rng.random() < 0.9 else 0 for a in acc)
+        votes[v] += 1
+        right[v] += bool(y)
+        all_bad.append((v, y))
+    rates, share = ws.estimate(sorted(votes.items()))
+    assert abs(share - 0.8) < 0.06
+    assert ws.weight(rates[0], -1) < ws.weight(rates[2], -1) < 0 < ws.weight(rates[2], 1) < ws.weight(rates[0], 1)
+    assert np.mean([(ws.posterior(v, rates, share) >= 0.5) == y for v, y in all_bad]) > 0.97
     assert ws.estimate([]) == ([], 0.5)
 
 
+def test_one_bad_vote_among_good_ones_counts():
+    """Each kind of junk is seen by one rule only; the others have nothing against it."""
+    patterns = [((1, 1, 1, 1), 9000), ((-1, 1, 1, 1), 400), ((1, -1, 1, 1), 300), ((1, 1, -1, 0), 300), ((0, 0, 0, 0), 50)]
+    rates, share = ws.estimate(patterns)
+    assert [ws.posterior(v, rates, share) >= 0.5 for v, _ in patterns] == [True, False, False, False, True]
+
+
 def test_keep_good_returns_rows_as_they_were(spark):
     docs = docs_frame(spark, TEXTS)
     docs = docs.unionByName(docs.filter("doc_id = 12"))
