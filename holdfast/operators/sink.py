@@ -112,11 +112,16 @@ def build_layout(layout: Layout) -> Callable[[list[tuple[str, bytes]]], bytes]:
 
     def build(members):
         n, e = len(members), layout.order
-        first = layout.records if isinstance(layout.records, int) else layout.records[0] + layout.records[1]
+        said = [f for f in (layout.count, layout.records, layout.base) if isinstance(f, tuple)]
+        first = layout.records if isinstance(layout.records, int) else max(len(layout.magic), *[p + w for p, w in said])
+        at, index, body = first + n * layout.record, b"", b""
+        shift = at if layout.base == "end" or isinstance(layout.base, tuple) else layout.base
+        if layout.offset is None and shift != at:
+            raise ValueError("members do not follow the records here")
         head = bytearray(layout.magic.ljust(first, b"\0"))
-        head[layout.count[0] : layout.count[0] + layout.count[1]] = n.to_bytes(layout.count[1], e)
-        base, at, index, body = first + n * layout.record, first + n * layout.record, b"", b""
-        shift = base if layout.base == "end" else layout.base
+        for field, value in ((layout.count, n), (layout.records, first), (layout.base, at)):
+            if isinstance(field, tuple):
+                head[field[0] : field[0] + field[1]] = value.to_bytes(field[1], e)
         for name, data in members:
             coded, kept = name.encode(layout.charset), data
             if len(coded) > layout.name[1]:

@@ -42,10 +42,10 @@ class Layout:
     records: int | tuple[int, int] = 8
     record: int = 32
     name: tuple[int, int] = (0, 24)
-    offset: tuple[int, int] = (24, 4)
+    offset: tuple[int, int] | None = (24, 4)
     size: tuple[int, int] | None = (28, 4)
     unpacked: tuple[int, int] | None = None
-    base: int | str = 0
+    base: int | str | tuple[int, int] = 0
     order: str = "little"
     charset: str = "cp932"
     packing: str | None = None
@@ -67,7 +67,8 @@ class Layout:
         end = first + n * self.record
         if end > len(b):
             raise ValueError("index beyond the end")
-        base = end if self.base == "end" else self.base
+        base = end if self.base == "end" else self._int(b, self.base) if isinstance(self.base, tuple) else self.base
+        run = base
         rows = []
         for i in range(n):
             r = b[first + i * self.record : first + (i + 1) * self.record]
@@ -75,7 +76,10 @@ class Layout:
             name = r[self.name[0] : self.name[0] + self.name[1]].split(b"\0", 1)[0].decode(self.charset, "replace")
             if not name.strip():
                 raise ValueError("a member without a name")
-            rows.append({"name": name, "offset": base + self._int(r, self.offset), "size": self._int(r, self.size) if self.size else None, "unpacked_size": self._int(r, self.unpacked) if self.unpacked else None})
+            size = self._int(r, self.size) if self.size else None
+            at = base + self._int(r, self.offset) if self.offset else run
+            run += size or 0
+            rows.append({"name": name, "offset": at, "size": size, "unpacked_size": self._int(r, self.unpacked) if self.unpacked else None})
         if not self.size:
             for r, nxt in zip(rows, [*rows[1:], {"offset": len(b)}]):
                 r["size"] = nxt["offset"] - r["offset"]
@@ -84,7 +88,9 @@ class Layout:
             r["packing"] = self.packing if r["is_packed"] else None
             if not (0 <= r["offset"] < len(b) and 0 <= r["size"] <= len(b) - r["offset"]):
                 raise ValueError("a member beyond the end")
-            yield r
+            if not self.magic and r["offset"] < end:
+                raise ValueError("a member inside the index")
+        yield from rows
 
 
 def reader(tag):

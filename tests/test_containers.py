@@ -185,3 +185,26 @@ def test_directory_listing(spark, tmp_path):
         (tmp_path / n).parent.mkdir(parents=True, exist_ok=True)
         (tmp_path / n).write_text(n)
     assert [(r["name"], r["kind"]) for r in files.listing(spark, str(tmp_path)).collect()] == [("sub", "directory"), ("A.txt", "file"), ("b.txt", "file")]
+
+
+def test_layouts_that_are_data_round_trip():
+    import pytest
+
+    from holdfast.sources.layouts import LAYOUTS
+
+    members = [("a.txt", b"x" * 100), ("b.png", b"yy"), ("c", b"zzz")]
+    for tag, layout in LAYOUTS.items():
+        if layout.offset is None and isinstance(layout.base, int):
+            body = b"".join(d for _, d in members)
+            head = bytearray(layout.magic.ljust(layout.base, b"\0"))
+            head[layout.count[0] : layout.count[0] + layout.count[1]] = len(members).to_bytes(layout.count[1], "little")
+            head[layout.records[0] : layout.records[0] + 4] = (layout.base + len(body)).to_bytes(4, "little")
+            records = b"".join(n.encode().ljust(layout.size[0], b"\0") + struct.pack("<I", len(d)) for n, d in members)
+            made = bytes(head) + body + records
+        else:
+            made = sink.build_layout(layout)(members)
+        got = list(layout.list(made))
+        assert [(r["name"], made[r["offset"] : r["offset"] + r["size"]]) for r in got] == members, tag
+        for bad in (b"", made[: len(layout.magic) + 3], b"?" * 64):
+            with pytest.raises((ValueError, IndexError)):
+                list(layout.list(bad))
