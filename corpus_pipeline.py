@@ -35,7 +35,7 @@ def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token counts and digests of the ids and of the decoded text of each row."""
-    return byte_bpe.encode_documents(docs)
+    return stage(byte_bpe.encode_documents(docs), "bpe")
 
 
 STAGES = [

@@ -6,8 +6,9 @@ table, each word's leftmost pair of minimum rank is contracted, and the query
 recurs until no pair of any word is in the table. An ordered aggregation over
 the token rows decodes the ids to bytes again.
 
-Memory is bounded: texts are handled in segments of SEGMENT matches, and the
-worker's table of encoded words is emptied beyond CACHE_WORDS. A match of more
+Memory is bounded: texts are handled in segments of SEGMENT matches, AT_ONCE
+words in a query; beyond CACHE_WORDS, and when a task ends, the table of encoded
+words keeps the KEEP_WORDS that came first. A match of more
 than LONG_BYTES bytes (a run of letters without a space, say) would need as
 many recursions as it has bytes; the same contraction rule is applied to it
 with a heap instead.
@@ -28,8 +29,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-SEGMENT = 200_000
-CACHE_WORDS = 600_000
+from holdfast.llm.common import release_memory
+
+SEGMENT = 100_000
+CACHE_WORDS = 300_000
+KEEP_WORDS = 100_000
+AT_ONCE = 20_000
+ROWS = 1000
 LONG_BYTES = 256
 
 #: Rows (word, tokens); positions are unnested, joined with the merge table,
@@ -55,6 +61,12 @@ FROM tokens JOIN vocab v USING (tok) GROUP BY w
 """
 
 
+def close(name: str) -> None:
+    """At a task's end: the worker lives on, with the commonest words only."""
+    coder(name).close()
+    release_memory()
+
+
 def read_ranks(name: str) -> dict[bytes, int]:
     from holdfast.llm.token_counts import _place
 
@@ -66,24 +78,28 @@ class WordCoder:
     """Encodes and decodes single matches; one per worker and rank file."""
 
     def __init__(self, name: str):
-        import duckdb
-
         self.ranks = ranks = read_ranks(name)
-        self.db = duckdb.connect(":memory:")
-        self.db.execute("SET threads = 1")
-        self.db.execute("SET memory_limit = '400MB'")
         merges = [((a << 20) | b, r) for tok, r in ranks.items() for i in range(1, len(tok)) if (a := ranks.get(tok[:i])) is not None and (b := ranks.get(tok[i:])) is not None]
-        self._load("merges", pair=pa.array([x for x, _ in merges], pa.int64()), rank=pa.array([x for _, x in merges], pa.int32()))
-        self._load("vocab", tok=pa.array(ranks.values(), pa.int32()), hex=pa.array([t.hex() for t in ranks]))
+        self.tables = {
+            "merges": pa.table({"pair": pa.array([x for x, _ in merges], pa.int64()), "rank": pa.array([x for _, x in merges], pa.int32())}),
+            "vocab": pa.table({"tok": pa.array(ranks.values(), pa.int32()), "hex": pa.array([t.hex() for t in ranks])}),
+        }
+        self.db = None
         self.single = [ranks[bytes([i])] for i in range(256)]
         #: word -> its ids, joined by spaces; and its decoded bytes where they are other than the word's
         self.ids: dict[str, bytes] = {}
         self.odd: dict[str, bytes] = {}
 
-    def _load(self, table: str, **columns) -> None:
-        self.db.register("loaded", pa.table(columns))
-        self.db.execute(f"CREATE TABLE {table} AS SELECT * FROM loaded")
-        self.db.unregister("loaded")
+    def _open(self) -> None:
+        import duckdb
+
+        self.db = duckdb.connect(":memory:")
+        self.db.execute("SET threads = 1")
+        self.db.execute("SET memory_limit = '200MB'")
+        for name, rows in self.tables.items():
+            self.db.register("loaded", rows)
+            self.db.execute(f"CREATE TABLE {name} AS SELECT * FROM loaded")
+            self.db.unregister("loaded")
 
     def _by_heap(self, word: bytes) -> list[int]:
         """The same contraction for a very long match: a heap of pairs by (rank, place)."""
@@ -115,8 +131,12 @@ class WordCoder:
                 ids = self._by_heap(b)
                 back = {v: k for k, v in self.ranks.items()}
                 self._keep(w, b, " ".join(map(str, ids)), b"".join(back[i] for i in ids))
-        if not short:
-            return
+        for at in range(0, len(short), AT_ONCE):
+            self._by_query(short[at : at + AT_ONCE])
+
+    def _by_query(self, short: list[tuple[str, bytes]]) -> None:
+        if self.db is None:
+            self._open()
         toks = pa.array([[self.single[x] for x in b] for _, b in short], pa.list_(pa.int32()))
         self.db.register("start", pa.table({"w": pa.array(range(len(short)), pa.int32()), "toks": toks}))
         done = self.db.execute(ENCODE).fetchall()
@@ -130,6 +150,18 @@ class WordCoder:
             self.odd[word] = decoded
 
 
+    def trim(self) -> None:
+        """Keeps the words that were learnt first: they are the commonest."""
+        self.ids = dict(itertools.islice(self.ids.items(), KEEP_WORDS))
+        self.odd = {w: b for w, b in self.odd.items() if w in self.ids}
+
+    def close(self) -> None:
+        self.trim()
+        if self.db is not None:
+            self.db.close()
+            self.db = None
+
+
 _CODERS: dict[str, WordCoder] = {}
 
 
@@ -163,8 +195,7 @@ def _digests(texts: list[str | None], name: str, pattern) -> Iterator[tuple[int,
     for block in _parts(texts, pattern):
         need = set().union(*[own for _, own in block])
         if len(c.ids) + len(need) > CACHE_WORDS:
-            c.ids.clear()
-            c.odd.clear()
+            c.trim()
         if new := need.difference(c.ids):
             c.learn(new)
         for i, own in block:
@@ -192,12 +223,13 @@ def encode_documents(docs: DataFrame, ranks: str = "byte_bpe_50k.tiktoken", patt
 
             cut = public_tokenizers.PATTERN
         cut = regex.compile(cut)
-        for b in batches:
+        for b in (x.slice(at, ROWS) for x in batches for at in range(0, x.num_rows, ROWS)):
             got = list(_digests(b.column(1).to_pylist(), ranks, cut))
             yield pa.RecordBatch.from_arrays(
                 [b.column(0), pa.array([x[0] for x in got], pa.int64()), pa.array([x[1] for x in got], pa.string()), pa.array([x[2] for x in got], pa.string())],
                 names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
             )
+        close(ranks)
 
     rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"))
     return rows.mapInArrow(run, "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string")

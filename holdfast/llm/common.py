@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import tempfile
 import uuid
 
@@ -10,6 +13,13 @@ from pyspark.sql import functions as F
 
 #: A word is a maximal run of bytes other than space, \t, \n, \v, \f and \r.
 SPACE_CLASS = r"[\x20\x09-\x0D]+"
+#: Partitions a core that a shuffled result is written in.
+WAVES = 4
+#: Bytes of an Arrow batch where this library starts the job.
+BATCH_BYTES = "8m"
+#: For a shared folder that is mounted as a path: Hadoop's default there starts a process (chmod) for every file and
+#: keeps a checksum file beside it. Other file systems do not look at these settings.
+PLAIN_FILES = {"fs.file.impl": "org.apache.hadoop.fs.RawLocalFileSystem", "fs.file.impl.disable.cache": "true"}
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = UPPER.lower()
 
@@ -33,6 +43,11 @@ def shared_dir(spark: SparkSession) -> str:
     return base.rstrip("/")
 
 
+def few(df: DataFrame) -> DataFrame:
+    """df in at most WAVES partitions a core: shuffled rows need no more files, and each file costs calls."""
+    return df.coalesce(max(1, WAVES * df.sparkSession.sparkContext.defaultParallelism))
+
+
 def stage(df: DataFrame, label: str) -> DataFrame:
     """Write df to the shared folder and read it back: lineage ends here.
 
@@ -41,10 +56,33 @@ def stage(df: DataFrame, label: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/holdfast-{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    with small_batches(spark):
+        df.write.options(**PLAIN_FILES).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextlib.contextmanager
+def small_batches(spark: SparkSession):
+    """Arrow batches of BATCH_BYTES at most while the block runs: they count twice, in the JVM and in Python."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, BATCH_BYTES)
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
+def release_memory() -> None:
+    """Gives a worker's free memory back to the system; workers live on after their tasks."""
+    import pyarrow as pa
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
 def words(text: Column) -> Column:
     """Array of the words of a text; null gives an empty array."""
     return F.array_remove(F.split(F.coalesce(text, F.lit("")), SPACE_CLASS), "")

@@ -28,7 +28,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from holdfast.llm.common import stage
+from holdfast.llm.common import few, stage
 
 LOW, HIGH = 0.002, 0.2
 #: (bits to skip in the term's hash, parts the lexicon is dealt to, parts used)
@@ -111,8 +111,8 @@ def neighbours(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
 def hashed(texts: DataFrame, key: list[str], lex: DataFrame) -> DataFrame:
     """key columns and hashes for each row (key, text); key tells rows apart."""
-    few = lex.limit(BROADCAST_TERMS + 1).count() <= BROADCAST_TERMS
-    lex = F.broadcast(lex) if few else lex
+    small = lex.limit(BROADCAST_TERMS + 1).count() <= BROADCAST_TERMS
+    lex = F.broadcast(lex) if small else lex
     rows = texts.select(*key, F.explode_outer(terms(F.col("text"))).alias("term")).join(lex, "term", "left")
     return rows.groupBy(*key).agg(F.sort_array(F.collect_set("tid")).alias("tids")).select(*key, subset_hashes(F.col("tids")).alias("hashes"))
 
@@ -130,7 +130,7 @@ def compare_neighbours(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     The edited text has the last third of the code points replaced by the first
     ones of the next document.
     """
-    lex = stage(lexicon(docs, text_col), "imatch-lexicon")
+    lex = stage(few(lexicon(docs, text_col)), "imatch-lexicon")
     near = neighbours(docs, id_col, text_col)
     n = F.length("text")
     third = F.floor(n / 3).cast("int")

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from holdfast.llm import byte_bpe, chat_format, imatch, importance_resampling, order_minhash, secret_scan, source_mixing, token_counts, url_filter, weak_supervision
-from holdfast.llm.common import table
+from holdfast.llm.common import stage, table
 
 
 def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -14,7 +14,7 @@ def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return byte_bpe.encode_documents(table(spark, sf_dir, "documents"))
+    return stage(byte_bpe.encode_documents(table(spark, sf_dir, "documents")), "bpe")
 
 
 def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -38,7 +38,7 @@ def op7_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return token_counts.count_tokens(table(spark, sf_dir, "documents"))
+    return stage(token_counts.count_tokens(table(spark, sf_dir, "documents")), "counts")
 
 
 def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -35,7 +35,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from holdfast.llm.common import LOWER, UPPER, stage
+from holdfast.llm.common import LOWER, UPPER, few, stage
 
 CANDIDATE = (
     r"-----BEGIN [A-Z ]{0,30}PRIVATE KEY-----[^-]{1,8000}-----END [A-Z ]{0,30}PRIVATE KEY-----"
@@ -86,8 +86,8 @@ def covered(findings: DataFrame, words: DataFrame) -> DataFrame:
     starts = values.select("value", F.explode(F.sequence(F.lit(1), F.greatest(F.length("value") - 2, F.lit(1)))).alias("at"))
     pieces = starts.select("value", "at", F.explode(F.sequence(F.lit(3), F.lit(8))).alias("n")).filter("at + n - 1 <= length(value)")
     pieces = pieces.select("value", "at", "n", F.substring(low, F.col("at"), F.col("n")).alias("word"))
-    few = words.limit(BROADCAST_WORDS + 1).count() <= BROADCAST_WORDS
-    met = pieces.join(F.broadcast(words) if few else words, "word")
+    small = words.limit(BROADCAST_WORDS + 1).count() <= BROADCAST_WORDS
+    met = pieces.join(F.broadcast(words) if small else words, "word")
     longest = met.groupBy("value", "at").agg(F.max("n").alias("n"))
     spread = longest.select("value", F.explode(F.sequence(F.col("at"), F.col("at") + F.col("n") - 1)).alias("c")).distinct()
     return spread.groupBy("value").agg((F.count("*") / F.length("value")).alias("f_covered"))
@@ -164,15 +164,15 @@ def forest(labelled: DataFrame, words: DataFrame, seed: int = 1):
 def judged(docs: DataFrame, text_col: str = "text", labelled: DataFrame | None = None) -> DataFrame:
     """key, k, start, n_chars, value_sha256, probability, is_secret of each candidate of each different text."""
     spark = docs.sparkSession
-    words = stage(dictionary(docs, text_col), "secret-dictionary")
+    words = stage(few(dictionary(docs, text_col)), "secret-dictionary")
     model = forest(labelled if labelled is not None else labelled_findings(spark), words)
-    found = stage(candidates(docs, text_col), "secret-candidates")
+    found = stage(few(candidates(docs, text_col)), "secret-candidates")
     context = found.select("value", "left", "right").distinct()
     vectors = VectorAssembler(inputCols=FEATURES, outputCol="f_all").transform(features(context, words))
     scored = model.transform(vectors).select("value", "left", "right", F.round(vector_to_array("probability")[1], 9).alias("probability"))
     out = found.join(scored, ["value", "left", "right"])
     out = out.select("key", "k", "start", F.length("value").alias("n_chars"), F.sha2("value", 256).alias("value_sha256"), "probability", (F.col("probability") >= KEEP_AT).alias("is_secret"))
-    return stage(out, "secret-findings")
+    return stage(few(out), "secret-findings")
 
 
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", labelled: DataFrame | None = None) -> DataFrame:
@@ -196,4 +196,4 @@ def redact(docs: DataFrame, text_col: str = "text", chars_col: str | None = "n_c
     fields[text_col] = F.col("t_").alias(text_col)
     if chars_col in fields:
         fields[chars_col] = F.when(F.col("cut_"), F.length("t_").cast(docs.schema[chars_col].dataType)).otherwise(F.col("row").getField(chars_col)).alias(chars_col)
-    return docs.filter(~hit).unionByName(held.select(*fields.values()))
+    return docs.filter(~hit).unionByName(few(held.select(*fields.values())))

@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from holdfast.llm.common import stage
+from holdfast.llm.common import few, release_memory, stage
 
 BLOCK = 256
 SHARDS = 64
@@ -159,7 +159,7 @@ def sizes_of(docs: DataFrame, id_col: str, text_col: str, source_col: str) -> Da
     n = F.regexp_count(F.coalesce(F.col(text_col), F.lit("")), F.lit(WORD)).cast("bigint")
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).cast("string").alias("source"), n.alias("size"), F.xxhash64(F.col(text_col)).alias("text_hash"))
     own = Window.partitionBy("doc_id", "text_hash", "source").orderBy("size")
-    return stage(rows.withColumn("copy", F.row_number().over(own)), "mix-sizes")
+    return stage(few(rows.withColumn("copy", F.row_number().over(own))), "mix-sizes")
 
 
 def plan_of(rows: DataFrame, **options) -> tuple[Plan, DataFrame]:
@@ -241,7 +241,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     zero = rows.select(*own, F.lit(0).cast("bigint").alias("n_taken"))
     got = pieces_of(rows, plan).select(*KEY, *[F.lit(None).cast(t).alias(c) for c, t in (("source", "string"), ("size", "bigint"), ("source_size", "bigint"), ("target", "double"))], "n_taken")
     out = zero.unionByName(got).groupBy(*KEY).agg(*[F.max(c).alias(c) for c in own[len(KEY):]], F.sum("n_taken").alias("taken"))
-    return out.select("doc_id", "source", "size", "source_size", "target", "taken")
+    return few(out).select("doc_id", "source", "size", "source_size", "target", "taken")
 
 
 def cut_words(text: str, runs: list[tuple[int, int]]) -> str:
@@ -258,6 +258,16 @@ def cut_words(text: str, runs: list[tuple[int, int]]) -> str:
     return "\n".join(text[spans[a][0] : spans[b - 1][1]] for a, b in merged)
 
 
+def cut_all(texts: pa.Array, runs: pa.Array, rows: int = 500) -> pa.Array:
+    """cut_words over a batch, `rows` at a time."""
+    out = []
+    for at in range(0, len(texts), rows):
+        own = zip(texts.slice(at, rows).to_pylist(), runs.slice(at, rows).to_pylist())
+        out.append(pa.array([cut_words(t, [(r["from_word"], r["n_taken"]) for r in rs]) for t, rs in own], pa.string()))
+    release_memory()
+    return pa.concat_arrays(out) if out else pa.array([], pa.string())
+
+
 def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", chars_col: str | None = "n_chars", **options) -> DataFrame:
     """The mixed corpus: for each pass over a document a row with the words that the mix takes.
 
@@ -278,9 +288,9 @@ def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     @F.arrow_udf("string")
     def cut(texts: pa.Array, runs: pa.Array) -> pa.Array:
-        return pa.array([cut_words(t, [(r["from_word"], r["n_taken"]) for r in rs]) for t, rs in zip(texts.to_pylist(), runs.to_pylist())], pa.string())
+        return cut_all(texts, runs)
 
-    met = held.join(got, on).select("row", cut(F.col("row").getField(text_col), F.col("runs_")).alias("cut_"))
+    met = few(held.join(got, on)).select("row", cut(F.col("row").getField(text_col), F.col("runs_")).alias("cut_"))
     fields = {c: F.col("row").getField(c).alias(c) for c in docs.columns}
     fields[text_col] = F.col("cut_").alias(text_col)
     if chars_col in fields:

@@ -28,6 +28,7 @@ def test_bpe_equals_the_library(spark):
 def test_bpe_segments_and_emptied_cache(monkeypatch):
     monkeypatch.setattr(byte_bpe, "SEGMENT", 7)
     monkeypatch.setattr(byte_bpe, "CACHE_WORDS", 10)
+    monkeypatch.setattr(byte_bpe, "KEEP_WORDS", 3)
     import regex
 
     enc = _tiktoken()
