@@ -16,9 +16,12 @@ At SIMILAR 0.8, a pair at the limit agrees on one sketch with probability about
 
 Scale: equal texts are one node (hash of the text), so a group of copies costs
 one text. In a bucket of equal sketches, members meet leaders (the most central
-members), not each other; members that no leader links to go on to a next round
-with four times as many leaders, until none is left, so no candidate is
-dropped and no round emits all pairs of a large bucket. Texts of candidates are
+members), not each other; members that no leader links to are dealt anew by their rarest k-mers: two texts
+of similarity SIMILAR must share one of the rarest 1 - SIMILAR of each (the
+prefix filter of set joins, exact), while edits of one text below SIMILAR, or
+texts around a common passage, have rare k-mers of their own. Rounds with four
+times as many leaders each go on until none is left; no round emits all pairs
+of a large bucket. Texts of candidates are
 fetched once, through a broadcast of their hashes only while these are at most
 BROADCAST_NODES. Buckets, leaders and components are aggregations with partial
 steps and inner joins that Spark can split at a skewed key; results between
@@ -40,7 +43,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from holdfast.llm.common import stage
+from holdfast.llm.common import few, release_memory, stage
 
 K = 5
 SKETCHES, ELL = 32, 6
@@ -59,7 +62,7 @@ class _WordHashes(dict):
     def __missing__(self, word: str) -> int:
         import xxhash
 
-        if len(self) > 500_000:
+        if len(self) > 200_000:
             self.clear()
         self[word] = h = xxhash.xxh3_64_intdigest(word)
         return h
@@ -68,6 +71,12 @@ class _WordHashes(dict):
 _HASHES = _WordHashes()
 
 
+def forget() -> None:
+    """At a task's end: the worker lives on."""
+    _HASHES.clear()
+    release_memory()
+
+
 def word_hashes(text: str | None) -> np.ndarray:
     found = _WORD.findall((text or "").lower())
     return np.fromiter(map(_HASHES.__getitem__, found), np.uint64, len(found))
@@ -103,7 +112,7 @@ def labelled(w: np.ndarray, k: int = K) -> np.ndarray:
 def sketch(x: np.ndarray) -> np.ndarray:
     """SKETCHES values of a labelled k-mer sequence: hashes of the ELL minima in text order."""
     n, out = len(x), np.empty(SKETCHES, np.uint64)
-    step = max(1, min(SKETCHES, 2_000_000 // max(n, 1)))
+    step = max(1, min(SKETCHES, 500_000 // max(n, 1)))
     for a in range(0, SKETCHES, step):
         xor, mul = _XOR[a : a + step, None], _MUL[a : a + step, None]
         if n > ELL:
@@ -162,6 +171,7 @@ def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             at.append(at[-1] + (SKETCHES if len(x) else 0))
         values = pa.array(np.concatenate(flat) if flat else np.empty(0, np.int64))
         yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(n, pa.int32()), pa.ListArray.from_arrays(pa.array(at, pa.int32()), values)], names=["doc_id", "h", "n", "keys"])
+    forget()
 
 
 def _verifier(least: float):
@@ -176,6 +186,7 @@ def _verifier(least: float):
                 wb = word_hashes(tb.as_py())
                 sims.append(similarity(wa, wb, xa, labelled(wb), least))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sims, pa.float64())], names=["a", "b", "sim"])
+        forget()
 
     return run
 
@@ -185,6 +196,33 @@ def _hashed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.unhex(F.md5(text)).alias("h"), text.alias("text"))
 
 
+def shared(members: DataFrame) -> DataFrame:
+    """Members of buckets that have two at least."""
+    full = members.groupBy("key").agg(F.count("*").alias("c")).filter("c > 1").select("key")
+    return members.join(full, "key", "left_semi")
+
+
+def _kmers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        x = [labelled(word_hashes(t.as_py())).astype(np.int64) for t in b.column(2)]
+        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(x, pa.list_(pa.int64()))], names=["h", "score", "x"])
+    forget()
+
+
+def rarest(texts: DataFrame, nodes: DataFrame, least: float) -> DataFrame:
+    """key, h, n, score, at: of each node the k-mers that a text of similarity `least` must share one of.
+
+    Nodes' k-mers are ordered by the number of nodes that have them; of n, the
+    first n - ceil(least * n) + 1 are given, without those that no other has.
+    """
+    x = texts.join(nodes, "h").select("h", "score", "text").mapInArrow(_kmers, "h binary, score bigint, x array<bigint>")
+    rows = stage(few(x.select("h", "score", F.size("x").alias("n"), F.explode("x").alias("key"))), "omh-rest")
+    counts = rows.groupBy("key").agg(F.count("*").alias("df"))
+    order = F.row_number().over(Window.partitionBy("h").orderBy("df", "key"))
+    ranked = rows.join(counts, "key").select("key", "h", "n", "score", "df", order.alias("at"))
+    return ranked.filter((F.col("at") <= F.col("n") - F.ceil(F.col("n") * F.lit(least - 1e-9)) + 1) & (F.col("df") > 1)).select("key", "h", "n", "score", "at")
+
+
 def links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: float = SIMILAR) -> tuple[DataFrame, DataFrame]:
     """(rows, links): rows doc_id, h of each document; links a, b, sim between hashes of different texts."""
     spark, texts = docs.sparkSession, _hashed(docs, id_col, text_col)
@@ -193,47 +231,48 @@ def links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least
     keys = nodes.select("h", "rep", "n", F.explode("keys").alias("key"))
     full = keys.groupBy("key").agg(F.count("*").alias("c")).filter("c > 1")
     held = keys.join(full, "key")
-    left = stage(held, "omh-members")
+    left = stage(few(held), "omh-members")
     empty = spark.createDataFrame([], "a binary, b binary, sim double")
     own = left.groupBy("h").agg(F.min("rep").alias("rep"), F.sum("c").alias("score"))
-    own = stage(own, "omh-candidates")
+    own = stage(few(own), "omh-candidates")
     n_own = own.count()
     if not n_own:
         return rows.select("doc_id", "h"), empty
-    few = n_own <= BROADCAST_NODES
+    small = n_own <= BROADCAST_NODES
     wanted = own.select("h", "rep")
-    fetched = texts.join(F.broadcast(wanted) if few else wanted, "h").filter(F.col("doc_id").eqNullSafe(F.col("rep")))
-    fetched = stage(fetched.groupBy("h").agg(F.first("text").alias("text")), "omh-texts")
-    left = left.join(own.select("h", "score"), "h").select("key", "h", "n", "score")
+    fetched = texts.join(F.broadcast(wanted) if small else wanted, "h").filter(F.col("doc_id").eqNullSafe(F.col("rep")))
+    fetched = stage(few(fetched.groupBy("h").agg(F.first("text").alias("text"))), "omh-texts")
+    left = left.join(own.select("h", "score"), "h").select("key", "h", "n", "score", F.lit(0).alias("at"))
     tested, g = None, 1
     while True:
-        left = stage(left, "omh-left")
+        left = stage(few(left), "omh-left")
         if left.isEmpty():
             break
         rank = F.row_number().over(Window.partitionBy("key").orderBy(F.desc("score"), "h"))
-        lead = left.select("key", F.col("h").alias("lh"), F.col("n").alias("ln"), F.col("score").alias("ls"), rank.alias("r")).filter(F.col("r") <= g).drop("r")
+        lead = left.select("key", F.col("h").alias("lh"), F.col("n").alias("ln"), F.col("score").alias("ls"), F.col("at").alias("lat"), rank.alias("r")).filter(F.col("r") <= g).drop("r")
         # each member meets the leaders that rank before it
         before = (F.col("ls") > F.col("score")) | ((F.col("ls") == F.col("score")) & (F.col("lh") < F.col("h")))
-        alike = F.least("n", "ln") >= F.greatest("n", "ln") * F.lit(least - 1e-9)
-        met = stage(left.join(lead, "key").filter(before & alike).select("key", "h", "lh"), "omh-met")
+        # k-mers that the two can share at most, given their numbers and the places of this one, reach `least`
+        alike = F.least(F.col("n") - F.col("at"), F.col("ln") - F.col("lat")) + 1 >= (F.col("n") + F.col("ln")) * F.lit(least / (1 + least) - 1e-9)
+        met = stage(few(left.join(lead, "key").filter(before & alike).select("key", "h", "lh")), "omh-met")
         pairs = met.select(F.col("lh").alias("a"), F.col("h").alias("b")).distinct()
         if tested is not None:
             pairs = pairs.join(tested.select("a", "b"), ["a", "b"], "left_anti")
         texted = pairs.join(fetched.select(F.col("h").alias("a"), F.col("text").alias("ta")), "a").join(fetched.select(F.col("h").alias("b"), F.col("text").alias("tb")), "b")
-        new = stage(texted.select("a", "b", "ta", "tb").mapInArrow(_verifier(least), "a binary, b binary, sim double"), "omh-tested")
+        new = stage(few(texted.select("a", "b", "ta", "tb")).mapInArrow(_verifier(least), "a binary, b binary, sim double"), "omh-tested")
         tested = new if tested is None else tested.unionByName(new)
         done = met.join(tested.filter("sim IS NOT NULL"), (F.col("lh") == F.col("a")) & (F.col("h") == F.col("b")), "left_semi").select("key", "h")
         done = done.unionByName(lead.select("key", F.col("lh").alias("h")))
-        left = left.join(done.distinct(), ["key", "h"], "left_anti")
-        again = left.groupBy("key").agg(F.count("*").alias("c")).filter("c > 1").select("key")
-        left = left.join(again, "key", "left_semi")
-        g *= 4
+        left = shared(left.join(done.distinct(), ["key", "h"], "left_anti"))
+        if g == 1:
+            left = shared(rarest(fetched, left.select("h", "score").distinct(), least))
+        g *= 16
     return rows.select("doc_id", "h"), tested.filter("sim IS NOT NULL")
 
 
 def components(edges: DataFrame) -> DataFrame:
     """node, label (the least node of its component) for edges (a, b); alternating star contraction."""
-    edges = stage(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u != v").distinct(), "cc-edges")
+    edges = stage(few(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u != v").distinct()), "cc-edges")
     seen = None
     while True:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -241,7 +280,7 @@ def components(edges: DataFrame) -> DataFrame:
         large = both.join(low, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").filter("v != m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v"))).distinct()
-        edges = stage(small, "cc-edges")
+        edges = stage(few(small), "cc-edges")
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == seen:
             return edges.select(F.col("u").alias("node"), F.col("v").alias("label"))
@@ -257,7 +296,7 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lea
     least_ids = nodes.groupBy("label").agg(F.min("low").alias("class_id"), F.count("*").alias("n_texts"))
     named = nodes.join(least_ids, "label").select("h", "class_id", "n_texts")
     out = rows.join(named, "h")
-    return out.select("doc_id", F.lower(F.hex("h")).alias("text_hash"), "class_id", "n_texts", F.col("doc_id").eqNullSafe(F.col("class_id")).alias("kept"))
+    return few(out).select("doc_id", F.lower(F.hex("h")).alias("text_hash"), "class_id", "n_texts", F.col("doc_id").eqNullSafe(F.col("class_id")).alias("kept"))
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: float = SIMILAR) -> DataFrame:
@@ -269,8 +308,8 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", le
     judged = stage(classes(docs, id_col, text_col, least).select("doc_id", "text_hash", "kept"), "omh-kept")
     gone = judged.filter(~F.col("kept")).select(F.col("doc_id").alias("i_"), F.col("text_hash").alias("h_")).distinct()
     held = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(id_col).cast("bigint").alias("id_"), F.md5(F.coalesce(F.col(text_col), F.lit(""))).alias("hash_"))
-    few = gone.limit(BROADCAST_NODES + 1).count() <= BROADCAST_NODES
-    gone = F.broadcast(gone) if few else gone
+    small = gone.limit(BROADCAST_NODES + 1).count() <= BROADCAST_NODES
+    gone = F.broadcast(gone) if small else gone
     held = held.join(gone, held.id_.eqNullSafe(F.col("i_")) & (F.col("hash_") == F.col("h_")), "left_anti")
     stays = judged.filter("kept").groupBy("doc_id", "text_hash").agg(F.count("*").alias("c")).filter("c > 1")
     if not stays.isEmpty():
