@@ -15,17 +15,19 @@ At SIMILAR 0.8, a pair at the limit agrees on one sketch with probability about
 0.8 ** 6 = 0.26 and on one of 32 with 0.9999; a pair at 0.3 with 0.02.
 
 Scale: equal texts are one node (hash of the text), so a group of copies costs
-one text. In a bucket of equal sketches, members meet leaders (the most central
-members), not each other; members that no leader links to are dealt anew by their rarest k-mers: two texts
-of similarity SIMILAR must share one of the rarest 1 - SIMILAR of each (the
-prefix filter of set joins, exact), while edits of one text below SIMILAR, or
-texts around a common passage, have rare k-mers of their own. Rounds with four
-times as many leaders each go on until none is left; no round emits all pairs
-of a large bucket. Texts of candidates are
-fetched once, through a broadcast of their hashes only while these are at most
-BROADCAST_NODES. Buckets, leaders and components are aggregations with partial
-steps and inner joins that Spark can split at a skewed key; results between
-rounds are tables in the shared folder.
+one text. In a bucket of equal sketches, members meet a leader (the most
+central member), not each other. Members that their leader does not take meet
+all others of their buckets, but through their rarest k-mers: two texts of
+similarity SIMILAR must share one of the rarest 1 - SIMILAR of each (the prefix
+and place filters of set joins, which lose nothing), while edits of one text
+below SIMILAR, or texts around a common passage, have rare k-mers of their own.
+So of two members of a bucket either both are in its leader's component or they
+are compared, unless they are in one component already. Rounds with sixteen times as many leaders each go on until every
+such member has led; no round emits all pairs of a large bucket. Texts of
+candidates are fetched once, through a broadcast of their hashes only while
+these are at most BROADCAST_NODES. Buckets, leaders and components are
+aggregations with partial steps and inner joins that Spark can split at a
+skewed key; results between rounds are tables in the shared folder.
 
 Defined results: a null text is the empty text; texts without words are in a
 class only with equal texts; a text of one to four words is one k-mer;
@@ -197,30 +199,30 @@ def _hashed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def shared(members: DataFrame) -> DataFrame:
-    """Members of buckets that have two at least."""
-    full = members.groupBy("key").agg(F.count("*").alias("c")).filter("c > 1").select("key")
+    """Members of buckets that hold two components at least, one of them with an open member."""
+    full = members.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.max("open").alias("o")).filter("lo <> hi AND o").select("key")
     return members.join(full, "key", "left_semi")
 
 
 def _kmers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         x = [labelled(word_hashes(t.as_py())).astype(np.int64) for t in b.column(2)]
-        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(x, pa.list_(pa.int64()))], names=["h", "score", "x"])
+        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(3), pa.array(x, pa.list_(pa.int64()))], names=["h", "score", "open", "x"])
     forget()
 
 
 def rarest(texts: DataFrame, nodes: DataFrame, least: float) -> DataFrame:
-    """key, h, n, score, at: of each node the k-mers that a text of similarity `least` must share one of.
+    """key, h, n, score, at, open: of each node (h, score, open) the k-mers that a text of similarity `least` must share one of.
 
     Nodes' k-mers are ordered by the number of nodes that have them; of n, the
     first n - ceil(least * n) + 1 are given, without those that no other has.
     """
-    x = texts.join(nodes, "h").select("h", "score", "text").mapInArrow(_kmers, "h binary, score bigint, x array<bigint>")
-    rows = stage(few(x.select("h", "score", F.size("x").alias("n"), F.explode("x").alias("key"))), "omh-rest")
+    x = texts.join(nodes, "h").select("h", "score", "text", "open").mapInArrow(_kmers, "h binary, score bigint, open boolean, x array<bigint>")
+    rows = stage(few(x.select("h", "score", "open", F.size("x").alias("n"), F.explode("x").alias("key"))), "omh-rest")
     counts = rows.groupBy("key").agg(F.count("*").alias("df"))
     order = F.row_number().over(Window.partitionBy("h").orderBy("df", "key"))
-    ranked = rows.join(counts, "key").select("key", "h", "n", "score", "df", order.alias("at"))
-    return ranked.filter((F.col("at") <= F.col("n") - F.ceil(F.col("n") * F.lit(least - 1e-9)) + 1) & (F.col("df") > 1)).select("key", "h", "n", "score", "at")
+    ranked = rows.join(counts, "key").select("key", "h", "n", "score", "open", "df", order.alias("at"))
+    return ranked.filter((F.col("at") <= F.col("n") - F.ceil(F.col("n") * F.lit(least - 1e-9)) + 1) & (F.col("df") > 1)).select("key", "h", "n", "score", "at", "open")
 
 
 def links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: float = SIMILAR) -> tuple[DataFrame, DataFrame]:
@@ -242,30 +244,37 @@ def links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least
     wanted = own.select("h", "rep")
     fetched = texts.join(F.broadcast(wanted) if small else wanted, "h").filter(F.col("doc_id").eqNullSafe(F.col("rep")))
     fetched = stage(few(fetched.groupBy("h").agg(F.first("text").alias("text"))), "omh-texts")
-    left = left.join(own.select("h", "score"), "h").select("key", "h", "n", "score", F.lit(0).alias("at"))
+    left = left.join(own.select("h", "score"), "h").select("key", "h", "n", "score", F.lit(0).alias("at"), F.lit(True).alias("open"), F.col("h").alias("comp"))
     tested, g = None, 1
     while True:
         left = stage(few(left), "omh-left")
         if left.isEmpty():
             break
         rank = F.row_number().over(Window.partitionBy("key").orderBy(F.desc("score"), "h"))
-        lead = left.select("key", F.col("h").alias("lh"), F.col("n").alias("ln"), F.col("score").alias("ls"), F.col("at").alias("lat"), rank.alias("r")).filter(F.col("r") <= g).drop("r")
-        # each member meets the leaders that rank before it
-        before = (F.col("ls") > F.col("score")) | ((F.col("ls") == F.col("score")) & (F.col("lh") < F.col("h")))
+        lead = left.filter("open").select("key", F.col("h").alias("lh"), F.col("n").alias("ln"), F.col("at").alias("lat"), F.col("comp").alias("lcomp"), rank.alias("r")).filter(F.col("r") <= g).drop("r")
         # k-mers that the two can share at most, given their numbers and the places of this one, reach `least`
         alike = F.least(F.col("n") - F.col("at"), F.col("ln") - F.col("lat")) + 1 >= (F.col("n") + F.col("ln")) * F.lit(least / (1 + least) - 1e-9)
-        met = stage(few(left.join(lead, "key").filter(before & alike).select("key", "h", "lh")), "omh-met")
-        pairs = met.select(F.col("lh").alias("a"), F.col("h").alias("b")).distinct()
+        met = stage(few(left.join(lead, "key").filter((F.col("comp") != F.col("lcomp")) & alike).select("key", "h", "lh")), "omh-met")
+        pairs = met.select(F.least("lh", "h").alias("a"), F.greatest("lh", "h").alias("b")).distinct()
         if tested is not None:
             pairs = pairs.join(tested.select("a", "b"), ["a", "b"], "left_anti")
         texted = pairs.join(fetched.select(F.col("h").alias("a"), F.col("text").alias("ta")), "a").join(fetched.select(F.col("h").alias("b"), F.col("text").alias("tb")), "b")
         new = stage(few(texted.select("a", "b", "ta", "tb")).mapInArrow(_verifier(least), "a binary, b binary, sim double"), "omh-tested")
         tested = new if tested is None else tested.unionByName(new)
-        done = met.join(tested.filter("sim IS NOT NULL"), (F.col("lh") == F.col("a")) & (F.col("h") == F.col("b")), "left_semi").select("key", "h")
-        done = done.unionByName(lead.select("key", F.col("lh").alias("h")))
-        left = shared(left.join(done.distinct(), ["key", "h"], "left_anti"))
+        label = components(tested.filter("sim IS NOT NULL")).withColumnRenamed("node", "h")
+        led = lead.select("key", F.col("lh").alias("h"))
         if g == 1:
-            left = shared(rarest(fetched, left.select("h", "score").distinct(), least))
+            # open: who is not in the component of a leader that it met
+            heads = led.join(label, "h", "left").select("key", F.coalesce("label", "h").alias("hcomp"))
+            over = left.drop("comp").join(label, "h", "left").withColumn("comp", F.coalesce("label", "h")).join(heads, "key").filter("comp <> hcomp")
+            over = stage(few(over.select("key", "h").distinct()), "omh-over")
+            near = left.join(over.select("key").distinct(), "key", "left_semi").select("h", "score").distinct()
+            near = near.join(over.select("h").distinct().withColumn("open", F.lit(True)), "h", "left").withColumn("open", F.coalesce("open", F.lit(False)))
+            left = rarest(fetched, near, least)
+        else:
+            # a leader has met all of its bucket
+            left = left.drop("comp").join(led, ["key", "h"], "left_anti")
+        left = shared(left.join(label, "h", "left").withColumn("comp", F.coalesce("label", "h")).drop("label"))
         g *= 16
     return rows.select("doc_id", "h"), tested.filter("sim IS NOT NULL")
 

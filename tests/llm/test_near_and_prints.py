@@ -68,13 +68,16 @@ def test_small_tables(spark):
     assert sorted((r["class_id"] is None, r["class_id"]) for r in om.classes(no_id).collect())[:3] == [(False, 5)] * 3
 
 
-def test_links_in_a_bucket_without_one_centre(spark, monkeypatch):
-    """Rounds with more leaders go on until each member is linked or has led."""
-    monkeypatch.setattr(om, "SKETCHES", 4)
-    monkeypatch.setattr(om, "_XOR", om._XOR[:4])
-    monkeypatch.setattr(om, "_MUL", om._MUL[:4])
-    w = om.word_hashes(prose(3, 50))
-    assert len(om.sketch(om.labelled(w))) == 4
+def test_chains_of_copies(spark):
+    """Each text is a copy of the one before it: far ones are linked through those between."""
+    texts = [prose(77, 400, 4000)]
+    for i in range(40):
+        texts.append(edit(texts[-1], 900 + i, 0.012))
+    texts += [prose(78 + i, 200, 4000) for i in range(5)]
+    want = brute(texts)
+    assert len(set(want)) < 12
+    got = {r["doc_id"]: r["class_id"] for r in om.classes(docs_frame(spark, texts)).collect()}
+    assert [got[i] for i in range(len(texts))] == want
 
 
 def test_components(spark):
