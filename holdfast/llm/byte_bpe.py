@@ -32,9 +32,9 @@ from pyspark.sql import functions as F
 from holdfast.llm.common import release_memory
 
 SEGMENT = 100_000
-CACHE_WORDS = 300_000
-KEEP_WORDS = 100_000
-AT_ONCE = 20_000
+CACHE_WORDS = 450_000
+KEEP_WORDS = 200_000
+AT_ONCE = 50_000
 ROWS = 1000
 LONG_BYTES = 256
 
