@@ -30,7 +30,10 @@ MIN_WORDS = 50
 #: Bounds on what EM may believe of the corpus, and how much of its start it keeps.
 SHARE = (0.05, 0.99)
 PRIOR = 0.25
-RARE, FALSE_ALARM = 0.1, 0.001
+#: How often at most a rule that no other ever backs calls good documents bad.
+FALSE_ALARM = 1e-4
+#: How probably good a document without a bad vote is at the start, and at least while rates are counted.
+CLEAN = 0.95
 ROUNDS = 100
 SYMBOLS = "[^#*$%&|<>]+"
 
@@ -92,13 +95,22 @@ def estimate(patterns: list[tuple[tuple[int, ...], int]], rounds: int = ROUNDS)
     and counts the rates again; PRIOR of the first counts is mixed in, and a
     rule may not call good documents bad more often than bad ones, so the
     classes cannot change places. Kinds of junk exclude each other, so a rule
-    for a rare kind stands alone: one that calls at most RARE of all documents
-    bad is held to FALSE_ALARM; one that calls more must be backed by others.
+    may stand alone, and votes cannot tell its kind from false alarms: how
+    often it may call good documents bad is held to FALSE_ALARM ** (1 - b), b
+    being the share of its bad votes that another rule backs. That depends on
+    b only, not on how common the kind is. For the same reason a document that
+    no rule calls bad counts as good to CLEAN at least in each round: the bad
+    class expects several kinds in one document and would fill up with it.
     """
     if not patterns:
         return [], 0.5
     m, total = len(patterns[0][0]), sum(n for _, n in patterns)
-    good = [0.05 if -1 in votes else 0.95 for votes, _ in patterns]
+    most = []
+    for j in range(m):
+        fires = sum(n for votes, n in patterns if votes[j] == -1)
+        backed = sum(n for votes, n in patterns if votes[j] == -1 and votes.count(-1) > 1)
+        most.append(FALSE_ALARM ** (1 - backed / max(fires, 1)))
+    good = [1 - CLEAN if -1 in votes else CLEAN for votes, _ in patterns]
     rates, share, first = [], 0.5, None
     for _ in range(rounds):
         counts = [{y: dict.fromkeys((-1, 1), 1e-2) for y in (0, 1)} for _ in range(m)]
@@ -109,16 +121,15 @@ def estimate(patterns: list[tuple[tuple[int, ...], int]], rounds: int = ROUNDS)
                     counts[j][0][v] += n * (1 - p)
         first = first or counts
         new = []
-        for c, f in zip(counts, first):
+        for c, f, limit in zip(counts, first, most):
             mixed = {y: {v: c[y][v] + PRIOR * f[y][v] for v in c[y]} for y in c}
             r = {y: {v: x / sum(mixed[y].values()) for v, x in mixed[y].items()} for y in mixed}
-            fires = (c[0][-1] + c[1][-1]) / total
-            alarm = min(r[1][-1], r[0][-1], FALSE_ALARM if fires <= RARE else 1.0)
+            alarm = min(r[1][-1], r[0][-1], limit)
             new.append({0: r[0], 1: {-1: alarm, 1: 1 - alarm}})
         new_share = min(max(sum(n * p for (_, n), p in zip(patterns, good)) / total, SHARE[0]), SHARE[1])
         moved = abs(new_share - share) + max((abs(a[y][v] - b[y][v]) for a, b in zip(new, rates) for y in a for v in a[y]), default=1.0)
         rates, share = new, new_share
-        good = [posterior(votes, rates, share) for votes, _ in patterns]
+        good = [max(posterior(votes, rates, share), 0.0 if -1 in votes else CLEAN) for votes, _ in patterns]
         if moved < 1e-9:
             break
     return rates, share

@@ -59,6 +59,19 @@ def test_one_bad_vote_among_good_ones_counts():
     assert [ws.posterior(v, rates, share) >= 0.5 for v, _ in patterns] == [True, False, False, False, True]
 
 
+def test_how_common_a_kind_of_junk_is_does_not_save_it():
+    """The commonest votes of 10,000 documents, with one rule's junk, or two kinds of it, at other shares."""
+    counts = {(1, 1, 1, 1, 1, 1): 8228, (-1, 1, 1, 1, 1, 1): 667, (1, 1, -1, 1, 1, 1): 246, (1, 0, 1, 1, 1, 1): 235, (1, 1, -1, 1, -1, 1): 166, (1, -1, -1, 1, -1, 1): 162, (1, 0, 0, 1, 1, 1): 77, (1, -1, -1, 1, 1, 1): 43, (1, 0, -1, 1, 1, 1): 31}
+    junk = [tuple(-1 if i == j else 1 for i in range(6)) for j in range(6)]
+    cases = [{v: s} for v in junk for s in (0.01, 0.09, 0.099, 0.109, 0.11, 0.154, 0.2, 0.254, 0.33)] + [{a: 0.15, b: 0.15} for a in junk for b in junk if a < b]
+    for shares in cases:
+        rest = {v: n for v, n in counts.items() if v not in shares}
+        total = sum(rest.values()) / (1 - sum(shares.values()))
+        rates, share = ws.estimate(sorted((rest | {v: round(s * total) for v, s in shares.items()}).items()))
+        assert all(ws.posterior(v, rates, share) < 0.3 for v in shares), shares
+        assert ws.posterior((1,) * 6, rates, share) > 0.8, shares
+
+
 def test_keep_good_returns_rows_as_they_were(spark):
     docs = docs_frame(spark, TEXTS)
     docs = docs.unionByName(docs.filter("doc_id = 12"))
