@@ -12,7 +12,11 @@ the words (diagonals within the edits that SIMILAR allows) has that edit
 similarity too. Classes are the connected components of the links.
 
 At SIMILAR 0.8, a pair at the limit agrees on one sketch with probability about
-0.8 ** 6 = 0.26 and on one of 32 with 0.9999; a pair at 0.3 with 0.02.
+0.8 ** 6 = 0.26 and on one of 32 with 0.9999; a pair at 0.3 with 0.02. Texts of
+at most ELL k-mers are sketched by all of them, so a sketch would need equal
+texts there: these, and all that can be similar to them (ELL / SIMILAR k-mers),
+also stand under the first 1 - SIMILAR of their k-mers by hash, of which two
+texts of similarity SIMILAR must share one. No link among them is lost.
 
 Scale: equal texts are one node (hash of the text), so a group of copies costs
 one text. In a bucket of equal sketches, members meet a leader (the most
@@ -131,6 +135,12 @@ def sketch(x: np.ndarray) -> np.ndarray:
     return out
 
 
+def first(x: np.ndarray, least: float) -> np.ndarray:
+    """Of at most ELL / least k-mers those that any text of similarity `least` shares one of; none of more."""
+    n = len(x)
+    return np.sort(x)[: n - int(np.ceil(n * (least - 1e-9))) + 1] if n * least <= ELL + 1e-9 else x[:0]
+
+
 def edit_distance(a: list[int], b: list[int], most: int) -> int | None:
     """Insertions and deletions that turn a into b, or None if over `most`: the furthest reach on each diagonal of the band."""
     n, m = len(a), len(b)
@@ -162,18 +172,21 @@ def similarity(wa: np.ndarray, wb: np.ndarray, xa: np.ndarray, xb: np.ndarray, l
     return j if edit_distance(wa.tolist(), wb.tolist(), int((1 - least) * total + 1e-9)) is not None else None
 
 
-def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        n, flat, at = [], [], [0]
-        for t in b.column(2):
-            x = labelled(word_hashes(t.as_py()))
-            n.append(len(x))
-            if len(x):
-                flat.append(sketch(x).astype(np.int64))
-            at.append(at[-1] + (SKETCHES if len(x) else 0))
-        values = pa.array(np.concatenate(flat) if flat else np.empty(0, np.int64))
-        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(n, pa.int32()), pa.ListArray.from_arrays(pa.array(at, pa.int32()), values)], names=["doc_id", "h", "n", "keys"])
-    forget()
+def _sketcher(least: float):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            n, flat, at = [], [], [0]
+            for t in b.column(2):
+                x = labelled(word_hashes(t.as_py()))
+                n.append(len(x))
+                keys = np.concatenate([sketch(x), first(x, least)]).astype(np.int64) if len(x) else np.empty(0, np.int64)
+                flat.append(keys)
+                at.append(at[-1] + len(keys))
+            values = pa.array(np.concatenate(flat) if flat else np.empty(0, np.int64))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(n, pa.int32()), pa.ListArray.from_arrays(pa.array(at, pa.int32()), values)], names=["doc_id", "h", "n", "keys"])
+        forget()
+
+    return run
 
 
 def _verifier(least: float):
@@ -228,7 +241,7 @@ def rarest(texts: DataFrame, nodes: DataFrame, least: float) -> DataFrame:
 def links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: float = SIMILAR) -> tuple[DataFrame, DataFrame]:
     """(rows, links): rows doc_id, h of each document; links a, b, sim between hashes of different texts."""
     spark, texts = docs.sparkSession, _hashed(docs, id_col, text_col)
-    rows = stage(texts.mapInArrow(_sketches, "doc_id bigint, h binary, n int, keys array<bigint>"), "omh-sketches")
+    rows = stage(texts.mapInArrow(_sketcher(least), "doc_id bigint, h binary, n int, keys array<bigint>"), "omh-sketches")
     nodes = rows.filter("n > 0").groupBy("h").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("keys").alias("keys"))
     keys = nodes.select("h", "rep", "n", F.explode("keys").alias("key"))
     full = keys.groupBy("key").agg(F.count("*").alias("c")).filter("c > 1")

@@ -80,6 +80,22 @@ def test_chains_of_copies(spark):
     assert [got[i] for i in range(len(texts))] == want
 
 
+def test_short_texts(spark):
+    """Of so few k-mers the sketches take all: pairs of one word more, and a turned round with the same k-mers in another order."""
+    texts = []
+    for n in range(5, 13):
+        for i in range(5):
+            w = [f"w{n}x{i}x{j}" for j in range(n + 1)]
+            texts += [" ".join(w[:n]), " ".join(w)]
+    turn = [f"t{j}" for j in range(6)] * 2
+    texts += [" ".join(turn[:10]), " ".join(turn[1:11])]
+    texts += [f"the same eight words before all of them {i}" for i in range(40)]
+    want = brute(texts)
+    assert all(want[2 * i] == want[2 * i + 1] for i in range(15, 40)) and want[80] == want[81]
+    got = {r["doc_id"]: r["class_id"] for r in om.classes(docs_frame(spark, texts)).collect()}
+    assert [got[i] for i in range(len(texts))] == want
+
+
 def test_components(spark):
     r = random.Random(3)
     edges = [(i, i + 1) for i in range(40)] + [(100, 100 + i) for i in range(1, 60)] + [(r.randrange(200, 260), r.randrange(200, 260)) for _ in range(50)]
