@@ -1,7 +1,7 @@
 """Document fingerprints by I-Match.
 
-Terms (lower-cased runs of letters and digits) whose document frequency lies in
-a band are the lexicon: too common terms say nothing, too rare ones are noise.
+Terms (lower-cased runs of letters and digits) whose document frequency, counted
+over different texts, lies in a band are the lexicon: a group of copies is one text, however many rows it holds, and too common terms say nothing, too rare ones are noise.
 A document keeps its distinct terms of the lexicon, sorted, and is hashed once
 for each of several randomised subsets of the lexicon. A term's own hash deals
 it to subsets at three rates (1/8, 1/64, 1/512), so that short and long texts
@@ -9,7 +9,10 @@ both meet subsets in which they have about one term. The likeness of two
 fingerprints is the share of subsets, among those where either has a term,
 whose hashes agree, at the rate where that is highest.
 
-Scale: document frequencies are one partial aggregation over all documents. The
+Scale: document frequencies are one partial aggregation over all different texts.
+Texts are counted by digest; only of those that occur again the rows are met
+with their digests (broadcast up to BROADCAST_TERMS, counted) and one is kept,
+so no other text is shuffled for it. The
 lexicon has at most (mean distinct terms of a document) / LOW terms, whatever
 the number of documents; its size is counted, and it is broadcast up to
 BROADCAST_TERMS, else joined by shuffle. The rows of a document are regrouped
@@ -44,9 +47,15 @@ def terms(text: Column) -> Column:
 
 
 def lexicon(docs: DataFrame, text_col: str = "text", low: float = LOW, high: float = HIGH) -> DataFrame:
-    """term, tid (its hash) of the terms whose share of all documents lies in [low, high] and that two have at least."""
-    n = docs.count()
-    df = docs.select(F.explode(terms(F.coalesce(F.col(text_col), F.lit("")))).alias("term")).filter("term != ''").groupBy("term").agg(F.count("*").alias("df"))
+    """term, tid (its hash) of the terms whose share of all different texts lies in [low, high] and that two have at least."""
+    texts = docs.select(F.coalesce(F.col(text_col), F.lit("")).alias("text")).withColumn("h", F.unhex(F.md5("text")))
+    counts = stage(few(texts.groupBy("h").agg(F.count("*").alias("c"))), "imatch-texts")
+    n, again = counts.count(), counts.filter("c > 1").select("h")
+    small = again.limit(BROADCAST_TERMS + 1).count() <= BROADCAST_TERMS
+    again = F.broadcast(again) if small else again
+    once = texts.join(again, "h", "left_anti").select("text")
+    copied = texts.join(again, "h", "left_semi").groupBy("h").agg(F.first("text").alias("text")).select("text")
+    df = once.unionByName(copied).select(F.explode(terms(F.col("text"))).alias("term")).filter("term != ''").groupBy("term").agg(F.count("*").alias("df"))
     return df.filter((F.col("df") >= max(2, low * n)) & (F.col("df") <= max(2, high * n))).select("term", F.xxhash64("term").alias("tid"))
 
 

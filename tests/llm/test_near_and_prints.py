@@ -158,6 +158,19 @@ def test_fingerprints_of_neighbours(spark, monkeypatch):
     assert mean("near_edited") > 0.25 and mean("near_edited") > 3 * mean("near_next")
 
 
+def test_large_group_of_copies_keeps_its_terms(spark):
+    """A third of the rows are copies of one text: its terms stay in the lexicon, and near copies stay alike."""
+    other = [" ".join(random.Random(i).choices([f"t{j}" for j in range(2000)], k=120)) for i in range(80)]
+    hot = other[0]
+    docs = docs_frame(spark, other + [hot] * 40)
+    assert {r["term"] for r in im.lexicon(docs).collect()} == {r["term"] for r in im.lexicon(docs_frame(spark, other)).collect()}
+    got = [r for r in im.compare_neighbours(docs).collect() if r["doc_id"] == 0 or r["doc_id"] >= 80]
+    assert not any(r["fingerprint"].startswith("text:") for r in got)
+    at = {r["doc_id"]: r for r in got}
+    assert at[80]["near_next"] < 0.5 and 0.3 < at[80]["near_edited"] <= 1
+    assert at[0]["fingerprint"] == at[80]["fingerprint"]
+
+
 def test_fingerprints_of_few_rows(spark):
     assert im.compare_neighbours(docs_frame(spark, ["a"]).limit(0)).count() == 0
     one = im.compare_neighbours(docs_frame(spark, ["abcdef"])).collect()
