@@ -39,7 +39,7 @@ from holdfast.llm.common import LOWER, UPPER, few, stage
 
 CANDIDATE = (
     r"-----BEGIN [A-Z ]{0,30}PRIVATE KEY-----[^-]{1,8000}-----END [A-Z ]{0,30}PRIVATE KEY-----"
-    r"|(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_-]{20,}+={0,2}"
+    r"|(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{20,}+={0,2}"
     r"|(?<=[:=] ?[\"'])[^\s\"']{8,}+(?=[\"'])"
 )
 NEAR = 80
@@ -65,9 +65,12 @@ def candidates(docs: DataFrame, text_col: str = "text") -> DataFrame:
     parts = held.select("key", F.regexp_extract_all("text", F.lit(CANDIDATE), F.lit(0)).alias("hits"), F.split("text", CANDIDATE, -1).alias("pieces"))
     rows = parts.select("key", F.posexplode(F.arrays_zip(F.col("pieces"), F.col("hits"), F.slice("pieces", F.lit(2), F.size("hits")).alias("after"))).alias("k", "m"))
     rows = rows.select("key", "k", F.col("m.pieces").alias("piece"), F.col("m.hits").alias("value"), F.col("m.after").alias("after"))
-    before = Window.partitionBy("key").orderBy("k").rowsBetween(Window.unboundedPreceding, -1)
+    order = Window.partitionBy("key").orderBy("k")
+    # a long name is a match itself and may hold the sign: what it names still has it on its left
+    named = F.concat(F.when(F.rlike("piece", F.lit("^=?$")), F.coalesce(F.lag("value").over(order), F.lit(""))).otherwise(""), "piece")
+    before = order.rowsBetween(Window.unboundedPreceding, -1)
     ahead = F.coalesce(F.sum(F.length("piece") + F.coalesce(F.length("value"), F.lit(0))).over(before), F.lit(0))
-    rows = rows.select("key", "k", (ahead + F.length("piece")).alias("start"), "value", F.expr(f"right(piece, {NEAR})").alias("left"), F.expr(f"left(after, {NEAR})").alias("right"))
+    rows = rows.select("key", "k", (ahead + F.length("piece")).alias("start"), "value", F.right(named, F.lit(NEAR)).alias("left"), F.expr(f"left(after, {NEAR})").alias("right"))
     return rows.filter("value IS NOT NULL")
 
 
@@ -114,7 +117,7 @@ def features(findings: DataFrame, words: DataFrame) -> DataFrame:
             "f_upper": share(v, "[^A-Z]"),
             "f_distinct": F.size(F.array_distinct(F.split(v, ""))) / F.length(v),
             "f_covered": F.coalesce("f_covered", F.lit(0.0)),
-            "f_path": flag(F.rlike("left", F.lit(r"[/.@\\]$|://\S*$")) | F.rlike("right", F.lit(r"^(\.[A-Za-z]{1,5}\b|[/@\\])")) | F.rlike(v, F.lit(r"^/|/.*/"))),
+            "f_path": flag(F.rlike("left", F.lit(r"[/.@\\]$|://[^\s=]*$")) | F.rlike("right", F.lit(r"^(\.[A-Za-z]{1,5}\b|[/@\\])")) | F.rlike(v, F.lit(r"^/|/.*/"))),
             "f_good": flag(F.rlike("left", F.lit(GOOD_WORDS)) | F.rlike(v, F.lit("^(AKIA|gh[pousr]_|sk[-_]|xox[abp]-|eyJ|AIza|-----BEGIN)"))),
             "f_bad": flag(F.rlike("left", F.lit(BAD_WORDS)) | F.rlike("right", F.lit(BAD_WORDS))),
             "f_assigned": flag(F.rlike("left", F.lit(r"[:=]\s*[\"']?$"))),
@@ -136,19 +139,20 @@ def labelled_findings(spark: SparkSession, n: int = 4000) -> DataFrame:
     uuid = F.regexp_replace(cut(hexes, F.lit(32)), "^(.{8})(.{4})(.{4})(.{4})(.{12})$", "$1-$2-$3-$4-$5")
     prose = pick("l", "and then the old ", "Er in der ", "que de la ", "les deux ", "see it there ", "")
     name = pick("n", "token", "secret", "api_key", "password", "auth_token", "API_KEY", "private_key", "access-token", "Authorization: Bearer", "client_secret")
-    sign = pick("s", ' = "', '="', ": '", " = ", ": ", '": "')
+    sign = pick("s", ' = "', '="', ": '", " = ", ": ", '": "', "=", "=")
+    query = F.concat(pick("u", "https://www.site.org/", "http://a.net/b/", "https://api.c.org/v1/list"), pick("u2", "?", "?page=2&", "?id=7&"), pick("n", "token", "api_key", "key", "auth", "access_token", "secret"), F.lit("="))
     bare = pick("n", "Bearer ", "api key ", "key: ", "token ")
     secret = pick("v", cut(hexes, F.lit(40)), cut(hexes, F.lit(40)), cut(hexes, F.lit(32)), cut(hexes, F.lit(64)), cut(mixed, size("m", 20, 48)), cut(mixed, size("m", 24, 64)), F.concat(F.lit("AKIA"), F.upper(cut(mixed, F.lit(16)))), F.concat(F.lit("ghp_"), cut(mixed, F.lit(36))), F.concat(F.lit("sk-"), cut(mixed, F.lit(40))), F.concat(F.lit("eyJ"), cut(mixed, F.lit(60))), cut(F.concat(F.lit("p@"), mixed), size("m", 9, 16)))
-    known = F.when(F.rlike(secret, F.lit("^(AKIA|ghp_|sk-|eyJ)")), pick("c", F.concat(name, sign), prose, bare)).otherwise(pick("c", F.concat(name, sign), F.concat(name, sign), F.concat(name, sign), bare))
+    known = F.when(F.rlike(secret, F.lit("^(AKIA|ghp_|sk-|eyJ)")), pick("c", F.concat(name, sign), prose, bare, query)).otherwise(pick("c", F.concat(name, sign), F.concat(name, sign), F.concat(name, sign), bare, query))
     digest = pick("v", cut(hexes, F.lit(40)), cut(hexes, F.lit(64)), cut(hexes, F.lit(32)), uuid)
-    digest_at = pick("c", "commit ", "sha256:", "md5 checksum ", "etag: '", "uuid = ", "integrity: ", "revision ", "git hash ", "digest=\"")
+    digest_at = pick("c", "commit ", "sha256:", "md5 checksum ", "etag: '", "uuid = ", "integrity: ", "revision ", "git hash ", "digest=\"", "COMMIT=", "https://a.net/b?rev=", "http://www.site.org/x?id=7&hash=", "SHA256=")
     path = pick("v", F.concat(F.lit("usr/local/"), snake), F.concat(F.lit("src/"), natural, F.lit("/main")), F.concat(natural, F.lit("-"), natural))
     path_at = pick("c", "https://www.site.org/", "/", "open(\"/", "http://a.net/b/", "see ./")
     filler = pick("v", "your_api_key_goes_here", "xxxxxxxxxxxxxxxxxxxxxxxx", "REPLACE_ME_WITH_A_TOKEN", "example-password-1234567", "aaaaaaaaaaaaaaaaaaaaaaaa", "changeme-changeme-changeme", "abcdef1234567890abcdef")
     kind = F.pmod(F.xxhash64("id", F.lit("kind")), F.lit(16))
     rows = spark.range(n).select("id", kind.alias("kind"))
     value = F.when(F.col("kind") < 8, secret).when(F.col("kind") < 11, natural).when(F.col("kind") < 12, snake).when(F.col("kind") < 14, digest).when(F.col("kind") < 15, path).otherwise(filler)
-    left = F.when(F.col("kind") < 8, F.concat(prose, known)).when(F.col("kind") < 11, F.concat(prose, pick("q", "", "", '"', "token of "))).when(F.col("kind") < 12, F.concat(prose, pick("q", "", "key = ", "def "))).when(F.col("kind") < 14, F.concat(prose, digest_at)).when(F.col("kind") < 15, path_at).otherwise(F.concat(name, sign))
+    left = F.when(F.col("kind") < 8, F.concat(prose, known)).when(F.col("kind") < 11, F.concat(prose, pick("q", "", "", '"', "token of "))).when(F.col("kind") < 12, F.concat(prose, pick("q", "", "key = ", "def ", "name=", "https://a.net/b?page="))).when(F.col("kind") < 14, F.concat(prose, digest_at)).when(F.col("kind") < 15, path_at).otherwise(F.concat(name, sign))
     right = F.when(F.col("kind") == 14, pick("r", ".html", "/index", ".py", "")).otherwise(pick("r", '"', "'", " and the rest", "\n", ""))
     return rows.select(left.alias("left"), value.alias("value"), right.alias("right"), (F.col("kind") < 8).cast("double").alias("label"))
 

@@ -46,6 +46,19 @@ def test_findings_and_redaction(spark):
     assert ss.scan(docs.limit(0)).count() == 0 and ss.redact(docs.limit(0)).count() == 0
 
 
+def test_unquoted_values_right_after_the_sign(spark):
+    """.env lines, shell exports, keys in query strings, a name as long as a candidate; digests in the same places stay."""
+    lines = ["API_TOKEN={}", "export CLIENT_SECRET={}", "see https://x.org/?api_key={}&b=1", "see https://x.org/list?page=2&token={}", "THE_LONG_NAME_OF_AN_AUTH_TOKEN={}"]
+    secrets = [line.format(key(100 * j + i)) for j, line in enumerate(lines) for i in range(4)] + ["AWS_ACCESS_KEY_ID=AKIA" + key(i, 16, AB[:26]) for i in range(4)]
+    plain = [line.format(key(900 + 100 * j + i)) for j, line in enumerate(["COMMIT={}", "see https://a.org/get?rev={}", "sha256={}"]) for i in range(4)]
+    docs = docs_frame(spark, [f"{prose(i, 60)}\n{t}\n{prose(i + 50, 40)}" for i, t in enumerate(secrets + plain)])
+    out = {r["doc_id"]: r["text"] for r in ss.redact(docs).collect()}
+    left = [t for i, t in enumerate(secrets) if re.search("[A-Za-z0-9]{20,}", t)[0] in out[i]]
+    assert not left, left
+    assert "?api_key=[SECRET]&b=1" in out[8] and "THE_LONG_NAME_OF_AN_AUTH_TOKEN" in out[16]
+    assert not [t for i, t in enumerate(plain, len(secrets)) if t not in out[i]]
+
+
 def test_forest_on_held_out_findings(spark):
     words = spark.createDataFrame([(w,) for w in "the tion ing ment keit ung ver ein que eux ado cion para heit and ther ous able inter over".split() if len(w) > 2], "word string")
     rows = ss.labelled_findings(spark, 3000).withColumn("fold", F.pmod(F.xxhash64("value"), F.lit(4)))
