@@ -5,38 +5,45 @@ k-mers of K words, each labelled by its occurrence number, so a repeated
 passage counts as often as it stands there. For each of SKETCHES hash
 functions the ELL smallest labelled k-mers are kept in text order and hashed
 together: two texts agree on a sketch where they share those k-mers *and*
-their order, which makes agreement follow edit similarity. Pairs of texts that
-agree on a sketch are candidates; a candidate counts as a link if its labelled
-k-mers have a Jaccard similarity of SIMILAR or more and a banded alignment of
-the words (diagonals within the edits that SIMILAR allows) has that edit
-similarity too. Classes are the connected components of the links.
-
-At SIMILAR 0.8, a pair at the limit agrees on one sketch with probability about
-0.8 ** 6 = 0.26 and on one of 32 with 0.9999; a pair at 0.3 with 0.02. Texts of
-at most ELL k-mers are sketched by all of them, so a sketch would need equal
-texts there: these, and all that can be similar to them (ELL / SIMILAR k-mers),
-also stand under the first 1 - SIMILAR of their k-mers by hash, of which two
-texts of similarity SIMILAR must share one. No link among them is lost.
+their order, which makes agreement follow edit similarity. Texts that agree on
+a sketch are candidates, and a banded alignment of the words decides: a pair is
+a link if 1 - (insertions + deletions) / (words of both) is SIMILAR or more.
+Classes are the connected components of the links.
+
+Candidates: one changed word takes K k-mers with it, so with one word in five
+changed here and there (similarity 0.8) two texts still share about a fifth of
+their k-mers, agree on a sketch of ELL = 2 with probability 0.04 and on one of
+48 with 0.87; at similarity 0.85 with 0.99, at 0.9 with 0.9999. Texts of up to
+SHORT words, where a few edits leave no k-mer, and all that can be similar to
+them, also stand under those of their words of which two texts of similarity
+SIMILAR must share one (longest first, an order that all texts agree on): no
+link among them is lost.
+
+What is tested before a pair is aligned follows from the similarity alone, so
+it costs no link: with n and m words, SIMILAR * (n + m) / 2 words must be
+matched, hence neither text is shorter than that, and as many words must occur
+in both, whatever their order.
 
 Scale: equal texts are one node (hash of the text), so a group of copies costs
-one text. In a bucket of equal sketches, members meet a leader (the most
-central member), not each other. Members that their leader does not take meet
-all others of their buckets, but through their rarest k-mers: two texts of
-similarity SIMILAR must share one of the rarest 1 - SIMILAR of each (the prefix
-and place filters of set joins, which lose nothing), while edits of one text
-below SIMILAR, or texts around a common passage, have rare k-mers of their own.
-So of two members of a bucket either both are in its leader's component or they
-are compared, unless they are in one component already. Rounds with sixteen times as many leaders each go on until every
-such member has led; no round emits all pairs of a large bucket. Texts of
+one text. Buckets of up to SMALL texts compare all; in a larger one its members
+meet a leader (the most central member), not each other. Members that end
+outside their leader's component meet the others through their rarest words:
+two texts of similarity SIMILAR must share one of the rarest third of each (the
+prefix and place filters of set joins, which lose nothing), while texts around
+a common passage have rare words of their own; only texts that are two thirds
+one passage still meet in numbers, in rounds with sixteen times as many leaders
+each until every such member has led. So of two members of a bucket either both
+are in one component, or they are compared, or they cannot be similar. Words of
 candidates are fetched once, through a broadcast of their hashes only while
 these are at most BROADCAST_NODES. Buckets, leaders and components are
 aggregations with partial steps and inner joins that Spark can split at a
-skewed key; results between rounds are tables in the shared folder.
+skewed key; labels are carried from round to round and only new links are
+contracted; results between rounds are tables in the shared folder.
 
 Defined results: a null text is the empty text; texts without words are in a
-class only with equal texts; a text of one to four words is one k-mer;
-repeated rows each give a row; class_id is the least doc_id of a class, null
-if it has none; an empty table gives no rows; extra columns are ignored.
+class only with equal texts; repeated rows each give a row; class_id is the
+least doc_id of a class, null if it has none; an empty table gives no rows;
+extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -49,17 +56,20 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from holdfast.llm.common import few, release_memory, stage
+from holdfast.llm.common import release_memory, stage
 
 K = 5
-SKETCHES, ELL = 32, 6
+SKETCHES, ELL = 48, 2
 SIMILAR = 0.8
+SHORT = 24
+SMALL = 8
 BROADCAST_NODES = 500_000
 _WORD = re.compile(r"\w+")
 _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
 _RNG = np.random.default_rng(4)
 _XOR = _RNG.integers(0, 2**63, SKETCHES, dtype=np.uint64)
 _MUL = _RNG.integers(0, 2**63, SKETCHES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_LAST = np.uint64(2**64 - 1)
 
 
 class _WordHashes(dict):
@@ -83,8 +93,11 @@ def forget() -> None:
     release_memory()
 
 
-def word_hashes(text: str | None) -> np.ndarray:
-    found = _WORD.findall((text or "").lower())
+def words_of(text: str | None) -> list[str]:
+    return _WORD.findall((text or "").lower())
+
+
+def word_hashes(found: list[str]) -> np.ndarray:
     return np.fromiter(map(_HASHES.__getitem__, found), np.uint64, len(found))
 
 
@@ -120,56 +133,83 @@ def sketch(x: np.ndarray) -> np.ndarray:
     n, out = len(x), np.empty(SKETCHES, np.uint64)
     step = max(1, min(SKETCHES, 500_000 // max(n, 1)))
     for a in range(0, SKETCHES, step):
-        xor, mul = _XOR[a : a + step, None], _MUL[a : a + step, None]
-        if n > ELL:
-            v = (x[None, :] ^ xor) * mul
-            v ^= v >> np.uint64(32)
-            at = np.sort(np.argpartition(v, ELL - 1, axis=1)[:, :ELL], axis=1)
-            kept = x[at]
-        else:
-            kept = np.broadcast_to(x, (len(xor), n))
-        h = xor[:, 0] * _M1
+        v = (x[None, :] ^ _XOR[a : a + step, None]) * _MUL[a : a + step, None]
+        v ^= v >> np.uint64(32)
+        rows, at = np.arange(len(v)), []
+        for _ in range(min(ELL, n)):
+            at.append(v.argmin(axis=1))
+            v[rows, at[-1]] = _LAST
+        kept = x[np.sort(np.stack(at, 1), axis=1)]
+        h = _XOR[a : a + step] * _M1
         for i in range(kept.shape[1]):
             h = _mix((h + kept[:, i]) * _M1)
         out[a : a + step] = h
     return out
 
 
-def first(x: np.ndarray, least: float) -> np.ndarray:
-    """Of at most ELL / least k-mers those that any text of similarity `least` shares one of; none of more."""
-    n = len(x)
-    return np.sort(x)[: n - int(np.ceil(n * (least - 1e-9))) + 1] if n * least <= ELL + 1e-9 else x[:0]
+def matches(n: int, least: float) -> int:
+    """Words of a text of n that any text of similarity `least` shares with it."""
+    return int(np.ceil(least * n / (2 - least) - 1e-9))
+
+
+def first(found: list[str], w: np.ndarray, least: float) -> np.ndarray:
+    """Of a text that can be similar to one of SHORT words: the labelled words, longest first, of which a similar text has one."""
+    n = len(found)
+    if matches(n, least) > SHORT:
+        return w[:0]
+    x = labelled(w, 1)
+    order = np.lexsort((x, [-len(v) for v in found]))
+    return _mix(x[order[: n - matches(n, least) + 1]] + _M1)
 
 
-def edit_distance(a: list[int], b: list[int], most: int) -> int | None:
-    """Insertions and deletions that turn a into b, or None if over `most`: the furthest reach on each diagonal of the band."""
+def matched(a: list[int], b: list[int], band: int) -> int:
+    """Words that an alignment within `band` diagonals of the main one can match.
+
+    One bit a word of a: each word of b is one addition over the bits that its
+    band can reach, and a bit that turns 0 is a match. Bits that the band has
+    left are counted and dropped.
+    """
     n, m = len(a), len(b)
-    if abs(n - m) > most:
-        return None
-    reach = {1: 0}
-    for d in range(most + 1):
-        for k in range(-d, d + 1, 2):
-            x = reach[k + 1] if k == -d or (k != d and reach[k - 1] < reach[k + 1]) else reach[k - 1] + 1
-            y = x - k
-            while x < n and y < m and a[x] == b[y]:
-                x += 1
-                y += 1
-            reach[k] = x
-            if x >= n and y >= m:
-                return d
-    return None
-
-
-def similarity(wa: np.ndarray, wb: np.ndarray, xa: np.ndarray, xb: np.ndarray, least: float = SIMILAR) -> float | None:
-    """Jaccard similarity of the labelled k-mers if that and the alignment reach `least`."""
-    if not len(xa) or not len(xb):
-        return None
-    common = len(np.intersect1d(xa, xb, assume_unique=True))
-    j = common / (len(xa) + len(xb) - common)
-    if j < least:
-        return None
+    step = max(band, 64)
+    low, high, v, done = 0, 0, 0, 0
+    for j in range(0, m, step):
+        to_low, to_high = min(max(low, j - band), n), min(n, j + step + band)
+        if (gone := min(to_low, high) - low) > 0:
+            done += gone - (v & ((1 << gone) - 1)).bit_count()
+            v >>= gone
+        if to_high > high:
+            v |= ((1 << (to_high - high)) - 1) << (high - to_low)
+        low, high = to_low, to_high
+        if high <= low:
+            break
+        at: dict[int, int] = {}
+        for i, w in enumerate(a[low:high]):
+            at[w] = at.get(w, 0) | 1 << i
+        full = (1 << (high - low)) - 1
+        for w in b[j : j + step]:
+            if x := at.get(w):
+                u = v & x
+                v = (v + u | v - u) & full
+    return done + (high - low) - v.bit_count()
+
+
+def similarity(wa: np.ndarray, wb: np.ndarray, least: float = SIMILAR) -> tuple[bool, float | None]:
+    """(whether the words were aligned, their edit similarity if it is `least` or more)."""
     total = len(wa) + len(wb)
-    return j if edit_distance(wa.tolist(), wb.tolist(), int((1 - least) * total + 1e-9)) is not None else None
+    edits = int((1 - least) * total + 1e-9)
+    if not len(wa) or not len(wb) or abs(len(wa) - len(wb)) > edits:
+        return False, None
+    need = (total - edits + 1) // 2
+    if len(np.intersect1d(labelled(wa, 1), labelled(wb, 1), assume_unique=True)) < need:
+        return False, None
+    short = min(len(wa), len(wb))
+    head = short if (wa[:short] == wb[:short]).all() else int(np.argmin(wa[:short] == wb[:short]))
+    ra, rb = wa[head:][::-1], wb[head:][::-1]
+    short = min(len(ra), len(rb))
+    tail = short if (ra[:short] == rb[:short]).all() else int(np.argmin(ra[:short] == rb[:short]))
+    same = head + tail
+    same += matched(ra[tail:].tolist(), rb[tail:].tolist(), edits)
+    return True, (2 * same / total if same >= need else None)
 
 
 def _sketcher(least: float):
@@ -177,9 +217,10 @@ def _sketcher(least: float):
         for b in batches:
             n, flat, at = [], [], [0]
             for t in b.column(2):
-                x = labelled(word_hashes(t.as_py()))
-                n.append(len(x))
-                keys = np.concatenate([sketch(x), first(x, least)]).astype(np.int64) if len(x) else np.empty(0, np.int64)
+                found = words_of(t.as_py())
+                n.append(len(found))
+                w = word_hashes(found)
+                keys = np.concatenate([sketch(labelled(w)), first(found, w, least)]).astype(np.int64) if found else np.empty(0, np.int64)
                 flat.append(keys)
                 at.append(at[-1] + len(keys))
             values = pa.array(np.concatenate(flat) if flat else np.empty(0, np.int64))
@@ -189,19 +230,23 @@ def _sketcher(least: float):
     return run
 
 
+def _hash_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        w = [word_hashes(words_of(t.as_py())).tobytes() for t in b.column(1)]
+        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(w, pa.binary())], names=["h", "w"])
+    forget()
+
+
+def _words_in(value: pa.Scalar) -> np.ndarray:
+    return np.frombuffer(value.as_buffer(), np.uint64)
+
+
 def _verifier(least: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, wa, xa = None, None, None
         for batch in batches:
-            sims = []
-            for a, ta, tb in zip(batch.column(0), batch.column(2), batch.column(3)):
-                if (key := a.as_py()) != last:
-                    last, wa = key, word_hashes(ta.as_py())
-                    xa = labelled(wa)
-                wb = word_hashes(tb.as_py())
-                sims.append(similarity(wa, wb, xa, labelled(wb), least))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sims, pa.float64())], names=["a", "b", "sim"])
-        forget()
+            tested = [similarity(_words_in(a), _words_in(b), least) for a, b in zip(batch.column(2), batch.column(3))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([x for x, _ in tested], pa.bool_()), pa.array([x for _, x in tested], pa.float64())], names=["a", "b", "aligned", "sim"])
+        release_memory()
 
     return run
 
@@ -211,90 +256,123 @@ def _hashed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.unhex(F.md5(text)).alias("h"), text.alias("text"))
 
 
-def shared(members: DataFrame) -> DataFrame:
-    """Members of buckets that hold two components at least, one of them with an open member."""
-    full = members.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.max("open").alias("o")).filter("lo <> hi AND o").select("key")
-    return members.join(full, "key", "left_semi")
+def sized(members: DataFrame) -> DataFrame:
+    """Members, with the size c of their bucket, of buckets that hold two components at least, one of them with an open member."""
+    own = Window.partitionBy("key")
+    found = members.withColumns({"c": F.count("*").over(own), "lo": F.min("comp").over(own), "hi": F.max("comp").over(own), "o": F.max("open").over(own)})
+    return found.filter("lo <> hi AND o").drop("lo", "hi", "o")
 
 
-def _kmers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _labelled_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        x = [labelled(word_hashes(t.as_py())).astype(np.int64) for t in b.column(2)]
-        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(3), pa.array(x, pa.list_(pa.int64()))], names=["h", "score", "open", "x"])
-    forget()
+        x = [labelled(_words_in(w), 1).astype(np.int64) for w in b.column(1)]
+        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(x, pa.list_(pa.int64()))], names=["h", "x"])
+    release_memory()
 
 
-def rarest(texts: DataFrame, nodes: DataFrame, least: float) -> DataFrame:
-    """key, h, n, score, at, open: of each node (h, score, open) the k-mers that a text of similarity `least` must share one of.
+def rarest(words: DataFrame, nodes: DataFrame, least: float) -> DataFrame:
+    """key, h, n, score, at, open: of each node (h, score, open, groups) the words that a text of similarity `least` must share one of.
 
-    Nodes' k-mers are ordered by the number of nodes that have them; of n, the
-    first n - ceil(least * n) + 1 are given, without those that no other has.
+    Nodes' labelled words are ordered by the number of nodes that have them; of
+    n, the first n - matches(n) + 1 are given (at counts those before it),
+    without those that no other node has, once for each of the node's groups: a
+    key is a word in a group.
+    """
+    x = words.join(nodes.select("h"), "h").select("h", "w").mapInArrow(_labelled_words, "h binary, x array<bigint>")
+    rows = stage(x.select("h", F.size("x").alias("n"), F.explode("x").alias("word")), "omh-rest")
+    counts = rows.groupBy("word").agg(F.count("*").alias("df"))
+    order = F.row_number().over(Window.partitionBy("h").orderBy("df", "word"))
+    ranked = rows.join(counts, "word").select("word", "h", "n", "df", (order - 1).alias("at"))
+    need = F.ceil(F.col("n") * F.lit(least / (2 - least)) - 1e-9)
+    ranked = ranked.filter((F.col("at") <= F.col("n") - need) & (F.col("df") > 1)).join(nodes, "h")
+    return ranked.select(F.explode("groups").alias("g"), "word", "h", "n", "score", "at", "open").select(F.xxhash64("g", "word").alias("key"), "h", "n", "score", "at", "open")
+
+
+def _met(left: DataFrame, leaders: int, least: float) -> tuple[DataFrame, DataFrame]:
+    """(pairs key, h, lh to test; leaders key, h): all pairs of buckets of up to SMALL, members with leaders in others."""
+    other = lambda x: x.select("key", *[F.col(c).alias("l" + c) for c in ("h", "n", "at", "comp", "open")])
+    # words that the two can match at most, given their numbers and the places of this one, reach `least`
+    alike = F.least(F.col("n") - F.col("at"), F.col("ln") - F.col("lat")) >= (F.col("n") + F.col("ln")) * F.lit(least / 2) - 1e-9
+    fit = (F.col("comp") != F.col("lcomp")) & alike
+    small, large = left.filter(F.col("c") <= SMALL), left.filter(F.col("c") > SMALL)
+    rank = F.row_number().over(Window.partitionBy("key").orderBy(F.desc("score"), "h"))
+    lead = large.filter("open").withColumn("r", rank).filter(F.col("r") <= leaders).drop("r")
+    some = small.join(other(small), "key").filter(fit & (F.col("h") < F.col("lh")) & (F.col("open") | F.col("lopen")))
+    more = large.join(other(lead), "key").filter(fit)
+    return some.select("key", "h", "lh").unionByName(more.select("key", "h", "lh")), lead.select("key", "h")
+
+
+def relabel(label: DataFrame | None, links: DataFrame) -> DataFrame:
+    """label (node, label) after more links (a, b): components of the labels that the links join, then of their nodes."""
+    if label is None:
+        return components(links)
+    of = label.select(F.col("node").alias("x"), F.col("label").alias("y"))
+    a = links.join(of, F.col("a") == F.col("x"), "left").select(F.coalesce("y", "a").alias("a"), "b")
+    b = a.join(of, F.col("b") == F.col("x"), "left").select("a", F.coalesce("y", "b").alias("b"))
+    new = components(b)
+    moved = label.join(new.select(F.col("node").alias("x"), F.col("label").alias("y")), F.col("label") == F.col("x"), "left").select("node", F.coalesce("y", "label").alias("label"))
+    return stage(moved.unionByName(new), "omh-label")
+
+
+def links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: float = SIMILAR) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(rows, tested, label).
+
+    rows: doc_id, h of each document; tested: a, b, aligned, sim of the pairs of
+    hashes of different texts that were compared (sim null: no link); label:
+    node, label of the texts that have links.
     """
-    x = texts.join(nodes, "h").select("h", "score", "text", "open").mapInArrow(_kmers, "h binary, score bigint, open boolean, x array<bigint>")
-    rows = stage(few(x.select("h", "score", "open", F.size("x").alias("n"), F.explode("x").alias("key"))), "omh-rest")
-    counts = rows.groupBy("key").agg(F.count("*").alias("df"))
-    order = F.row_number().over(Window.partitionBy("h").orderBy("df", "key"))
-    ranked = rows.join(counts, "key").select("key", "h", "n", "score", "open", "df", order.alias("at"))
-    return ranked.filter((F.col("at") <= F.col("n") - F.ceil(F.col("n") * F.lit(least - 1e-9)) + 1) & (F.col("df") > 1)).select("key", "h", "n", "score", "at", "open")
-
-
-def links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: float = SIMILAR) -> tuple[DataFrame, DataFrame]:
-    """(rows, links): rows doc_id, h of each document; links a, b, sim between hashes of different texts."""
     spark, texts = docs.sparkSession, _hashed(docs, id_col, text_col)
     rows = stage(texts.mapInArrow(_sketcher(least), "doc_id bigint, h binary, n int, keys array<bigint>"), "omh-sketches")
     nodes = rows.filter("n > 0").groupBy("h").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("keys").alias("keys"))
     keys = nodes.select("h", "rep", "n", F.explode("keys").alias("key"))
     full = keys.groupBy("key").agg(F.count("*").alias("c")).filter("c > 1")
-    held = keys.join(full, "key")
-    left = stage(few(held), "omh-members")
-    empty = spark.createDataFrame([], "a binary, b binary, sim double")
-    own = left.groupBy("h").agg(F.min("rep").alias("rep"), F.sum("c").alias("score"))
-    own = stage(few(own), "omh-candidates")
+    left = stage(keys.join(full, "key"), "omh-members")
+    own = stage(left.groupBy("h").agg(F.min("rep").alias("rep"), F.sum("c").alias("score")), "omh-candidates")
     n_own = own.count()
+    tested, label = spark.createDataFrame([], "a binary, b binary, aligned boolean, sim double"), spark.createDataFrame([], "node binary, label binary")
     if not n_own:
-        return rows.select("doc_id", "h"), empty
+        return rows.select("doc_id", "h"), tested, label
     small = n_own <= BROADCAST_NODES
     wanted = own.select("h", "rep")
     fetched = texts.join(F.broadcast(wanted) if small else wanted, "h").filter(F.col("doc_id").eqNullSafe(F.col("rep")))
-    fetched = stage(few(fetched.groupBy("h").agg(F.first("text").alias("text"))), "omh-texts")
-    left = left.join(own.select("h", "score"), "h").select("key", "h", "n", "score", F.lit(0).alias("at"), F.lit(True).alias("open"), F.col("h").alias("comp"))
-    tested, g = None, 1
+    words = stage(fetched.groupBy("h").agg(F.first("text").alias("text")).mapInArrow(_hash_words, "h binary, w binary"), "omh-words")
+    left = left.join(own.select("h", "score"), "h").select("key", "h", "n", "score", F.lit(0).alias("at"), F.lit(True).alias("open"), F.col("h").alias("comp"), "c")
+    label, leaders = None, 1
     while True:
-        left = stage(few(left), "omh-left")
+        left = stage(left, "omh-left")
         if left.isEmpty():
             break
-        rank = F.row_number().over(Window.partitionBy("key").orderBy(F.desc("score"), "h"))
-        lead = left.filter("open").select("key", F.col("h").alias("lh"), F.col("n").alias("ln"), F.col("at").alias("lat"), F.col("comp").alias("lcomp"), rank.alias("r")).filter(F.col("r") <= g).drop("r")
-        # k-mers that the two can share at most, given their numbers and the places of this one, reach `least`
-        alike = F.least(F.col("n") - F.col("at"), F.col("ln") - F.col("lat")) + 1 >= (F.col("n") + F.col("ln")) * F.lit(least / (1 + least) - 1e-9)
-        met = stage(few(left.join(lead, "key").filter((F.col("comp") != F.col("lcomp")) & alike).select("key", "h", "lh")), "omh-met")
+        met, led = _met(left, leaders, least)
         pairs = met.select(F.least("lh", "h").alias("a"), F.greatest("lh", "h").alias("b")).distinct()
-        if tested is not None:
+        if label is not None:
             pairs = pairs.join(tested.select("a", "b"), ["a", "b"], "left_anti")
-        texted = pairs.join(fetched.select(F.col("h").alias("a"), F.col("text").alias("ta")), "a").join(fetched.select(F.col("h").alias("b"), F.col("text").alias("tb")), "b")
-        new = stage(few(texted.select("a", "b", "ta", "tb")).mapInArrow(_verifier(least), "a binary, b binary, sim double"), "omh-tested")
-        tested = new if tested is None else tested.unionByName(new)
-        label = components(tested.filter("sim IS NOT NULL")).withColumnRenamed("node", "h")
-        led = lead.select("key", F.col("lh").alias("h"))
-        if g == 1:
-            # open: who is not in the component of a leader that it met
-            heads = led.join(label, "h", "left").select("key", F.coalesce("label", "h").alias("hcomp"))
-            over = left.drop("comp").join(label, "h", "left").withColumn("comp", F.coalesce("label", "h")).join(heads, "key").filter("comp <> hcomp")
-            over = stage(few(over.select("key", "h").distinct()), "omh-over")
-            near = left.join(over.select("key").distinct(), "key", "left_semi").select("h", "score").distinct()
-            near = near.join(over.select("h").distinct().withColumn("open", F.lit(True)), "h", "left").withColumn("open", F.coalesce("open", F.lit(False)))
-            left = rarest(fetched, near, least)
+        with_words = pairs.join(words.select(F.col("h").alias("a"), F.col("w").alias("wa")), "a").join(words.select(F.col("h").alias("b"), F.col("w").alias("wb")), "b")
+        new = stage(with_words.select("a", "b", "wa", "wb").mapInArrow(_verifier(least), "a binary, b binary, aligned boolean, sim double"), "omh-tested")
+        first_round, tested = label is None, tested.unionByName(new)
+        label = relabel(label, new.filter("sim IS NOT NULL").select("a", "b"))
+        named = label.withColumnRenamed("node", "h")
+        if first_round:
+            # open: who is not in the component of its bucket's leader; buckets whose leaders are in one component are one group
+            heads = led.join(named, "h", "left").select("key", F.coalesce("label", "h").alias("g"))
+            held = left.drop("comp").join(named, "h", "left").withColumn("comp", F.coalesce("label", "h")).join(heads, "key")
+            held = stage(held.groupBy("g", "h").agg(F.max("score").alias("score"), F.max(F.col("comp") != F.col("g")).alias("open")), "omh-over")
+            over = held.filter("open").select("g").distinct()
+            near = held.join(over, "g").groupBy("h").agg(F.max("score").alias("score"), F.max("open").alias("open"), F.collect_set("g").alias("groups"))
+            near = stage(near, "omh-near")
+            if near.isEmpty():
+                break
+            left = rarest(words, near, least)
         else:
-            # a leader has met all of its bucket
-            left = left.drop("comp").join(led, ["key", "h"], "left_anti")
-        left = shared(left.join(label, "h", "left").withColumn("comp", F.coalesce("label", "h")).drop("label"))
-        g *= 16
-    return rows.select("doc_id", "h"), tested.filter("sim IS NOT NULL")
+            # buckets of up to SMALL are done, and a leader has met all of its bucket
+            left = left.filter(F.col("c") > SMALL).drop("comp", "c").join(led, ["key", "h"], "left_anti")
+            leaders *= 16
+        left = sized(left.join(named, "h", "left").withColumn("comp", F.coalesce("label", "h")).drop("label"))
+    return rows.select("doc_id", "h"), tested, label
 
 
 def components(edges: DataFrame) -> DataFrame:
     """node, label (the least node of its component) for edges (a, b); alternating star contraction."""
-    edges = stage(few(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u != v").distinct()), "cc-edges")
+    edges = stage(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u != v").distinct(), "cc-edges")
     seen = None
     while True:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -302,23 +380,21 @@ def components(edges: DataFrame) -> DataFrame:
         large = both.join(low, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").filter("v != m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v"))).distinct()
-        edges = stage(few(small), "cc-edges")
+        edges = stage(small, "cc-edges")
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if now == seen:
+        if now == seen or now[0] == 0:
             return edges.select(F.col("u").alias("node"), F.col("v").alias("label"))
         seen = now
 
 
 def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: float = SIMILAR) -> DataFrame:
     """doc_id, text_hash, class_id, n_texts (different texts in the class), kept (the one that stays) for each row."""
-    rows, found = links(docs, id_col, text_col, least)
+    rows, _, label = links(docs, id_col, text_col, least)
     nodes = rows.groupBy("h").agg(F.min("doc_id").alias("low"))
-    label = components(found).withColumnRenamed("node", "h")
-    nodes = nodes.join(label, "h", "left").select("h", "low", F.coalesce("label", "h").alias("label"))
+    nodes = nodes.join(label.withColumnRenamed("node", "h"), "h", "left").select("h", "low", F.coalesce("label", "h").alias("label"))
     least_ids = nodes.groupBy("label").agg(F.min("low").alias("class_id"), F.count("*").alias("n_texts"))
     named = nodes.join(least_ids, "label").select("h", "class_id", "n_texts")
-    out = rows.join(named, "h")
-    return few(out).select("doc_id", F.lower(F.hex("h")).alias("text_hash"), "class_id", "n_texts", F.col("doc_id").eqNullSafe(F.col("class_id")).alias("kept"))
+    return rows.join(named, "h").select("doc_id", F.lower(F.hex("h")).alias("text_hash"), "class_id", "n_texts", F.col("doc_id").eqNullSafe(F.col("class_id")).alias("kept"))
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: float = SIMILAR) -> DataFrame:
