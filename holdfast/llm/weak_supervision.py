@@ -5,8 +5,8 @@ can be trusted is not set by hand: expectation-maximisation over the votes of
 all documents estimates how each rule votes on good and on bad ones, and the share of good
 documents, and a document is kept if its posterior probability of being good
 is at least KEEP_AT. Documents with equal votes are one case, so the estimate
-needs only the count of each vote pattern: at most 3 ** rules rows, however
-large the corpus.
+needs only the count of each vote pattern: at most 3 ** rules (6561) rows,
+however large the corpus.
 
 Base rules come first: a document that fails them is never kept.
 
@@ -29,9 +29,7 @@ KEEP_AT = 0.5
 MIN_WORDS = 50
 #: Bounds on what EM may believe of the corpus, and how much of its start it keeps.
 SHARE = (0.05, 0.99)
-PRIOR = 0.25
-#: How often at most a rule that no other ever backs calls good documents bad.
-FALSE_ALARM = 1e-4
+PRIOR = 0.02
 #: How probably good a document without a bad vote is at the start, and at least while rates are counted.
 CLEAN = 0.95
 ROUNDS = 100
@@ -51,6 +49,8 @@ def rules() -> dict[str, Column]:
         "repeats": _vote(F.col("n_repeat_words") * 10 <= n, F.col("n_repeat_words") * 10 > n * 3),
         "word_length": _vote((c >= n * 3) & (c <= n * 12), (c < n * 2) | (c > n * 15)),
         "capitals": _vote(F.col("n_upper") * 10 <= c, F.col("n_upper") * 10 > c * 4),
+        "letters": _vote(F.col("n_letters") * 10 >= c * 8, F.col("n_letters") * 10 < c * 7),
+        "wordy": _vote(F.col("n_wordy") * 10 >= n * 9, F.col("n_wordy") * 10 < n * 8),
         "short_lines": _vote(n >= F.col("n_lines") * 5, n < F.col("n_lines") * 2),
     }
 
@@ -78,6 +78,8 @@ def features(docs: DataFrame, *keep: str, text_col: str = "text") -> DataFrame:
         F.size(covered).cast("bigint").alias("n_repeat_words"),
         F.size("_lines").cast("bigint").alias("n_lines"),
         F.length(F.regexp_replace("_text", r"\P{Lu}+", "")).cast("bigint").alias("n_upper"),
+        F.length(F.regexp_replace("_text", r"\P{L}+", "")).cast("bigint").alias("n_letters"),
+        F.size(F.filter("_w", lambda x: F.rlike(x, F.lit(r"\p{L}")))).cast("bigint").alias("n_wordy"),
     )
 
 
@@ -94,22 +96,17 @@ def estimate(patterns: list[tuple[tuple[int, ...], int]], rounds: int = ROUNDS)
     probably bad. Each round expects every pattern's probability of being good
     and counts the rates again; PRIOR of the first counts is mixed in, and a
     rule may not call good documents bad more often than bad ones, so the
-    classes cannot change places. Kinds of junk exclude each other, so a rule
-    may stand alone, and votes cannot tell its kind from false alarms: how
-    often it may call good documents bad is held to FALSE_ALARM ** (1 - b), b
-    being the share of its bad votes that another rule backs. That depends on
-    b only, not on how common the kind is. For the same reason a document that
-    no rule calls bad counts as good to CLEAN at least in each round: the bad
-    class expects several kinds in one document and would fill up with it.
+    classes cannot change places. False alarms are counted like all else: a
+    rule whose bad votes others back (each kind of junk has two witnesses at
+    least among rules()) ends with few, one that mostly stands alone with many,
+    and its lone vote is outvoted. A document that no rule calls bad counts as
+    good to CLEAN at least in each round: the bad class holds several kinds of
+    junk, expects several bad votes, and would else fill up with documents that
+    have none.
     """
     if not patterns:
         return [], 0.5
     m, total = len(patterns[0][0]), sum(n for _, n in patterns)
-    most = []
-    for j in range(m):
-        fires = sum(n for votes, n in patterns if votes[j] == -1)
-        backed = sum(n for votes, n in patterns if votes[j] == -1 and votes.count(-1) > 1)
-        most.append(FALSE_ALARM ** (1 - backed / max(fires, 1)))
     good = [1 - CLEAN if -1 in votes else CLEAN for votes, _ in patterns]
     rates, share, first = [], 0.5, None
     for _ in range(rounds):
@@ -121,10 +118,10 @@ def estimate(patterns: list[tuple[tuple[int, ...], int]], rounds: int = ROUNDS)
                     counts[j][0][v] += n * (1 - p)
         first = first or counts
         new = []
-        for c, f, limit in zip(counts, first, most):
+        for c, f in zip(counts, first):
             mixed = {y: {v: c[y][v] + PRIOR * f[y][v] for v in c[y]} for y in c}
             r = {y: {v: x / sum(mixed[y].values()) for v, x in mixed[y].items()} for y in mixed}
-            alarm = min(r[1][-1], r[0][-1], limit)
+            alarm = min(r[1][-1], r[0][-1])
             new.append({0: r[0], 1: {-1: alarm, 1: 1 - alarm}})
         new_share = min(max(sum(n * p for (_, n), p in zip(patterns, good)) / total, SHARE[0]), SHARE[1])
         moved = abs(new_share - share) + max((abs(a[y][v] - b[y][v]) for a, b in zip(new, rates) for y in a for v in a[y]), default=1.0)

@@ -52,24 +52,47 @@ def test_em_finds_good_and_bad_rules():
     assert ws.estimate([]) == ([], 0.5)
 
 
-def test_one_bad_vote_among_good_ones_counts():
-    """Each kind of junk is seen by one rule only; the others have nothing against it."""
-    patterns = [((1, 1, 1, 1), 9000), ((-1, 1, 1, 1), 400), ((1, -1, 1, 1), 300), ((1, 1, -1, 0), 300), ((0, 0, 0, 0), 50)]
-    rates, share = ws.estimate(patterns)
-    assert [ws.posterior(v, rates, share) >= 0.5 for v, _ in patterns] == [True, False, False, False, True]
+def junk_and(noisy, junk_share, noisy_share, total=100_000):
+    """Two kinds of junk with two witnesses each, and a rule whose bad votes fall on all documents alike."""
+    votes = Counter()
+    for kind, share in (((-1, -1, 1, 1, 1), 0.6 * junk_share), ((1, 1, -1, -1, 1), 0.4 * junk_share), ((1, 1, 1, 1, 1), 1 - junk_share)):
+        for n, part in ((-1, noisy_share), (1, 1 - noisy_share)):
+            votes[(*kind, n if noisy else 1)] += round(total * share * part)
+    return votes
+
+
+def test_lone_bad_vote_of_a_noisy_rule_is_outvoted():
+    for junk in (0.01, 0.09, 0.11, 0.2, 0.33):
+        for noise in (0.002, 0.01, 0.05, 0.2):
+            votes = junk_and(True, junk, noise)
+            rates, share = ws.estimate(sorted(votes.items()))
+            says = {v: ws.posterior(v, rates, share) for v in votes}
+            assert says[(1, 1, 1, 1, 1, -1)] > 0.5, (junk, noise, says)
+            assert says[(1, 1, 1, 1, 1, 1)] > 0.9, (junk, noise, says)
+            assert all(p < 0.1 for v, p in says.items() if min(v[:5]) < 0), (junk, noise, says)
+            assert abs(share - (1 - junk)) < 0.05
 
 
 def test_how_common_a_kind_of_junk_is_does_not_save_it():
-    """The commonest votes of 10,000 documents, with one rule's junk, or two kinds of it, at other shares."""
-    counts = {(1, 1, 1, 1, 1, 1): 8228, (-1, 1, 1, 1, 1, 1): 667, (1, 1, -1, 1, 1, 1): 246, (1, 0, 1, 1, 1, 1): 235, (1, 1, -1, 1, -1, 1): 166, (1, -1, -1, 1, -1, 1): 162, (1, 0, 0, 1, 1, 1): 77, (1, -1, -1, 1, 1, 1): 43, (1, 0, -1, 1, 1, 1): 31}
-    junk = [tuple(-1 if i == j else 1 for i in range(6)) for j in range(6)]
-    cases = [{v: s} for v in junk for s in (0.01, 0.09, 0.099, 0.109, 0.11, 0.154, 0.2, 0.254, 0.33)] + [{a: 0.15, b: 0.15} for a in junk for b in junk if a < b]
-    for shares in cases:
-        rest = {v: n for v, n in counts.items() if v not in shares}
-        total = sum(rest.values()) / (1 - sum(shares.values()))
-        rates, share = ws.estimate(sorted((rest | {v: round(s * total) for v, s in shares.items()}).items()))
-        assert all(ws.posterior(v, rates, share) < 0.3 for v in shares), shares
-        assert ws.posterior((1,) * 6, rates, share) > 0.8, shares
+    for junk in (0.001, 0.01, 0.09, 0.099, 0.109, 0.11, 0.154, 0.2, 0.254, 0.33):
+        votes = junk_and(False, junk, 0.0)
+        rates, share = ws.estimate(sorted((v, n) for v, n in votes.items() if n))
+        assert all((ws.posterior(v, rates, share) < 0.1) == (min(v) < 0) for v in votes), junk
+
+
+def test_verdict_is_the_posterior_of_the_votes(spark):
+    """quality by Bayes' rule from votes counted here, with the rates that the estimate gives for all rows."""
+    docs = docs_frame(spark, TEXTS * 3 + ["$$$ ".join(prose(40 + i, 120).split()) for i in range(9)])
+    rules = ws.rules()
+    rows = ws.features(docs, "doc_id").select("doc_id", *[v.alias(k) for k, v in rules.items()]).collect()
+    votes = {r["doc_id"]: tuple(r[k] for k in rules) for r in rows}
+    rates, share = ws.estimate(sorted(Counter(votes.values()).items()))
+    for r in ws.judge(docs, "doc_id").collect():
+        odds = share / (1 - share)
+        for v, rate in zip(votes[r["doc_id"]], rates):
+            odds *= rate[1][v] / rate[0][v] if v else 1
+        assert abs(r["quality"] - odds / (1 + odds)) < 1e-9
+        assert r["kept"] == (not r["base_failed"] and odds >= 1)
 
 
 def test_keep_good_returns_rows_as_they_were(spark):
