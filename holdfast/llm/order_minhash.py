@@ -10,10 +10,13 @@ a sketch are candidates, and a banded alignment of the words decides: a pair is
 a link if 1 - (insertions + deletions) / (words of both) is SIMILAR or more.
 Classes are the connected components of the links.
 
-Candidates: one changed word takes K k-mers with it, so with one word in five
-changed here and there (similarity 0.8) two texts still share about a fifth of
-their k-mers, agree on a sketch of ELL = 2 with probability 0.04 and on one of
-48 with 0.87; at similarity 0.85 with 0.99, at 0.9 with 0.9999. Texts of up to
+Candidates: one changed word takes K k-mers with it, so with one word in ten
+changed here and there (similarity 0.9) two texts still share 0.42 of their
+k-mers, agree on a sketch with probability 0.42 ** 3 and on one of 48 with
+0.97; at 0.88 with 0.9, at 0.85 with 0.68, at the limit of 0.8 with 0.3. Edits
+that stand together cost fewer k-mers and are found with more. Two k-mers a
+sketch would find 0.87 at the limit, but texts around common passages then meet
+so often that the work outgrows the input (README). Texts of up to
 SHORT words, where a few edits leave no k-mer, and all that can be similar to
 them, also stand under those of their words of which two texts of similarity
 SIMILAR must share one (longest first, an order that all texts agree on): no
@@ -59,7 +62,7 @@ from pyspark.sql import functions as F
 from holdfast.llm.common import release_memory, stage
 
 K = 5
-SKETCHES, ELL = 48, 2
+SKETCHES, ELL = 48, 3
 SIMILAR = 0.8
 SHORT = 24
 SMALL = 8

@@ -156,7 +156,7 @@ def test_order_counts():
 
 
 def test_edited_texts_are_found(spark):
-    """Pairs at every similarity from the limit up, by an edit distance of its own: 0.9 of them and more are linked."""
+    """Pairs at every similarity from the limit up, by an edit distance of its own; words changed here and there, the worst case for k-mers."""
     r, texts = random.Random(11), []
     for i in range(160):
         w = [f"v{r.randrange(30000)}" for _ in range(r.choice([40, 90, 250, 600]))]
@@ -164,9 +164,10 @@ def test_edited_texts_are_found(spark):
         edited = [f"e{r.randrange(30000)}" if r.random() < share else x for x in w]
         texts += [" ".join(w), " ".join(edited)]
     got = {x["doc_id"]: x["class_id"] for x in om.classes(docs_frame(spark, texts)).collect()}
-    pairs = [i for i in range(0, 320, 2) if edit_similarity(texts[i].split(), texts[i + 1].split()) >= 0.8]
-    assert len(pairs) > 130
-    assert sum(got[i] == got[i + 1] for i in pairs) >= 0.95 * len(pairs)
+    sims = {i: edit_similarity(texts[i].split(), texts[i + 1].split()) for i in range(0, 320, 2)}
+    for least, share in ((0.95, 0.99), (0.9, 0.97), (0.88, 0.9), (0.8, 0.7)):
+        pairs = [i for i, x in sims.items() if x >= least]
+        assert len(pairs) > 30 and sum(got[i] == got[i + 1] for i in pairs) >= share * len(pairs), least
     assert len({got[i] for i in range(0, 320, 2)}) == 160
 
 
