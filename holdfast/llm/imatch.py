@@ -14,24 +14,29 @@ Texts are counted by digest; only of those that occur again the rows are met
 with their digests (broadcast up to BROADCAST_TERMS, counted) and one is kept,
 so no other text is shuffled for it. The
 lexicon has at most (mean distinct terms of a document) / LOW terms, whatever
-the number of documents; its size is counted, and it is broadcast up to
-BROADCAST_TERMS, else joined by shuffle. The rows of a document are regrouped
-where the window over its neighbours has put them: no shuffle of terms.
+the number of documents (18,000 for the documents here); it becomes one set
+that terms are looked up in, so no term is shuffled, joined or grouped. Only
+ids and hashes are put in order, in ranges of about PER_RANGE rows by sampled
+bounds, however the ids are spread; each text then gives its neighbour the
+characters that it needs, by a join on (id, hash).
 
 Defined results: a null text is the empty text; a text without a term of the
 lexicon is fingerprinted by its own digest, and alike only to an equal text;
 documents are ordered by doc_id descending, null last, equal ids by a hash of
-their text; repeated rows each give a row and are neighbours; a single
+their text; repeated rows (equal id and text) are one document with one neighbour and give a
+row each; a single
 document is its own neighbour; an empty table gives no rows; extra columns are
 ignored.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from holdfast.llm.common import few, stage
+from holdfast.llm.common import stage
 
 LOW, HIGH = 0.002, 0.2
 #: (bits to skip in the term's hash, parts the lexicon is dealt to, parts used)
@@ -39,7 +44,7 @@ RATES = ((0, 8, 8), (3, 64, 24), (9, 512, 32))
 #: Subsets that a rate needs with a term before its share counts in full.
 ENOUGH = 4
 BROADCAST_TERMS = 500_000
-BUCKETS, PER_BUCKET = 4096, 2000
+PER_RANGE = 200_000
 
 
 def terms(text: Column) -> Column:
@@ -49,7 +54,7 @@ def terms(text: Column) -> Column:
 def lexicon(docs: DataFrame, text_col: str = "text", low: float = LOW, high: float = HIGH) -> DataFrame:
     """term, tid (its hash) of the terms whose share of all different texts lies in [low, high] and that two have at least."""
     texts = docs.select(F.coalesce(F.col(text_col), F.lit("")).alias("text")).withColumn("h", F.unhex(F.md5("text")))
-    counts = stage(few(texts.groupBy("h").agg(F.count("*").alias("c"))), "imatch-texts")
+    counts = stage(texts.groupBy("h").agg(F.count("*").alias("c")), "imatch-texts")
     n, again = counts.count(), counts.filter("c > 1").select("h")
     small = again.limit(BROADCAST_TERMS + 1).count() <= BROADCAST_TERMS
     again = F.broadcast(again) if small else again
@@ -59,6 +64,18 @@ def lexicon(docs: DataFrame, text_col: str = "text", low: float = LOW, high: flo
     return df.filter((F.col("df") >= max(2, low * n)) & (F.col("df") <= max(2, high * n))).select("term", F.xxhash64("term").alias("tid"))
 
 
+def known_terms(lex: DataFrame) -> Callable[[str], Column]:
+    """Name of a column of terms -> the sorted hashes of those that the lexicon has."""
+    held = ",".join(f"{r['tid']}L" for r in lex.select("tid").collect())  # bounded: see Scale above
+
+    def known(name: str) -> Column:
+        if not held:
+            return F.array().cast("array<bigint>")
+        return F.expr(f"array_sort(array_distinct(filter(transform(`{name}`, x -> xxhash64(x)), x -> x IN ({held}))))")
+
+    return known
+
+
 def subset_hashes(tids: Column) -> Column:
     """array<bigint> over all subsets: a 32-bit hash of the sorted tids in each, null where none is."""
     out = []
@@ -66,7 +83,8 @@ def subset_hashes(tids: Column) -> Column:
         part = lambda t, s=skip, p=parts: F.shiftrightunsigned(t, s).bitwiseAND(p - 1)
         held = tids if used == parts else F.filter(tids, lambda t: part(t) < used)
         one = lambda j, held=held, part=part: F.filter(held, lambda t: part(t) == j)
-        out.append(F.transform(F.sequence(F.lit(0), F.lit(used - 1)), lambda j: F.when(F.size(one(j)) > 0, F.xxhash64(one(j)).bitwiseAND(F.lit(0xFFFFFFFF)))))
+        subsets = F.transform(F.sequence(F.lit(0), F.lit(used - 1)), lambda j: one(j))  # noqa: B023,PLW0108
+        out.append(F.transform(subsets, lambda x: F.when(F.size(x) > 0, F.xxhash64(x).bitwiseAND(F.lit(0xFFFFFFFF)))))
     return F.concat(*out)
 
 
@@ -87,50 +105,53 @@ def likeness(a: Column, b: Column, same_text: Column) -> Column:
     return F.when(same_text, F.lit(1.0)).otherwise(F.greatest(*shares))
 
 
-def neighbours(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """bucket, rn, doc_id, text, next_text, next_bucket, next_rn: each row with the next by descending id.
+def _rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """doc_id, th (hash of the text), text."""
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    return docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.xxhash64(text).alias("th"), text.alias("text"))
+
 
-    Ids are cut into at most BUCKETS ranges, so that no task orders all rows;
-    the top row of each range also stands at the end of the range above it.
+def followed(rows: DataFrame) -> tuple[DataFrame, bool]:
+    """(doc_id, th, p_id, p_th, third) for each different (doc_id, th), and whether rows repeat.
+
+    p is the document that this one comes next after, by descending id, and
+    third the characters that p needs of it.
     """
-    spark = docs.sparkSession
-    rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    low, high, n = rows.agg(F.min("doc_id"), F.max("doc_id"), F.count("*")).first()
-    low, high = (0, 0) if low is None else (low, high)
-    buckets = min(BUCKETS, max(1, n // PER_BUCKET))
-    width = (high - low) // buckets + 1
-    bucket = F.coalesce(F.floor((F.col("doc_id") - F.lit(low)) / F.lit(width)).cast("int"), F.lit(-1))
-    rows = rows.withColumn("bucket", bucket)
-    tops = sorted((tuple(r) for r in rows.groupBy("bucket").agg(F.max("doc_id")).collect()), reverse=True)  # at most BUCKETS + 1
-    above = [(b, i, tops[k - 1][0]) for k, (b, i) in enumerate(tops)]
-    marks = spark.createDataFrame(above, "b_ int, top_ bigint, above int")
-    order = F.xxhash64("text")
-    ends = rows.join(F.broadcast(marks), (rows.bucket == F.col("b_")) & rows.doc_id.eqNullSafe(F.col("top_")))
-    ends = ends.groupBy("b_", "above").agg(F.min_by(F.struct("doc_id", "text"), order).alias("d"))
-    ends = ends.select(F.col("above").alias("bucket"), F.lit(1).alias("end"), F.col("b_").alias("own"), "d.doc_id", "d.text")
-    all_rows = rows.select("bucket", F.lit(0).alias("end"), F.col("bucket").alias("own"), "doc_id", "text").unionByName(ends)
-    w = Window.partitionBy("bucket").orderBy("end", F.desc_nulls_last("doc_id"), order)
-    named = all_rows.select("bucket", "end", "doc_id", "text", F.row_number().over(w).alias("rn"), F.lead("text").over(w).alias("next_text"), F.lead("end").over(w).alias("next_end"), F.lead("own").over(w).alias("next_own"))
-    return named.filter("end = 0").select(
-        "bucket", "rn", "doc_id", "text", "next_text",
-        F.when(F.col("next_end") == 1, F.col("next_own")).otherwise(F.col("bucket")).alias("next_bucket"),
-        F.when(F.col("next_end") == 1, F.lit(1)).otherwise(F.col("rn") + 1).alias("next_rn"),
-    )
-
-
-def hashed(texts: DataFrame, key: list[str], lex: DataFrame) -> DataFrame:
-    """key columns and hashes for each row (key, text); key tells rows apart."""
-    small = lex.limit(BROADCAST_TERMS + 1).count() <= BROADCAST_TERMS
-    lex = F.broadcast(lex) if small else lex
-    rows = texts.select(*key, F.explode_outer(terms(F.col("text"))).alias("term")).join(lex, "term", "left")
-    return rows.groupBy(*key).agg(F.sort_array(F.collect_set("tid")).alias("tids")).select(*key, subset_hashes(F.col("tids")).alias("hashes"))
+    spark = rows.sparkSession
+    ids = stage(rows.groupBy("doc_id", "th").agg(F.max(F.length("text")).alias("n"), F.count("*").alias("c")), "imatch-ids")
+    total, again = ids.agg(F.count("*"), F.max("c")).first()
+    parts = max(1, -(-total // PER_RANGE))
+    ranged = ids.select("doc_id", "th", "n").repartitionByRange(parts, F.desc_nulls_last("doc_id"), F.asc("th"))
+    ranged = stage(ranged.withColumn("range", F.spark_partition_id()), "imatch-ranges")
+    place = F.struct(F.col("doc_id").isNull().alias("z"), F.coalesce(F.bitwise_not("doc_id"), F.lit(0).cast("bigint")).alias("r"), "th", "doc_id", "n")
+    ends = sorted(ranged.groupBy("range").agg(F.max(place).alias("last")).collect())  # a row for every PER_RANGE rows
+    marks = [(r["range"], ends[k - 1]["last"]["doc_id"], ends[k - 1]["last"]["th"], ends[k - 1]["last"]["n"]) for k, r in enumerate(ends)]
+    marks = spark.createDataFrame(marks, "range int, m_id bigint, m_th bigint, m_n int")
+    own = Window.partitionBy("range").orderBy(F.desc_nulls_last("doc_id"), "th")
+    named = ranged.withColumn("p", F.lag(F.struct("doc_id", "th", "n")).over(own)).join(F.broadcast(marks), "range")
+    before = F.coalesce("p", F.struct(F.col("m_id").alias("doc_id"), F.col("m_th").alias("th"), F.col("m_n").alias("n")))
+    named = named.select("doc_id", "th", before.alias("p"))
+    return named.select("doc_id", "th", F.col("p.doc_id").alias("p_id"), F.col("p.th").alias("p_th"), F.floor(F.col("p.n") / 3).cast("int").alias("third")), (again or 0) > 1
+
+
+def with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, bool]:
+    """doc_id, th, text, piece, next_id, next_th of each row: piece is what the edited text takes of the next document."""
+    rows = _rows(docs, id_col, text_col)
+    order, repeats = followed(rows)
+    order = order.withColumnsRenamed({"doc_id": "o_id", "th": "o_th"})
+    given = rows.join(order, rows.doc_id.eqNullSafe(F.col("o_id")) & (rows.th == F.col("o_th")))
+    given = given.select("p_id", "p_th", F.expr("substring(text, 1, third)").alias("piece"), F.col("o_id").alias("next_id"), F.col("o_th").alias("next_th"))
+    given = given.dropDuplicates(["p_id", "p_th"]) if repeats else given
+    rows = _rows(docs, id_col, text_col)
+    return rows.join(given, rows.doc_id.eqNullSafe(F.col("p_id")) & (rows.th == F.col("p_th"))).drop("p_id", "p_th"), repeats
 
 
 def fingerprint(docs: DataFrame, lex: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, fingerprint of each text; rows with equal id and text are one."""
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.md5(text).alias("t"), text.alias("text"))
-    return hashed(rows, ["doc_id", "t"], lex).select("doc_id", shown(F.col("hashes"), F.col("t")).alias("fingerprint"))
+    """doc_id, fingerprint of each row's text."""
+    known = known_terms(lex)
+    rows = _rows(docs, id_col, text_col).select("doc_id", F.sha2("text", 256).alias("t"), terms(F.col("text")).alias("w"))
+    held = rows.select("doc_id", "t", known("w").alias("tids")).select("doc_id", "t", subset_hashes(F.col("tids")).alias("hashes"))
+    return held.select("doc_id", shown(F.col("hashes"), F.col("t")).alias("fingerprint"))
 
 
 def compare_neighbours(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -139,20 +160,19 @@ def compare_neighbours(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     The edited text has the last third of the code points replaced by the first
     ones of the next document.
     """
-    lex = stage(few(lexicon(docs, text_col)), "imatch-lexicon")
-    near = neighbours(docs, id_col, text_col)
+    known = known_terms(stage(lexicon(docs, text_col), "imatch-lexicon"))
+    near, repeats = with_next(docs, id_col, text_col)
     n = F.length("text")
-    third = F.floor(n / 3).cast("int")
-    edited = F.concat(F.substring(F.col("text"), F.lit(1), n - third), F.substring(F.col("next_text"), F.lit(1), third))
-    both = near.select("*", F.explode(F.array(F.struct(F.lit(0).alias("v"), F.col("text").alias("t")), F.struct(F.lit(1).alias("v"), edited.alias("t")))).alias("e"))
-    key = ["bucket", "rn", "doc_id", "next_bucket", "next_rn", "v", "n_chars", "digest"]
-    texts = both.select("bucket", "rn", "doc_id", "next_bucket", "next_rn", "e.v", n.cast("bigint").alias("n_chars"), F.sha2(F.col("e.t"), 256).alias("digest"), F.col("e.t").alias("text"))
-    got = hashed(texts, key, lex)
-    side = lambda v, c: F.first(F.when(F.col("v") == v, F.col(c)), ignorenulls=True)
-    held = got.groupBy("bucket", "rn", "doc_id", "next_bucket", "next_rn", "n_chars").agg(side(0, "hashes").alias("own"), side(0, "digest").alias("own_sha"), side(1, "hashes").alias("edited"), side(1, "digest").alias("edited_sha256"))
-    held = stage(held, "imatch-prints")
-    other = held.select(F.col("bucket").alias("next_bucket"), F.col("rn").alias("next_rn"), F.col("own").alias("next"), F.col("own_sha").alias("next_sha"))
-    out = held.join(other, ["next_bucket", "next_rn"])
+    edited = F.concat(F.expr("substring(text, 1, length(text) - cast(floor(length(text) / 3) as int))"), F.col("piece"))
+    ids = ["doc_id", "th", "next_id", "next_th"]
+    texts = near.select(*ids, "text", n.cast("bigint").alias("n_chars"), edited.alias("edited"))
+    keep = [*ids, "n_chars", "own_sha", "edited_sha256"]
+    cut = texts.select(*ids, "n_chars", F.sha2("text", 256).alias("own_sha"), F.sha2("edited", 256).alias("edited_sha256"), terms(F.col("text")).alias("w"), terms(F.col("edited")).alias("we"))
+    found = cut.select(*keep, known("w").alias("t"), known("we").alias("te"))
+    held = stage(found.select(*keep, subset_hashes(F.col("t")).alias("own"), subset_hashes(F.col("te")).alias("edited")), "imatch-prints")
+    other = held.select(F.col("doc_id").alias("x_id"), F.col("th").alias("x_th"), F.col("own").alias("next"), F.col("own_sha").alias("next_sha"))
+    other = other.dropDuplicates(["x_id", "x_th"]) if repeats else other
+    out = held.join(other, F.col("next_id").eqNullSafe(F.col("x_id")) & (F.col("next_th") == F.col("x_th")))
     return out.select(
         "doc_id",
         "n_chars",

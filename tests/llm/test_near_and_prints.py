@@ -1,9 +1,12 @@
 import hashlib
 import random
 import re
+from collections import Counter
 
 import numpy as np
 import pytest
+import regex
+import xxhash
 
 from holdfast.llm import imatch as im
 from holdfast.llm import order_minhash as om
@@ -186,7 +189,7 @@ def test_texts_around_one_passage(spark):
 
 
 def test_fingerprints_of_neighbours(spark, monkeypatch):
-    monkeypatch.setattr(im, "PER_BUCKET", 7)
+    monkeypatch.setattr(im, "PER_RANGE", 7)
     texts = [prose(i % 40, 30 + 11 * (i % 40), 2000) for i in range(60)] + ODD
     docs = docs_frame(spark, texts, start=5)
     got = {r["doc_id"]: r for r in im.compare_neighbours(docs).collect()}
@@ -233,6 +236,78 @@ def test_fingerprints_of_few_rows(spark):
     assert len(got) == 2
 
 
+def term_set(text):
+    return set(regex.split(r"[^\p{L}\p{N}]+", (text or "").lower())) - {""}
+
+
+def band_of(texts):
+    different = set(t or "" for t in texts)
+    df = Counter(x for t in different for x in term_set(t))
+    return {x for x, n in df.items() if max(2, im.LOW * len(different)) <= n <= max(2, im.HIGH * len(different))}
+
+
+def prints(texts, band):
+    """Hashes of each text by the definition: sorted hashes of its terms in the band, a hash for each subset."""
+    out = []
+    for t in texts:
+        tids = sorted(signed(xxhash.xxh64_intdigest(x.encode(), 42)) for x in term_set(t) & band)
+        hashes = []
+        for skip, parts, used in im.RATES:
+            for j in range(used):
+                own = [x for x in tids if (x % 2**64 >> skip) % parts == j]
+                h = 42
+                for x in own:
+                    h = xxhash.xxh64_intdigest((x % 2**64).to_bytes(8, "little"), h)
+                hashes.append(h & 0xFFFFFFFF if own else None)
+        out.append(hashes)
+    return out
+
+
+def signed(x):
+    return x - 2**64 if x >> 63 else x
+
+
+def alike(a, b):
+    best, at = 0.0, 0
+    for _, _, used in im.RATES:
+        pairs = list(zip(a[at : at + used], b[at : at + used]))
+        met = sum(x is not None or y is not None for x, y in pairs)
+        best = max(best, sum(x is not None and x == y for x, y in pairs) / max(met, im.ENOUGH))
+        at += used
+    return best
+
+
+@pytest.mark.parametrize("ids", ["plain", "clustered", "extreme"])
+def test_fingerprints_equal_brute_force(spark, monkeypatch, ids):
+    """Hashes, likeness and neighbours by the definition, for ids that lie close, far apart or at both ends of bigint, and null ones."""
+    monkeypatch.setattr(im, "PER_RANGE", 9)
+    texts = [prose(i % 30, 30 + 9 * (i % 30), 900) for i in range(40)] + ODD + [None, "a"]
+    n = len(texts)
+    at = {"plain": list(range(n)), "clustered": [*range(n - 1), 2**60], "extreme": [-(2**63), 2**63 - 1, *range(n - 4), None, None]}[ids]
+    docs = spark.createDataFrame(list(zip(at, texts)), "doc_id bigint, text string")
+    got = Counter()
+    for r in im.compare_neighbours(docs).collect():
+        got[(r["doc_id"], r["n_chars"], r["edited_sha256"], r["fingerprint"], r["edited_fingerprint"], round(r["near_edited"], 9), round(r["near_next"], 9))] += 1
+    hash_of = lambda t: signed(xxhash.xxh64_intdigest((t or "").encode(), 42))
+    order = sorted(range(n), key=lambda i: (at[i] is None, -(at[i] or 0), hash_of(texts[i])))
+    own = [t or "" for t in texts]
+    edited = [None] * n
+    for k, i in enumerate(order):
+        third = len(own[i]) // 3
+        edited[i] = own[i][: len(own[i]) - third] + own[order[(k + 1) % n]][:third]
+    plain, changed = prints(texts, band_of(texts)), prints(edited, band_of(texts))
+    show = lambda h, t: "".join("-" if x is None else f"{x:08x}" for x in h) if any(x is not None for x in h) else "text:" + hashlib.sha256(t.encode()).hexdigest()
+    want = Counter()
+    for k, i in enumerate(order):
+        j = order[(k + 1) % n]
+        near_e = 1.0 if edited[i] == own[i] else alike(plain[i], changed[i])
+        near_n = 1.0 if own[j] == own[i] else alike(plain[i], plain[j])
+        want[(at[i], len(own[i]), hashlib.sha256(edited[i].encode()).hexdigest(), show(plain[i], own[i]), show(changed[i], edited[i]), round(near_e, 9), round(near_n, 9))] += 1
+    assert got == want
+    one = {r["fingerprint"] for r in im.fingerprint(docs, im.lexicon(docs)).collect()}
+    assert one == {show(h, t) for h, t in zip(plain, own)}
+
+
 @pytest.mark.parametrize("text", [None, "", "x"])
 def test_words_of_odd_texts(text):
     assert len(om.labelled(om.word_hashes(om.words_of(text)))) == (1 if text else 0)
