@@ -13,8 +13,6 @@ from pyspark.sql import functions as F
 
 #: A word is a maximal run of bytes other than space, \t, \n, \v, \f and \r.
 SPACE_CLASS = r"[\x20\x09-\x0D]+"
-#: Partitions a core that a shuffled result is written in.
-WAVES = 4
 #: Bytes of an Arrow batch where this library starts the job.
 BATCH_BYTES = "8m"
 #: For a shared folder that is mounted as a path: Hadoop's default there starts a process (chmod) for every file and
@@ -38,16 +36,13 @@ def shared_dir(spark: SparkSession) -> str:
     if not base:
         base = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir is not set: executors of a cluster need a folder that all of them share")
         base = tempfile.mkdtemp(prefix="holdfast-checkpoint-")
         spark.conf.set("spark.checkpoint.dir", base)
     return base.rstrip("/")
 
 
-def few(df: DataFrame) -> DataFrame:
-    """df in at most WAVES partitions a core: shuffled rows need no more files, and each file costs calls."""
-    return df.coalesce(max(1, WAVES * df.sparkSession.sparkContext.defaultParallelism))
-
-
 def stage(df: DataFrame, label: str) -> DataFrame:
     """Write df to the shared folder and read it back: lineage ends here.
 

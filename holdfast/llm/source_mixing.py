@@ -32,14 +32,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from holdfast.llm.common import few, release_memory, stage
+from holdfast.llm.common import release_memory, stage
 
 BLOCK = 256
 SHARDS = 64
 WEIGHTS = (3, 1, 2)
 SHARE, MOST = 1.5, 2.0
 SEED = 20_240_601
-PER_BUCKET = 20_000
+PER_BUCKET = 2_000
 WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -75,24 +75,44 @@ def shard_counts(slots: list[int], shards: int = SHARDS, seed: int = SEED) -> np
 
 def permute(place: np.ndarray, n: np.ndarray, key: np.ndarray) -> np.ndarray:
     """A bijection of [0, n) for each key: four Feistel rounds, walked into the range."""
+    return _walk(_feistel, place, n, key)
+
+
+def place_of(value: np.ndarray, n: np.ndarray, key: np.ndarray) -> np.ndarray:
+    """The place that permute() takes to value."""
+    return _walk(_feistel_back, value, n, key)
+
+
+def _walk(step, place: np.ndarray, n: np.ndarray, key: np.ndarray) -> np.ndarray:
     place, n, key = place.astype(np.uint64), n.astype(np.uint64), key.astype(np.uint64)
     half = np.maximum(np.ceil(np.log2(np.maximum(n, 2).astype(np.float64)) / 2).astype(np.uint64), np.uint64(1))
     mask = (np.uint64(1) << half) - np.uint64(1)
     x, todo = place.copy(), np.arange(len(place))
     while len(todo):
-        x[todo] = y = _feistel(x[todo], half[todo], mask[todo], key[todo])
+        x[todo] = y = step(x[todo], half[todo], mask[todo], key[todo])
         todo = todo[y >= n[todo]]
     return x.astype(np.int64)
 
 
+def _round(b, mask, key, r):
+    f = (b + key * np.uint64(2 * r + 1)) * np.uint64(0x9E3779B97F4A7C15)
+    f ^= f >> np.uint64(29)
+    f *= np.uint64(0xBF58476D1CE4E5B9)
+    f ^= f >> np.uint64(32)
+    return f & mask
+
+
 def _feistel(x, half, mask, key):
     a, b = x >> half, x & mask
     for r in range(4):
-        f = (b + key * np.uint64(2 * r + 1)) * np.uint64(0x9E3779B97F4A7C15)
-        f ^= f >> np.uint64(29)
-        f *= np.uint64(0xBF58476D1CE4E5B9)
-        f ^= f >> np.uint64(32)
-        a, b = b, a ^ (f & mask)
+        a, b = b, a ^ _round(b, mask, key, r)
+    return (a << half) | b
+
+
+def _feistel_back(x, half, mask, key):
+    a, b = x >> half, x & mask
+    for r in reversed(range(4)):
+        a, b = b ^ _round(a, mask, key, r), a
     return (a << half) | b
 
 
@@ -145,10 +165,10 @@ class Plan:
         raise AssertionError("no slot count fits")
 
     def _short_before(self, i: int, turn: int, k: int) -> bool:
-        """Is the short block among the first k - 1 slots of a pass?"""
+        """Is the short block among the first k - 1 slots of a pass? Its slot is where the permutation, walked back, comes from."""
         n = self.blocks[i]
-        step = 1 << 20
-        return any((self._order(i, turn * n + a, turn * n + min(a + step, k - 1)) == n - 1).any() for a in range(0, k - 1, step))
+        key = np.array([key_of(self.sources[i], turn, self.seed)], dtype=np.int64)
+        return int(place_of(np.array([n - 1]), np.array([n]), key)[0]) < k - 1
 
 
 def sizes_of(docs: DataFrame, id_col: str, text_col: str, source_col: str) -> DataFrame:
@@ -159,27 +179,27 @@ def sizes_of(docs: DataFrame, id_col: str, text_col: str, source_col: str) -> Da
     n = F.regexp_count(F.coalesce(F.col(text_col), F.lit("")), F.lit(WORD)).cast("bigint")
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).cast("string").alias("source"), n.alias("size"), F.xxhash64(F.col(text_col)).alias("text_hash"))
     own = Window.partitionBy("doc_id", "text_hash", "source").orderBy("size")
-    return stage(few(rows.withColumn("copy", F.row_number().over(own))), "mix-sizes")
+    return stage(rows.withColumn("copy", F.row_number().over(own)), "mix-sizes")
 
 
 def plan_of(rows: DataFrame, **options) -> tuple[Plan, DataFrame]:
     """The plan, and rows with source_no; the driver gets one row per source."""
     totals = rows.groupBy("source").agg(F.sum("size").alias("n"), F.count("*").alias("docs")).collect()
     plan = Plan([(r["source"], int(r["n"])) for r in totals], **options)
-    plan.docs = sum(r["docs"] for r in totals)
+    rows_of = {r["source"]: r["docs"] for r in totals}
     spark = rows.sparkSession
-    numbers = spark.createDataFrame([(s, i, n, float(t)) for i, (s, n, t) in enumerate(zip(plan.sources, plan.sizes, plan.targets))], "s_ string, source_no int, source_size bigint, target double")
+    numbers = spark.createDataFrame([(s, i, n, float(t), max(1, -(-rows_of[s] // PER_BUCKET))) for i, (s, n, t) in enumerate(zip(plan.sources, plan.sizes, plan.targets))], "s_ string, source_no int, source_size bigint, target double, buckets bigint")
     numbers = F.broadcast(numbers) if len(plan.sources) <= 100_000 else numbers
     return plan, rows.join(numbers, rows.source.eqNullSafe(F.col("s_"))).drop("s_")
 
 
-def placed(rows: DataFrame, n_docs: int) -> DataFrame:
+def placed(rows: DataFrame) -> DataFrame:
     """rows with start: the words of the source before the row's own.
 
-    Order within a source: (bucket, id, hash, copy), bucket being a hash of the id.
+    Order within a source: (bucket, id, hash, copy), bucket being a hash of the
+    id; a source has a bucket for each PER_BUCKET rows of its own.
     """
-    buckets = max(1, -(-n_docs // PER_BUCKET))
-    rows = rows.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "text_hash"), F.lit(buckets)).cast("int"))
+    rows = rows.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "text_hash"), F.col("buckets"))).drop("buckets")
     inside = Window.partitionBy("source_no", "bucket").orderBy("doc_id", "text_hash", "copy").rowsBetween(Window.unboundedPreceding, -1)
     across = Window.partitionBy("source_no").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     totals = rows.groupBy("source_no", "bucket").agg(F.sum("size").alias("t"))
@@ -199,7 +219,8 @@ def slots_of(plan: Plan, spark) -> DataFrame:
     n_sources = len(plan.sources)
     before = (np.cumsum(plan.counts, axis=0) - plan.counts).reshape(-1)
     blocks, slots, last = np.array(plan.blocks, np.int64), np.array(plan.slots, np.int64), np.array(plan.last, np.int64)
-    keys = np.array([[key_of(s, t, plan.seed) for t in range(int(np.ceil(MOST)) + 1)] for s in plan.sources], dtype=np.int64)
+    turns = max((-(-int(s) // max(int(n), 1)) for s, n in zip(slots, blocks)), default=0) + 1
+    keys = np.array([[key_of(s, t, plan.seed) for t in range(turns)] for s in plan.sources], dtype=np.int64)
     sizes, block = np.array(plan.sizes, np.int64), plan.block
 
     def run(batches):
@@ -225,7 +246,7 @@ KEY = ["doc_id", "text_hash", "source_no", "copy"]
 def pieces_of(rows: DataFrame, plan: Plan) -> DataFrame:
     """Parts of documents that slots take: KEY, pass_no, shard, slot, from_word, n_taken."""
     block = plan.block
-    at = placed(rows.filter("size > 0"), plan.docs)
+    at = placed(rows.filter("size > 0"))
     first, end = F.floor(F.col("start") / block), F.floor((F.col("start") + F.col("size") - 1) / block)
     spread = at.select(*KEY, "start", "size", F.explode(F.sequence(first, end)).alias("block"))
     met = spread.join(slots_of(plan, rows.sparkSession), ["source_no", "block"])
@@ -241,7 +262,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     zero = rows.select(*own, F.lit(0).cast("bigint").alias("n_taken"))
     got = pieces_of(rows, plan).select(*KEY, *[F.lit(None).cast(t).alias(c) for c, t in (("source", "string"), ("size", "bigint"), ("source_size", "bigint"), ("target", "double"))], "n_taken")
     out = zero.unionByName(got).groupBy(*KEY).agg(*[F.max(c).alias(c) for c in own[len(KEY):]], F.sum("n_taken").alias("taken"))
-    return few(out).select("doc_id", "source", "size", "source_size", "target", "taken")
+    return out.select("doc_id", "source", "size", "source_size", "target", "taken")
 
 
 def cut_words(text: str, runs: list[tuple[int, int]]) -> str:
@@ -290,7 +311,7 @@ def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     def cut(texts: pa.Array, runs: pa.Array) -> pa.Array:
         return cut_all(texts, runs)
 
-    met = few(held.join(got, on)).select("row", cut(F.col("row").getField(text_col), F.col("runs_")).alias("cut_"))
+    met = held.join(got, on).select("row", cut(F.col("row").getField(text_col), F.col("runs_")).alias("cut_"))
     fields = {c: F.col("row").getField(c).alias(c) for c in docs.columns}
     fields[text_col] = F.col("cut_").alias(text_col)
     if chars_col in fields:

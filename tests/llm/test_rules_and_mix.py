@@ -127,6 +127,7 @@ def test_permutation_is_a_bijection():
     for n in (1, 2, 3, 10, 100, 1023, 4096, 5000):
         k = np.full(n, 987654321)
         assert sorted(sm.permute(np.arange(n), np.full(n, n), k)) == list(range(n))
+        assert (sm.place_of(sm.permute(np.arange(n), np.full(n, n), k), np.full(n, n), k) == np.arange(n)).all()
 
 
 def test_shards_take_exactly_the_slots():
@@ -157,6 +158,34 @@ def test_mix_takes_the_targets(spark):
         assert all(r["source_size"] == size[s] and abs(r["target"] - t) < 1e-3 for r in rows if r["source"] == s)
 
 
+def test_plan_takes_the_same_time_for_any_number_of_words():
+    import time
+
+    seconds = []
+    for n in (10**8, 10**10, 10**12, 10**14):
+        at = time.time()
+        plan = sm.Plan([("a", n + 17), ("b", 3 * n + 5), (None, n // 7 + 1)])
+        seconds.append(time.time() - at)
+        for words, slots, last, size, blocks in zip(plan.words, plan.slots, plan.last, plan.sizes, plan.blocks):
+            short = size - (blocks - 1) * plan.block
+            assert (slots - 1) * plan.block + last >= words >= (slots - 1) * plan.block + last - (slots // blocks + 1) * (plan.block - short)
+    assert max(seconds) < 2
+
+
+def test_mix_with_a_larger_share(spark):
+    """Documents up to five times: each pass has its own permutation, and the targets are met."""
+    texts = [prose(i, 20 + 7 * (i % 23)) for i in range(60)]
+    rows = sm.mix(docs_frame(spark, texts), block=16, share=3.0, most=5.0).collect()
+    size, taken = Counter(), Counter()
+    for r in rows:
+        assert 0 <= r["taken"] <= 5 * r["size"]
+        size[r["source"]] += r["size"]
+        taken[r["source"]] += r["taken"]
+    order = sorted(size)
+    want = slow_fill([size[s] for s in order], [3, 1, 2], 3.0, 5.0)
+    assert all(abs(taken[s] - t) <= 1 for s, t in zip(order, want))
+
+
 def test_mixed_documents_hold_what_the_mix_takes(spark):
     texts = [prose(i, 20 + 37 * (i % 23)) for i in range(60)] + [None, "", " lead and trail "]
     docs = docs_frame(spark, texts)
