@@ -67,6 +67,7 @@ SIMILAR = 0.8
 SHORT = 24
 SMALL = 8
 BROADCAST_NODES = 500_000
+PLACES, _PLACE = 1 << 17, np.uint64(64 - 17)
 _WORD = re.compile(r"\w+")
 _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
 _RNG = np.random.default_rng(4)
@@ -266,29 +267,52 @@ def sized(members: DataFrame) -> DataFrame:
     return found.filter("lo <> hi AND o").drop("lo", "hi", "o")
 
 
-def _labelled_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    counts = np.zeros(PLACES, np.int64)
     for b in batches:
-        x = [labelled(_words_in(w), 1).astype(np.int64) for w in b.column(1)]
-        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(x, pa.list_(pa.int64()))], names=["h", "x"])
+        for w in b.column(0):
+            counts += np.bincount((labelled(_words_in(w), 1) >> _PLACE).astype(np.int64), minlength=PLACES)
+    at = np.flatnonzero(counts)
+    yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(counts[at])], names=["place", "n"])
     release_memory()
 
 
+def _rarest_of(counts: np.ndarray, least: float):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            n, words, ranks = [], [], []
+            for w in b.column(4):
+                x = labelled(_words_in(w), 1)
+                df = counts[(x >> _PLACE).astype(np.int64)]
+                order = np.lexsort((x, df))[: len(x) - matches(len(x), least) + 1]
+                at = np.flatnonzero(df[order] > 1)
+                n.append(len(x))
+                words.append(x[order[at]].astype(np.int64))
+                ranks.append(at.astype(np.int32))
+            yield pa.RecordBatch.from_arrays([*b.columns[:4], pa.array(n, pa.int32()), pa.array(words, pa.list_(pa.int64())), pa.array(ranks, pa.list_(pa.int32()))], names=["h", "score", "open", "groups", "n", "word", "at"])
+        release_memory()
+
+    return run
+
+
 def rarest(words: DataFrame, nodes: DataFrame, least: float) -> DataFrame:
     """key, h, n, score, at, open: of each node (h, score, open, groups) the words that a text of similarity `least` must share one of.
 
-    Nodes' labelled words are ordered by the number of nodes that have them; of
-    n, the first n - matches(n) + 1 are given (at counts those before it),
-    without those that no other node has, once for each of the node's groups: a
-    key is a word in a group.
+    All texts must put their words in one order, the rarest first. Labelled
+    words are counted by their hash in PLACES places, which is exact enough for
+    an order and a table of bounded size, so no word is joined with its count.
+    Of n words the first n - matches(n) + 1 are given (at counts those before
+    it), without those that stand alone in their place, once for each of the
+    node's groups: a key is a word in a group.
     """
-    x = words.join(nodes.select("h"), "h").select("h", "w").mapInArrow(_labelled_words, "h binary, x array<bigint>")
-    rows = stage(x.select("h", F.size("x").alias("n"), F.explode("x").alias("word")), "omh-rest")
-    counts = rows.groupBy("word").agg(F.count("*").alias("df"))
-    order = F.row_number().over(Window.partitionBy("h").orderBy("df", "word"))
-    ranked = rows.join(counts, "word").select("word", "h", "n", "df", (order - 1).alias("at"))
-    need = F.ceil(F.col("n") * F.lit(least / (2 - least)) - 1e-9)
-    ranked = ranked.filter((F.col("at") <= F.col("n") - need) & (F.col("df") > 1)).join(nodes, "h")
-    return ranked.select(F.explode("groups").alias("g"), "word", "h", "n", "score", "at", "open").select(F.xxhash64("g", "word").alias("key"), "h", "n", "score", "at", "open")
+    held = stage(words.join(nodes, "h").select("h", "score", "open", "groups", "w"), "omh-rest")
+    counted = held.select("w").mapInArrow(_places, "place bigint, n bigint").groupBy("place").agg(F.sum("n").alias("n")).collect()  # PLACES rows at most
+    counts = np.zeros(PLACES, np.int64)
+    for r in counted:
+        counts[r["place"]] = r["n"]
+    given = held.mapInArrow(_rarest_of(counts, least), "h binary, score bigint, open boolean, groups array<binary>, n int, word array<bigint>, at array<int>")
+    each = given.select("h", "n", "score", "open", "groups", F.explode(F.arrays_zip("word", "at")).alias("x")).select("h", "n", "score", "open", "x.at", "x.word", F.explode("groups").alias("g"))
+    return each.select(F.xxhash64("g", "word").alias("key"), "h", "n", "score", "at", "open")
 
 
 def _met(left: DataFrame, leaders: int, least: float) -> tuple[DataFrame, DataFrame]:
