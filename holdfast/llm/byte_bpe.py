@@ -85,6 +85,7 @@ class WordCoder:
             "vocab": pa.table({"tok": pa.array(ranks.values(), pa.int32()), "hex": pa.array([t.hex() for t in ranks])}),
         }
         self.db = None
+        self.tokens = {v: k for k, v in ranks.items()}
         self.single = [ranks[bytes([i])] for i in range(256)]
         #: word -> its ids, joined by spaces; and its decoded bytes where they are other than the word's
         self.ids: dict[str, bytes] = {}
@@ -129,8 +130,7 @@ class WordCoder:
         for w, b in coded:
             if len(b) > LONG_BYTES:
                 ids = self._by_heap(b)
-                back = {v: k for k, v in self.ranks.items()}
-                self._keep(w, b, " ".join(map(str, ids)), b"".join(back[i] for i in ids))
+                self._keep(w, b, " ".join(map(str, ids)), b"".join(self.tokens[i] for i in ids))
         for at in range(0, len(short), AT_ONCE):
             self._by_query(short[at : at + AT_ONCE])
 
@@ -149,7 +149,6 @@ class WordCoder:
         if decoded != coded:
             self.odd[word] = decoded
 
-
     def trim(self) -> None:
         """Keeps the words that were learnt first: they are the commonest."""
         self.ids = dict(itertools.islice(self.ids.items(), KEEP_WORDS))

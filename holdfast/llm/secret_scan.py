@@ -1,7 +1,8 @@
 """Secret scans: candidates by pattern, false positives removed by a random forest.
 
 A candidate is a run of 20 or more characters of keys and digests, a quoted
-value of eight or more after = or :, or a private key block. Each is described
+value of eight or more after = or :, an unquoted one after a name such as
+password, or a private key block, whatever its length and head lines. Each is described
 by its length, its character transitions (between lower case, upper case,
 digits and the rest; between vowels and consonants), the share of it that
 dictionary words cover, whether it stands in a path, and the words beside it.
@@ -38,9 +39,10 @@ from pyspark.sql import functions as F
 from holdfast.llm.common import LOWER, UPPER, stage
 
 CANDIDATE = (
-    r"-----BEGIN [A-Z ]{0,30}PRIVATE KEY-----[^-]{1,8000}-----END [A-Z ]{0,30}PRIVATE KEY-----"
+    r"-----BEGIN [A-Z0-9 ]{0,30}PRIVATE KEY(?: BLOCK)?-----(?s:.+?)-----END [A-Z0-9 ]{0,30}PRIVATE KEY(?: BLOCK)?-----"
     r"|(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{20,}+={0,2}"
     r"|(?<=[:=] ?[\"'])[^\s\"']{8,}+(?=[\"'])"
+    r"|(?<=[:=] ?)(?<=(?i:passw|pwd|secret|token|key|auth)[A-Za-z_]{0,8}[\"']? ?[:=] ?)[^\s\"'&;,]{8,}+"
 )
 NEAR = 80
 KEEP_AT = 0.5
@@ -67,7 +69,7 @@ def candidates(docs: DataFrame, text_col: str = "text") -> DataFrame:
     rows = rows.select("key", "k", F.col("m.pieces").alias("piece"), F.col("m.hits").alias("value"), F.col("m.after").alias("after"))
     order = Window.partitionBy("key").orderBy("k")
     # a long name is a match itself and may hold the sign: what it names still has it on its left
-    named = F.concat(F.when(F.rlike("piece", F.lit("^=?$")), F.coalesce(F.lag("value").over(order), F.lit(""))).otherwise(""), "piece")
+    named = F.concat(F.when(F.rlike("piece", F.lit("^[\"']? ?[:=]? ?[\"']?$")), F.coalesce(F.lag("value").over(order), F.lit(""))).otherwise(""), "piece")
     before = order.rowsBetween(Window.unboundedPreceding, -1)
     ahead = F.coalesce(F.sum(F.length("piece") + F.coalesce(F.length("value"), F.lit(0))).over(before), F.lit(0))
     rows = rows.select("key", "k", (ahead + F.length("piece")).alias("start"), "value", F.right(named, F.lit(NEAR)).alias("left"), F.expr(f"left(after, {NEAR})").alias("right"))
@@ -138,12 +140,13 @@ def labelled_findings(spark: SparkSession, n: int = 4000) -> DataFrame:
     snake = F.array_join(F.transform(F.sequence(F.lit(1), size("w", 4, 6)), lambda i: F.element_at(tame, (F.pmod(F.xxhash64("id", i, F.lit(1)), F.lit(20)) + 1).cast("int"))), "_")
     uuid = F.regexp_replace(cut(hexes, F.lit(32)), "^(.{8})(.{4})(.{4})(.{4})(.{12})$", "$1-$2-$3-$4-$5")
     prose = pick("l", "and then the old ", "Er in der ", "que de la ", "les deux ", "see it there ", "")
-    name = pick("n", "token", "secret", "api_key", "password", "auth_token", "API_KEY", "private_key", "access-token", "Authorization: Bearer", "client_secret")
+    name = pick("n", "token", "secret", "api_key", "password", "auth_token", "API_KEY", "private_key", "access-token", "Authorization: Bearer", "client_secret", "AWS_ACCESS_KEY_ID", "aws_secret_access_key")
     sign = pick("s", ' = "', '="', ": '", " = ", ": ", '": "', "=", "=")
     query = F.concat(pick("u", "https://www.site.org/", "http://a.net/b/", "https://api.c.org/v1/list"), pick("u2", "?", "?page=2&", "?id=7&"), pick("n", "token", "api_key", "key", "auth", "access_token", "secret"), F.lit("="))
     bare = pick("n", "Bearer ", "api key ", "key: ", "token ")
-    secret = pick("v", cut(hexes, F.lit(40)), cut(hexes, F.lit(40)), cut(hexes, F.lit(32)), cut(hexes, F.lit(64)), cut(mixed, size("m", 20, 48)), cut(mixed, size("m", 24, 64)), F.concat(F.lit("AKIA"), F.upper(cut(mixed, F.lit(16)))), F.concat(F.lit("ghp_"), cut(mixed, F.lit(36))), F.concat(F.lit("sk-"), cut(mixed, F.lit(40))), F.concat(F.lit("eyJ"), cut(mixed, F.lit(60))), cut(F.concat(F.lit("p@"), mixed), size("m", 9, 16)))
-    known = F.when(F.rlike(secret, F.lit("^(AKIA|ghp_|sk-|eyJ)")), pick("c", F.concat(name, sign), prose, bare, query)).otherwise(pick("c", F.concat(name, sign), F.concat(name, sign), F.concat(name, sign), bare, query))
+    secret = pick("v", cut(hexes, F.lit(40)), cut(hexes, F.lit(40)), cut(hexes, F.lit(32)), cut(hexes, F.lit(64)), cut(mixed, size("m", 20, 48)), cut(mixed, size("m", 24, 64)), F.concat(F.lit("AKIA"), F.upper(cut(mixed, F.lit(16)))), F.concat(F.lit("AKIA"), F.translate(F.upper(cut(mixed, F.lit(16))), "0123456789", "ABCDEFGHIJ")), F.concat(F.lit("ghp_"), cut(mixed, F.lit(36))), F.concat(F.lit("sk-"), cut(mixed, F.lit(40))), F.concat(F.lit("eyJ"), cut(mixed, F.lit(60))), cut(F.concat(F.lit("p@"), mixed), size("m", 9, 16)), F.concat(cut(natural, size("p1", 3, 7)), size("p2", 0, 9999).cast("string"), cut(F.reverse(natural), size("p3", 0, 6)), size("p4", 10, 999).cast("string")))
+    secret = F.when(F.length(secret) < 8, F.concat(secret, cut(mixed, F.lit(8)))).otherwise(secret)
+    known = F.when(F.rlike(secret, F.lit("^(AKIA|ghp_|sk-|eyJ)")), pick("c", F.concat(name, sign), prose, bare, query, F.lit("https://"))).otherwise(pick("c", F.concat(name, sign), F.concat(name, sign), F.concat(name, sign), bare, query))
     digest = pick("v", cut(hexes, F.lit(40)), cut(hexes, F.lit(64)), cut(hexes, F.lit(32)), uuid)
     digest_at = pick("c", "commit ", "sha256:", "md5 checksum ", "etag: '", "uuid = ", "integrity: ", "revision ", "git hash ", "digest=\"", "COMMIT=", "https://a.net/b?rev=", "http://www.site.org/x?id=7&hash=", "SHA256=")
     path = pick("v", F.concat(F.lit("usr/local/"), snake), F.concat(F.lit("src/"), natural, F.lit("/main")), F.concat(natural, F.lit("-"), natural))
@@ -152,8 +155,9 @@ def labelled_findings(spark: SparkSession, n: int = 4000) -> DataFrame:
     kind = F.pmod(F.xxhash64("id", F.lit("kind")), F.lit(16))
     rows = spark.range(n).select("id", kind.alias("kind"))
     value = F.when(F.col("kind") < 8, secret).when(F.col("kind") < 11, natural).when(F.col("kind") < 12, snake).when(F.col("kind") < 14, digest).when(F.col("kind") < 15, path).otherwise(filler)
-    left = F.when(F.col("kind") < 8, F.concat(prose, known)).when(F.col("kind") < 11, F.concat(prose, pick("q", "", "", '"', "token of "))).when(F.col("kind") < 12, F.concat(prose, pick("q", "", "key = ", "def ", "name=", "https://a.net/b?page="))).when(F.col("kind") < 14, F.concat(prose, digest_at)).when(F.col("kind") < 15, path_at).otherwise(F.concat(name, sign))
+    left = F.when(F.col("kind") < 8, F.concat(prose, known)).when(F.col("kind") < 11, F.concat(prose, pick("q", "", "", '"', "token of ", "the key: ", "Password: ", "secret = "))).when(F.col("kind") < 12, F.concat(prose, pick("q", "", "key = ", "def ", "name=", "https://a.net/b?page="))).when(F.col("kind") < 14, F.concat(prose, digest_at)).when(F.col("kind") < 15, path_at).otherwise(F.concat(name, sign))
     right = F.when(F.col("kind") == 14, pick("r", ".html", "/index", ".py", "")).otherwise(pick("r", '"', "'", " and the rest", "\n", ""))
+    right = F.when((F.col("kind") < 8) & F.rlike(left, F.lit("^https://$")), F.lit("@github.com/a/b")).otherwise(right)
     return rows.select(left.alias("left"), value.alias("value"), right.alias("right"), (F.col("kind") < 8).cast("double").alias("label"))
 
 

@@ -54,8 +54,9 @@ def _counter(name: str):
 
 
 def split_safely(text: str, size: int = CHUNK_BYTES) -> list[str]:
-    """Pieces of about `size` characters that encode as they do in the whole."""
+    """Pieces of about `size` bytes that encode as they do in the whole."""
     out, at = [], 0
+    size = size if text.isascii() else max(size // 4, 1)
     while len(text) - at > size:
         m = _SAFE.search(text, at + size - 1)
         if not m:
@@ -75,14 +76,15 @@ def lengths(texts: list[str | None], name: str) -> list[int]:
             owner.append(i)
     out = [0] * len(texts)
     batch, size = [], 0
-    for k in [*sorted(range(len(pieces)), key=lambda k: len(pieces[k])), None]:
-        if k is None or size + len(pieces[k]) > BATCH_BYTES and batch:
+    held = [len(p) if p.isascii() else len(p.encode("utf-8", "surrogatepass")) for p in pieces]
+    for k in [*sorted(range(len(pieces)), key=held.__getitem__), None]:
+        if k is None or size + held[k] > BATCH_BYTES and batch:
             for j, n in zip(batch, count([pieces[j] for j in batch]) if batch else []):
                 out[owner[j]] += n
             batch, size = [], 0
         if k is not None:
             batch.append(k)
-            size += len(pieces[k])
+            size += held[k]
     return out
 
 

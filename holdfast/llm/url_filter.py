@@ -104,7 +104,7 @@ def literal_tokens(pattern: str) -> list[str]:
             # an anchor: the text begins or ends here
             close(str(arg).startswith("AT_END"))
             bounded = str(arg).startswith("AT_BEGINNING")
-        elif kind == "MAX_REPEAT" and arg[0] == 0 and arg[1] == 1 and _ends_in_dot(arg[2]) and bounded:
+        elif kind == "MAX_REPEAT" and arg[0] == 0 and arg[1] == 1 and _ends_in_dot(arg[2]) and bounded and not run:
             # an optional "(...\.)" after a boundary: what follows is bounded either way
             close(False)
             bounded = True
