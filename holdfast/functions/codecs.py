@@ -1,23 +1,26 @@
 """Byte transforms: a registry of decoders, encoders and checksums behind Arrow functions.
 
-Each handles whole buffers; a member above MAX_BYTES gives null instead of
-growing a worker. Bad input gives null, never a failed job (decode_checked
-returns the message beside it). Keys are arguments; none is stored here.
+Each handles whole buffers. Bad input gives null, never a failed job;
+decode_checked returns the message beside it, and whatever opens members uses
+that one. Keys are arguments; none is stored here.
 """
 
 from __future__ import annotations
 
+import binascii
 import bz2
 import functools
+import itertools
 import lzma
+import struct
 import zlib
 from collections.abc import Callable
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-MAX_BYTES = 1 << 28
 DECODERS: dict[str, Callable] = {}
 ENCODERS: dict[str, Callable] = {}
 CHECKSUMS: dict[str, Callable[[bytes], int]] = {}
@@ -35,7 +38,7 @@ def _wrap(f, options):
     @F.arrow_udf("binary")
     def run(x: pa.Array) -> pa.Array:
         def one(v):
-            if v is None or len(v) > MAX_BYTES:
+            if v is None:
                 return None
             try:
                 return bytes(f(v, **options))
@@ -59,12 +62,19 @@ def decode_checked(name: str, **options) -> Callable[[Column], Column]:
     """struct(data, error): the reason stands beside a null."""
     f = DECODERS[name]
 
-    @F.udf("struct<data: binary, error: string>", useArrow=True)
-    def run(v):
-        try:
-            return (None, "over the size limit") if v is not None and len(v) > MAX_BYTES else (None if v is None else bytes(f(v, **options)), None)
-        except Exception as e:  # noqa: BLE001
-            return (None, f"{type(e).__name__}: {e}")
+    @F.arrow_udf("struct<data: binary, error: string>")
+    def run(x: pa.Array) -> pa.Array:
+        data, errors = [], []
+        for v in x:
+            got, why = None, None
+            if v.is_valid:
+                try:
+                    got = bytes(f(v.as_py(), **options))
+                except Exception as e:  # noqa: BLE001  reported with its row
+                    why = f"{type(e).__name__}: {e}"
+            data.append(got)
+            errors.append(why)
+        return pa.StructArray.from_arrays([pa.array(data, pa.binary()), pa.array(errors, pa.string())], ["data", "error"])
 
     return run
 
@@ -74,8 +84,11 @@ def checksum(name: str) -> Callable[[Column], Column]:
 
     @F.arrow_udf("bigint" if name != "crc64" else "string")
     def run(x: pa.Array) -> pa.Array:
-        got = [None if v is None else f(v) for v in x.to_pylist()]
-        return pa.array([None if v is None else f"{v:016x}" for v in got], pa.string()) if name == "crc64" else pa.array(got, pa.int64())
+        values = x.to_pylist()
+        if name == "crc64":
+            some = iter(crc64_of([v for v in values if v is not None]))
+            return pa.array([None if v is None else f"{next(some):016x}" for v in values], pa.string())
+        return pa.array([None if v is None else f(v) for v in values], pa.int64())
 
     return run
 
@@ -93,36 +106,43 @@ def _reflected(poly: int) -> list[int]:
     return out
 
 
-@functools.cache
-def _normal(poly: int, bits: int) -> list[int]:
-    out, top, mask = [], 1 << bits - 1, (1 << bits) - 1
-    for i in range(256):
-        c = i << bits - 8
-        for _ in range(8):
-            c = (c << 1 ^ poly if c & top else c << 1) & mask
-        out.append(c)
-    return out
+#: each byte with its bits in reverse
+_MIRROR = bytes(int(f"{x:08b}"[::-1], 2) for x in range(256))
 
 
 def crc32_normal(b: bytes) -> int:
-    t, c = _normal(0x04C11DB7, 32), 0xFFFFFFFF
-    for x in b:
-        c = (c << 8 & 0xFFFFFFFF) ^ t[c >> 24 ^ x]
-    return c ^ 0xFFFFFFFF
+    """Highest bit first: the mirror image of zlib's over mirrored bytes."""
+    return int(f"{zlib.crc32(b.translate(_MIRROR)):032b}"[::-1], 2)
 
 
 def crc16(b: bytes) -> int:
-    t, c = _normal(0x1021, 16), 0
-    for x in b:
-        c = (c << 8 & 0xFFFF) ^ t[c >> 8 ^ x]
-    return c
+    return binascii.crc_hqx(b, 0)
+
+
+def crc64_of(values: list[bytes]) -> list[int]:
+    """One step a byte place for all values that are so long; the rest of the few longest one by one."""
+    t = _reflected(0xC96C5795D7870F42)
+    table, order = np.array(t, np.uint64), sorted(range(len(values)), key=lambda i: -len(values[i]))
+    flat = np.frombuffer(b"".join(values[i] for i in order), np.uint8)
+    sizes = np.array([len(values[i]) for i in order], np.int64)
+    starts, c, out = np.cumsum(sizes) - sizes, np.full(len(order), 0xFFFFFFFFFFFFFFFF, np.uint64), [0] * len(values)
+    active, at = len(order), 0
+    while active >= 16:
+        if not (active := int(np.searchsorted(-sizes, -at, side="left"))) >= 16:
+            break
+        low = (c[:active] ^ flat[starts[:active] + at]) & np.uint64(0xFF)
+        c[:active] = c[:active] >> np.uint64(8) ^ table[low.astype(np.int64)]
+        at += 1
+    for k, i in enumerate(order):
+        v = int(c[k])
+        for x in values[i][at:] if len(values[i]) > at else b"":
+            v = v >> 8 ^ t[(v ^ x) & 0xFF]
+        out[i] = v ^ 0xFFFFFFFFFFFFFFFF
+    return out
 
 
 def crc64(b: bytes) -> int:
-    t, c = _reflected(0xC96C5795D7870F42), 0xFFFFFFFFFFFFFFFF
-    for x in b:
-        c = c >> 8 ^ t[(c ^ x) & 0xFF]
-    return c ^ 0xFFFFFFFFFFFFFFFF
+    return crc64_of([b])[0]
 
 
 CHECKSUMS |= {"adler32": zlib.adler32, "crc32": zlib.crc32, "crc32_normal": crc32_normal, "crc16": crc16, "crc64": crc64}
@@ -158,12 +178,126 @@ def _unlzma(b, size=None):
     return out
 
 
+@decoder("zip_lzma")
+def _unzip_lzma(b):
+    """As ZIP files hold it: two bytes of version and two of the properties' size go first."""
+    if int.from_bytes(b[2:4], "little") != 5:
+        raise ValueError("properties of another size")
+    return _unlzma(b[4:])
+
+
 @encoder("lzma")
 def _lzma(b):
     f = [{"id": lzma.FILTER_LZMA1, "dict_size": 1 << 20, "lc": 3, "lp": 0, "pb": 2}]
     return bytes([(2 * 5 + 0) * 9 + 3]) + (1 << 20).to_bytes(4, "little") + lzma.compress(b, lzma.FORMAT_RAW, filters=f)
 
 
+@decoder("layla")
+def _unlayla(b):
+    """A head, the body packed from its end backwards, then the first bytes as they are.
+
+    Bits from the last byte on: 0 and a literal, or 1, a distance of 13 bits
+    less 3, and a length of 3 and fields of 2, 3, 5 and then 8 bits, each
+    followed by another while it is all ones.
+    """
+    if b[:8] != b"CRILAYLA":
+        raise ValueError("not this form")
+    size, packed = struct.unpack_from("<II", b, 8)
+    body, out, bit = b[16 : 16 + packed][::-1], bytearray(), 0
+    total = 8 * len(body)
+
+    def take(k: int) -> int:
+        nonlocal bit
+        if bit + k > total:
+            raise ValueError("ends early")
+        first, last = bit >> 3, (bit + k + 7) >> 3
+        v = int.from_bytes(body[first:last], "big") >> ((last << 3) - bit - k) & ((1 << k) - 1)
+        bit += k
+        return v
+
+    while len(out) < size:
+        if not take(1):
+            out.append(take(8))
+            continue
+        back, count = take(13) + 3, 3
+        for k in itertools.chain((2, 3, 5), itertools.repeat(8)):
+            more = take(k)
+            count += more
+            if more != (1 << k) - 1:
+                break
+        if back > len(out):
+            raise ValueError("bad distance")
+        piece = out[len(out) - back : len(out) - back + count]
+        while len(piece) < count:
+            piece += piece[: count - len(piece)]
+        out += piece
+    return b[16 + packed :] + bytes(out[:size][::-1])
+
+
+#: fixed value of the format
+_AFF_KEY = bytes((0xC8, 0xBB, 0x8F, 0xB7, 0xED, 0x43, 0x99, 0x4A, 0xA2, 0x7E, 0x5B, 0xB0, 0x68, 0x18, 0xF8, 0x88))
+
+
+@decoder("aff")
+def _unaff(b):
+    """A head of 16 bytes, then data whose first 64 bytes are combined with a key."""
+    if b[:4] != b"AFF\0":
+        raise ValueError("not this form")
+    return bytes(x ^ y for x, y in zip(b[16:80], itertools.cycle(_AFF_KEY))) + b[80:]
+
+
+@decoder("nbz")
+def _unnbz(b):
+    """Four bytes of size, highest first, then bzip2."""
+    out = bz2.decompress(b[4:])
+    if len(out) != int.from_bytes(b[:4], "big"):
+        raise ValueError("another size than stated")
+    return out
+
+
+@decoder("spb")
+def _unspb(b):
+    """A picture as three planes of steps: width, height, then groups of four values after a 3-bit width; gives a BMP.
+
+    Rows run to and fro, and planes are blue, green and red.
+    """
+    w, h = int.from_bytes(b[:2], "big"), int.from_bytes(b[2:4], "big")
+    chunk, left, at = b[4:], 8 * (len(b) - 4), 0
+
+    def take(k: int) -> int:
+        nonlocal at
+        if at + k > left:
+            raise ValueError("ends early")
+        first, last = at >> 3, (at + k + 7) >> 3
+        v = int.from_bytes(chunk[first:last], "big") >> ((last << 3) - at - k) & ((1 << k) - 1)
+        at += k
+        return v
+
+    stride = (3 * w + 3) & ~3
+    pixels = np.zeros((h, stride), np.uint8)
+    for plane in range(3):
+        c = take(8)
+        v = bytearray([c])
+        while len(v) < w * h:
+            n = take(3)
+            if n == 0:
+                v += bytes([c]) * 4
+                continue
+            m = take(1) + 1 if n == 7 else n + 2
+            for _ in range(4):
+                if m == 8:
+                    c = take(8)
+                else:
+                    k = take(m)
+                    c = c + (k >> 1) + 1 & 0xFF if k & 1 else c - (k >> 1) & 0xFF
+                v.append(c)
+        rows = np.frombuffer(bytes(v[: w * h]), np.uint8).reshape(h, w).copy()
+        rows[1::2] = rows[1::2, ::-1]
+        pixels[:, plane : 3 * w : 3] = rows[::-1]
+    size = 54 + pixels.size
+    return b"BM" + size.to_bytes(4, "little") + bytes(4) + (54).to_bytes(4, "little") + struct.pack("<IiiHHIIiiII", 40, w, h, 1, 24, 0, pixels.size, 0, 0, 0, 0) + pixels.tobytes()
+
+
 # sliding window
 
 #: fixed values of the format
@@ -173,30 +307,33 @@ LZSS_FRAME, LZSS_START, LZSS_MIN, LZSS_MAX = 0x1000, 0xFEE, 3, 18
 @decoder("lzss")
 def lzss_decode(b, size=None, frame=LZSS_FRAME, start=LZSS_START, fill=0):
     """Control bits, lowest first: 1 a literal, 0 a pair (offset low; offset high in the top four bits, length - 3)."""
-    ring, at, out, i, n = bytearray([fill]) * frame, start, bytearray(), 0, len(b)
-    while i < n and (size is None or len(out) < size):
+    # the frame is what was written last, so a pair is a slice of the output behind a frame of fill
+    out, i, n, ahead = bytearray([fill]) * frame, 0, len(b), frame - start
+    while i < n and (size is None or len(out) < size + frame):
         flags = b[i] | 0x100
         i += 1
+        if flags == 0x1FF and i + 8 <= n:
+            out += b[i : i + 8]
+            i += 8
+            continue
         while flags > 1 and i < n:
             if flags & 1:
-                c = b[i]
+                out.append(b[i])
                 i += 1
-                out.append(c)
-                ring[at] = c
-                at = (at + 1) % frame
             else:
                 if i + 1 >= n:
                     i = n
                     break
                 src, count = b[i] | (b[i + 1] & 0xF0) << 4, (b[i + 1] & 0xF) + LZSS_MIN
                 i += 2
-                for k in range(count):
-                    c = ring[(src + k) % frame]
-                    out.append(c)
-                    ring[at] = c
-                    at = (at + 1) % frame
+                end = len(out)
+                back = (end - ahead - src - 1) % frame + 1
+                piece = out[end - back : end - back + count]
+                while len(piece) < count:
+                    piece += piece[: count - len(piece)]
+                out += piece
             flags >>= 1
-    return out if size is None else out[:size]
+    return out[frame:] if size is None else out[frame : frame + size]
 
 
 @encoder("lzss")

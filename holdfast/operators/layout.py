@@ -44,7 +44,8 @@ def lead_size(df: DataFrame, container: list[str], order: list[str], offset: str
 
 def strict_lead_size(df: DataFrame, container: list[str], offset: str, end: str, out: str = "size") -> DataFrame:
     """Size to the next greater offset; rows with equal offsets share it."""
-    w = _by(container, offset).rangeBetween(1, Window.unboundedFollowing)
+    # from the end backwards the frame grows by each row, so its minimum is kept, not found anew
+    w = _by(container, F.desc(offset)).rangeBetween(Window.unboundedPreceding, -1)
     return df.withColumn(out, (F.coalesce(F.min(offset).over(w), F.col(end)) - F.col(offset)).cast("bigint"))
 
 
@@ -79,30 +80,62 @@ def zip_by_ordinal(left: DataFrame, right: DataFrame, container: list[str], left
     return a.join(b, [*container, "pos"])
 
 
+def _levels(df: DataFrame, start: str, end: str, width: int) -> Column:
+    """By how many powers of two bins must be wider than `width` for [start, end) to meet two at most."""
+    return F.greatest(F.lit(0), F.ceil(F.log2((F.col(end) - F.col(start)) / F.lit(width)))).cast("int")
+
+
+def _dealt(df: DataFrame, start: str, end: str, width: int, levels: list[int]) -> DataFrame:
+    """Rows that are not empty with own_, level_ and bin_: two bins at most at their own level and each wider one of `levels`."""
+    own = df.filter(F.col(end) > F.col(start)).withColumn("own_", _levels(df, start, end, width))
+    at = F.filter(F.array(*[F.lit(x) for x in levels]).cast("array<int>"), lambda x: x >= F.col("own_"))
+    own = own.withColumn("level_", F.explode(at))
+    span = F.lit(width).cast("bigint") * F.pow(F.lit(2.0), F.col("level_")).cast("bigint")
+    return own.withColumn("bin_", F.explode(F.sequence(F.floor(F.col(start) / span), F.floor((F.col(end) - 1) / span)))).withColumn("span_", span)
+
+
+def _used(frames: list[tuple[DataFrame, str, str]], width: int) -> list[int]:
+    """The levels that intervals have: 63 at most."""
+    got = set()
+    for df, start, end in frames:
+        got |= {r[0] for r in df.filter(F.col(end) > F.col(start)).select(_levels(df, start, end, width)).distinct().collect()}
+    return sorted(got)
+
+
 def overlap_join(left: DataFrame, right: DataFrame, on: list[str], a: tuple[str, str], b: tuple[str, str], width: int) -> DataFrame:
     """Pairs whose half-open intervals a = [start, end) and b overlap, each once.
 
-    Both sides are dealt to bins of `width`; a pair is kept in the bin where the
-    later of the two begins.
+    An interval stands in at most two bins at each level, bins being `width`
+    times a power of two wide, from the level of its own width up: a wide
+    interval costs as few rows as a short one. A pair meets at the level of the
+    wider one and is kept in the bin where the later of the two begins.
     """
-    bins = lambda s, e: F.when(F.col(e) > F.col(s), F.sequence(F.floor(F.col(s) / width), F.floor((F.col(e) - 1) / width)))
-    x = left.withColumn("bin", F.explode(bins(*a)))
-    y = right.withColumn("bin", F.explode(bins(*b)))
-    met = x.join(y, [*on, "bin"]).filter((F.col(a[0]) < F.col(b[1])) & (F.col(b[0]) < F.col(a[1])))
-    return met.filter(F.col("bin") == F.floor(F.greatest(a[0], b[0]) / width)).drop("bin")
+    levels = _used([(left, *a), (right, *b)], width)
+    x = _dealt(left, *a, width, levels)
+    y = _dealt(right, *b, width, levels).withColumnRenamed("own_", "own2_").drop("span_")
+    met = x.join(y, [*on, "level_", "bin_"]).filter((F.col(a[0]) < F.col(b[1])) & (F.col(b[0]) < F.col(a[1])))
+    once = (F.col("level_") == F.greatest("own_", "own2_")) & (F.col("bin_") == F.floor(F.greatest(a[0], b[0]) / F.col("span_")))
+    return met.filter(once).drop("bin_", "level_", "own_", "own2_", "span_")
 
 
 def contain_join(points: DataFrame, intervals: DataFrame, on: list[str], at: str, span: tuple[str, str], width: int) -> DataFrame:
-    """Points with the interval [start, end) that holds them."""
-    y = intervals.withColumn("bin", F.explode(F.when(F.col(span[1]) > F.col(span[0]), F.sequence(F.floor(F.col(span[0]) / width), F.floor((F.col(span[1]) - 1) / width)))))
-    x = points.withColumn("bin", F.floor(F.col(at) / width))
-    return x.join(y, [*on, "bin"]).filter((F.col(at) >= F.col(span[0])) & (F.col(at) < F.col(span[1]))).drop("bin")
+    """Points with the interval [start, end) that holds them; a point looks once at each level that intervals have."""
+    levels = _used([(intervals, *span)], width)
+    y = intervals.filter(F.col(span[1]) > F.col(span[0])).withColumn("level_", _levels(intervals, *span, width))
+    wide = F.lit(width).cast("bigint") * F.pow(F.lit(2.0), F.col("level_")).cast("bigint")
+    y = y.withColumn("bin_", F.explode(F.sequence(F.floor(F.col(span[0]) / wide), F.floor((F.col(span[1]) - 1) / wide))))
+    x = points.withColumn("level_", F.explode(F.array(*[F.lit(v) for v in levels]).cast("array<int>"))).withColumn("bin_", F.floor(F.col(at) / wide))
+    return x.join(y, [*on, "level_", "bin_"]).filter((F.col(at) >= F.col(span[0])) & (F.col(at) < F.col(span[1]))).drop("bin_", "level_")
 
 
 def prefix_join(long: DataFrame, short: DataFrame, text: str, prefix: str) -> DataFrame:
-    """Rows whose text begins with the other's prefix: equal lengths meet on equality."""
-    sizes = short.select(F.length(prefix).alias("len_")).distinct()
-    cut = long.join(F.broadcast(sizes), F.col("len_") <= F.length(text)).withColumn("cut_", F.substring(F.col(text), F.lit(1), F.col("len_")))
+    """Rows whose text begins with the other's prefix: equal lengths meet on equality.
+
+    The lengths that prefixes have are read first: at most as many as the longest has characters.
+    """
+    sizes = sorted(r[0] for r in short.filter(F.col(prefix).isNotNull()).select(F.length(prefix)).distinct().collect())
+    fit = F.filter(F.array(*[F.lit(n) for n in sizes]).cast("array<int>"), lambda n: n <= F.length(text))
+    cut = long.withColumn("len_", F.explode(fit)).withColumn("cut_", F.substring(F.col(text), F.lit(1), F.col("len_")))
     return cut.join(short, F.col("cut_") == F.col(prefix)).drop("cut_", "len_")
 
 

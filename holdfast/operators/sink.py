@@ -173,8 +173,9 @@ def build(entries: DataFrame, tag: str, writer: Callable | None = None, sort: st
 
 
 def extract(members: DataFrame, destination: str, on_exists: str = "skip") -> DataFrame:
-    """Writes data to destination/name and returns name, target, status ('written', 'skipped', 'error: ...').
+    """Writes data to destination/name and returns name, target, status of every member ('written', 'skipped', 'overwritten', 'error: ...').
 
+    A member without data is an error, never an empty file.
     destination is a folder that all executors share, as a path or a URI.
     Names are made safe first; with 'rename' duplicates get NAME.1.EXT. A file
     is written beside its place and then moved, so a task that runs twice
@@ -183,10 +184,16 @@ def extract(members: DataFrame, destination: str, on_exists: str = "skip") -> Da
     if on_exists not in POLICIES:
         raise ValueError(on_exists)
     rows = members.withColumn("target", paths.safe_target(F.regexp_replace("name", r"\\", "/")))
+    why = F.col("error") if "error" in members.columns else F.lit(None).cast("string")
+    rows = rows.withColumn("why", F.when(F.col("data").isNull(), F.concat(F.lit("error: "), F.coalesce(why, F.lit("not decoded")))))
     if on_exists == "rename":
         rows = paths.rename_duplicates(rows.withColumn("name_", F.col("target")).drop("target"), "name_", "ord").drop("name_")
     else:
-        rows = rows.withColumn("rn_", F.row_number().over(Window.partitionBy(F.lower("target")).orderBy("ord"))).filter("rn_ = 1")
+        # of members with one name the first is written, or the last where later ones replace it
+        own = Window.partitionBy(F.lower("target"), F.col("why").isNull())
+        turn = F.row_number().over(own.orderBy(F.desc("ord") if on_exists == "overwrite" else F.col("ord")))
+        again = {"skip": "skipped", "overwrite": "overwritten", "error": "error: FileExistsError: a member of this name came before"}[on_exists]
+        rows = rows.withColumn("why", F.coalesce("why", F.when((turn > 1) & F.col("target").isNotNull(), again)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import uuid
@@ -197,8 +204,11 @@ def extract(members: DataFrame, destination: str, on_exists: str = "skip") -> Da
         for b in batches:
             out = []
             for r in b.to_pylist():
-                status = "written"
+                status = r["why"] or "written"
                 try:
+                    if r["why"]:
+                        out.append({"name": r["name"], "target": r["target"], "status": status})
+                        continue
                     if not r["target"]:
                         raise ValueError("no name")
                     place = f"{root}/{r['target']}"
@@ -211,14 +221,14 @@ def extract(members: DataFrame, destination: str, on_exists: str = "skip") -> Da
                         system.create_dir(place.rsplit("/", 1)[0], recursive=True)
                         side = f"{place}.{uuid.uuid4().hex}.part"
                         with system.open_output_stream(side) as f:
-                            f.write(r["data"] or b"")
+                            f.write(r["data"])
                         system.move(side, place)
                 except Exception as e:  # noqa: BLE001  reported with its row
                     status = f"error: {type(e).__name__}: {e}"
                 out.append({"name": r["name"], "target": r["target"], "status": status})
             yield pa.RecordBatch.from_pylist(out, schema=pa.schema([("name", pa.string()), ("target", pa.string()), ("status", pa.string())]))
 
-    return rows.select("name", "target", "data").mapInArrow(run, "name string, target string, status string")
+    return rows.select("name", "target", "data", "why").mapInArrow(run, "name string, target string, status string")
 
 
 def convert_images(members: DataFrame, to: str, extension: str) -> DataFrame:

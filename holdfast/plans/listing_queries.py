@@ -230,8 +230,8 @@ def lookup_game(spark, sf_dir):
 def offset_type_filter(spark, sf_dir):
     m = dispatch.type_of_name(members(spark, sf_dir).select("doc_id", "name"), catalog.formats(spark), catalog.aliases(spark))
     m = m.withColumn("off", F.when(F.col("doc_id") % 9 == 0, -1).otherwise(F.col("doc_id") * 10).cast("bigint"))
-    few = m.limit(2).agg((F.count("*") < 2).alias("few"))
-    return m.filter("off >= 0").join(F.broadcast(few), F.col("few") | (F.col("type") != "script")).drop("few")
+    single = m.limit(2).agg((F.count("*") < 2).alias("single")).scalar()
+    return m.filter(F.col("off") >= 0).filter(single | (F.col("type") != "script"))
 
 
 @query(f"SELECT name, type, n_chars, type IN ('image', 'audio') AS converts, (type IN ('image', 'script') OR (type = '' AND n_chars < 1048576)) AS previews FROM (SELECT *, {TYPES} AS type FROM ({MEMBERS}))")

@@ -99,23 +99,46 @@ def reader(tag):
 
 @reader("ZIP")
 def list_zip(b: bytes) -> Iterator[dict]:
-    """Central directory of a ZIP file; sizes over 32 bits are not handled."""
+    """Central directory of a ZIP file, with the 64-bit end record and sizes where 32 bits do not hold them."""
     end = b.rfind(b"PK\5\6")
     if end < 0:
         raise ValueError("no end record")
     n, _, at = struct.unpack_from("<HII", b, end + 10)
+    if (n == 0xFFFF or at == 0xFFFFFFFF) and b[end - 20 : end - 16] == b"PK\6\7":
+        wide = struct.unpack_from("<Q", b, end - 12)[0]
+        if b[wide : wide + 4] != b"PK\6\6":
+            raise ValueError("bad 64-bit end record")
+        n, _, at = struct.unpack_from("<QQQ", b, wide + 32)
     for _ in range(n):
         if b[at : at + 4] != b"PK\1\2":
             raise ValueError("bad directory")
         flags, method, _, _, crc, packed, size, ln, lx, lc = struct.unpack_from("<HHHHIIIHHH", b, at + 8)
         head = struct.unpack_from("<I", b, at + 42)[0]
         name = b[at + 46 : at + 46 + ln].decode("utf-8" if flags & 0x800 else "cp932", "replace")
+        size, packed, head = _wide_sizes(b[at + 46 + ln : at + 46 + ln + lx], size, packed, head)
         data = head + 30 + sum(struct.unpack_from("<HH", b, head + 26))
+        packing = "encrypted" if flags & 1 else {0: None, 8: "deflate", 12: "bz2", 14: "zip_lzma", 93: "zstd"}.get(method, f"method{method}")
         if not name.endswith("/"):
-            yield {"name": name, "offset": data, "size": packed, "unpacked_size": size, "is_packed": method != 0, "packing": {0: None, 8: "deflate", 14: "lzma"}.get(method, f"method{method}"), "attrs": {"crc32": str(crc), "encrypted": str(bool(flags & 1)).lower()}}
+            yield {"name": name, "offset": data, "size": packed, "unpacked_size": size, "is_packed": method != 0, "packing": packing, "attrs": {"crc32": str(crc), "encrypted": str(bool(flags & 1)).lower()}}
         at += 46 + ln + lx + lc
 
 
+def _wide_sizes(extra: bytes, *fields: int) -> list[int]:
+    """Fields of 32 bits that are all ones stand in the extra field 1, in their order."""
+    i, values = 0, b""
+    while i + 4 <= len(extra):
+        tag, n = struct.unpack_from("<HH", extra, i)
+        if tag == 1:
+            values = extra[i + 4 : i + 4 + n]
+        i += 4 + n
+    out, at = [], 0
+    for x in fields:
+        if x == 0xFFFFFFFF and at + 8 <= len(values):
+            x, at = struct.unpack_from("<Q", values, at)[0], at + 8
+        out.append(x)
+    return out
+
+
 #: fixed values of the format: the head of a segmented archive
 XP3_MAGIC = b"XP3\r\n \n\x1a\x8bg\x01"
 
@@ -170,7 +193,7 @@ def _big_endian(b: bytes, with_packing: bool) -> Iterator[dict]:
             i += 4
         if base + off + size > len(b):
             raise ValueError("a member beyond the end")
-        yield {"name": name, "offset": base + off, "size": size, "unpacked_size": full, "is_packed": kind != 0, "packing": {0: None, 2: "lzss"}.get(kind, f"kind{kind}")}
+        yield {"name": name, "offset": base + off, "size": size, "unpacked_size": full, "is_packed": kind != 0, "packing": {0: None, 1: "spb", 2: "lzss", 4: "nbz"}.get(kind, f"kind{kind}")}
 
 
 READERS["SAR"] = lambda b: _big_endian(b, False)
@@ -273,31 +296,55 @@ _ARROW = pa.schema(
 )
 
 
-def open_members(entries: DataFrame, files: DataFrame) -> DataFrame:
-    """entries with data: the member's bytes, unpacked.
+#: Packings that a decoder of the same name opens.
+PACKINGS = ("deflate", "zlib", "lzss", "lzma", "zip_lzma", "bz2", "zstd", "nbz", "spb", "layla", "aff")
 
-    Plain members are slices (no Python); each packing is a branch of its own,
-    so a decoder runs on its own rows only.
-    """
-    e = entries.filter(F.col("name").isNotNull()).join(files.select("path", "content"), "path")
-    head = F.coalesce(F.unhex(F.try_element_at("attrs", F.lit("head"))), F.lit(b""))
-    raw = F.concat(head, bytesfn.member(F.col("content"), F.col("offset"), F.col("size")))
-    parts = [e.filter("packing IS NULL").withColumn("data", raw)]
-    for name in ("deflate", "zlib", "lzss", "lzma"):
-        parts.append(e.filter(F.col("packing") == name).withColumn("data", codecs.decode(name)(raw)))
 
-    @F.arrow_udf("binary")
-    def joined(content: pa.Array, segs: pa.Array) -> pa.Array:
-        def one(c, ss):
-            return b"".join(zlib.decompress(c[s["offset"] : s["offset"] + s["packed_size"]]) if s["is_packed"] else c[s["offset"] : s["offset"] + s["size"]] for s in ss)
+def _segments(content: pa.Scalar, segs: pa.Scalar) -> bytes:
+    view, out = content.as_buffer(), []
+    for s in segs.as_py():
+        piece = view[s["offset"] : s["offset"] + (s["packed_size"] if s["is_packed"] else s["size"])]
+        piece = zlib.decompress(piece) if s["is_packed"] else piece
+        if len(piece) != s["size"]:
+            raise ValueError("a segment of another size")
+        out.append(piece)
+    return b"".join(out)
 
-        return pa.array([one(c, s) for c, s in zip(content.to_pylist(), segs.to_pylist())], pa.binary())
 
-    parts.append(e.filter("packing = 'segments'").withColumn("data", joined("content", "segments")))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out.drop("content")
+def _unpacked(packing: pa.Array, raw: pa.Array, content: pa.Array, segs: pa.Array) -> pa.Array:
+    data, errors = [], []
+    for name, r, c, s in zip(packing.to_pylist(), raw, content, segs):
+        got, why = None, None
+        try:
+            if name == "segments":
+                got = _segments(c, s) if c.is_valid else None
+            elif name not in PACKINGS:
+                why = f"no decoder for {name}"
+            elif r.is_valid:
+                got = bytes(codecs.DECODERS[name](r.as_py()))
+        except Exception as e:  # noqa: BLE001  reported with its row
+            why = f"{type(e).__name__}: {e}"
+        data.append(got)
+        errors.append(why)
+    return pa.StructArray.from_arrays([pa.array(data, pa.binary()), pa.array(errors, pa.string())], ["data", "error"])
+
+
+def open_members(entries: DataFrame, files: DataFrame) -> DataFrame:
+    """entries with data, the member's bytes, unpacked: a row for every member.
+
+    Plain members are slices (no Python); packed ones are a branch of their
+    own. What cannot be opened has null data and the reason in error: a packing
+    without a decoder, a bad stream, a place beyond the end.
+    """
+    e = entries.filter(F.col("name").isNotNull()).join(files.select("path", "content"), "path", "left")
+    head = F.coalesce(F.unhex(F.try_element_at("attrs", F.lit("head"))), F.lit(b""))
+    cut = bytesfn.member(F.col("content"), F.col("offset"), F.col("size"))
+    raw = F.when(F.octet_length(cut) == F.col("size"), F.concat(head, cut))
+    plain = e.filter("packing IS NULL").withColumn("o_", F.struct(raw.alias("data"), F.lit(None).cast("string").alias("error")))
+    unpack = F.arrow_udf(_unpacked, "struct<data: binary, error: string>")
+    packed = e.filter("packing IS NOT NULL").withColumn("o_", unpack(F.col("packing"), F.when(F.col("packing") != "segments", raw), F.when(F.col("packing") == "segments", F.col("content")), F.col("segments")))
+    why = F.when(F.col("o_.data").isNull(), F.coalesce("o_.error", F.when(F.col("content").isNull(), "no content").otherwise("beyond the end")))
+    return plain.unionByName(packed).withColumn("error", F.coalesce("error", why)).withColumn("data", F.col("o_.data")).drop("content", "o_")
 
 
 def expand(files: DataFrame, depth: int = 2, readers: dict | None = None) -> DataFrame:
@@ -307,7 +354,7 @@ def expand(files: DataFrame, depth: int = 2, readers: dict | None = None) -> Dat
     for _ in range(depth):
         listed = list_members(level.select(F.to_json("container_path").alias("path"), "content"), readers=readers).filter("error IS NULL")
         opened = open_members(listed, level.select(F.to_json("container_path").alias("path"), "content"))
-        got = opened.select(F.from_json("path", "array<string>").alias("container_path"), "tag", "ord", "name", "data")
+        got = opened.filter("data IS NOT NULL").select(F.from_json("path", "array<string>").alias("container_path"), "tag", "ord", "name", "data")
         out = got if out is None else out.unionByName(got)
         level = got.select("name", F.col("data").alias("content"), F.concat("container_path", F.array("name")).alias("container_path")).withColumnRenamed("name", "path")
     return out
@@ -368,6 +415,78 @@ def read_utf(b: bytes) -> list[dict]:
     return out
 
 
+@reader("CPK")
+def list_cpk(b: bytes) -> Iterator[dict]:
+    """Members named in a TOC table, or numbered in an ITOC table of two: the smaller sizes, the larger ones."""
+    if b[:4] != b"CPK ":
+        raise ValueError("not this format")
+    head = read_utf(b[16 : 16 + struct.unpack_from("<Q", b, 8)[0]])[0]
+    found: dict[int, dict] = {}
+    if head.get("TocOffset"):
+        toc = head["TocOffset"]
+        if b[toc : toc + 4] != b"TOC ":
+            raise ValueError("no table of contents")
+        base = min(head["ContentOffset"], toc)
+        for row in read_utf(b[toc + 16 : toc + 16 + struct.unpack_from("<Q", b, toc + 8)[0]]):
+            name = "/".join(x for x in (row.get("DirName"), row["FileName"]) if x)
+            found[row["ID"]] = {"name": name, "offset": base + row["FileOffset"], "size": row["FileSize"], "unpacked_size": row.get("ExtractSize", row["FileSize"])}
+    if head.get("ItocOffset") and not found:
+        at, align = head["ItocOffset"], head.get("Align") or 1
+        if b[at : at + 4] != b"ITOC":
+            raise ValueError("no numbered table")
+        row = read_utf(b[at + 16 : at + 16 + struct.unpack_from("<Q", b, at + 8)[0]])[0]
+        rows = [r for k in ("DataL", "DataH") if row.get(k) for r in read_utf(row[k])]
+        place = head["ContentOffset"]
+        for r in sorted(rows, key=lambda r: r["ID"]):
+            found[r["ID"]] = {"name": f"{r['ID']:05d}", "offset": place, "size": r["FileSize"], "unpacked_size": r.get("ExtractSize", r["FileSize"])}
+            place += -(-r["FileSize"] // align) * align
+    for _, e in sorted(found.items()):
+        if not 0 <= e["offset"] <= e["offset"] + e["size"] <= len(b):
+            raise ValueError("a member beyond the end")
+        layla = b[e["offset"] : e["offset"] + 8] == b"CRILAYLA"
+        yield e | {"is_packed": layla, "packing": "layla" if layla else None}
+
+
+@reader("MAJIRO")
+def list_majiro(b: bytes) -> Iterator[dict]:
+    """Names in their own block, NUL after each; records of hash, offset and (from version 2) size; version 3 has wide hashes."""
+    if b[:10] != b"MajiroArcV" or b[11:16] != b".000\0" or not 1 <= b[10] - 48 <= 3:
+        raise ValueError("not this format")
+    version = b[10] - 48
+    n, names, data = struct.unpack_from("<III", b, 16)
+    record, width = 4 * (version + 1), 8 if version == 3 else 4
+    if not 0 < n < MAX_MEMBERS or 0x1C + record * (n + (version == 1)) != names or not names < data <= len(b):
+        raise ValueError("no sane index")
+    for i, name in enumerate(b[names:data].split(b"\0")[:n]):
+        at = 0x1C + record * i + width
+        offset = struct.unpack_from("<I", b, at)[0]
+        size = max(0, struct.unpack_from("<I", b, at + record)[0] - offset) if version == 1 else struct.unpack_from("<I", b, at + 4)[0]
+        if not data <= offset <= offset + size <= len(b):
+            raise ValueError("a member beyond the end")
+        yield {"name": name.decode("cp932", "replace"), "offset": offset, "size": size, "is_packed": False, "packing": None}
+
+
+@reader("AFA")
+def list_afa(b: bytes) -> Iterator[dict]:
+    """A deflated index: for each member the name in a padded field, two or three numbers, offset and size."""
+    if b[:4] != b"AFAH" or b[8:16] != b"AlicArch" or b[0x1C:0x20] != b"INFO":
+        raise ValueError("not this format")
+    version, base, packed, _, n = struct.unpack_from("<I4xIxxxxIII", b, 0x10)
+    if not 0 < n < MAX_MEMBERS:
+        raise ValueError(f"no sane count: {n}")
+    index, at = zlib.decompress(b[0x2C : 0x2C + packed]), 0
+    for _ in range(n):
+        used, field = struct.unpack_from("<II", index, at)
+        name = index[at + 8 : at + 8 + used].decode("cp932", "replace")
+        at += 8 + field + (12 if version < 2 else 8)
+        offset, size = struct.unpack_from("<II", index, at)
+        at += 8
+        if not 0 < used <= field or base + offset + size > len(b):
+            raise ValueError("a member beyond the end")
+        hidden = size > 0x10 and b[base + offset : base + offset + 4] == b"AFF\0"
+        yield {"name": name, "offset": base + offset, "size": size, "is_packed": hidden, "packing": "aff" if hidden else None}
+
+
 def utf_rows(tables: DataFrame, content: str = "content") -> DataFrame:
     """key, row_no, row (map of column name to text) of each table."""
 

@@ -14,21 +14,26 @@ from pyspark.sql.window import Window
 
 from holdfast.operators import dispatch, layout, paths
 
-MAX_FILE = 1 << 30
+MAX_FILE = (1 << 31) - 16
 
 
 def files(spark: SparkSession, path: str, recursive: bool = False, mask: str | None = None, max_file: int = MAX_FILE) -> DataFrame:
-    """path, length, modified, content, name, dir, stem, ext, signature of each file up to max_file bytes.
+    """path, length, modified, content, name, dir, stem, ext, signature, error of each file.
+
+    Files over max_file bytes, which a column cannot hold as a value, have null content and say so in error.
 
     mask is matched without case after the scan (the reader's own glob minds
     case). size is length, cut to what 32 bits hold.
     """
     raw = spark.read.format("binaryFile").option("recursiveFileLookup", str(recursive).lower()).load(path)
-    raw = raw.filter(F.col("length") <= max_file)
+    over = F.col("length") > max_file
+    raw = raw.filter(~over).withColumn("error", F.lit(None).cast("string")).unionByName(
+        raw.filter(over).select("path", "modificationTime", "length", F.lit(None).cast("binary").alias("content"), F.concat(F.lit("over "), F.lit(max_file), F.lit(" bytes")).alias("error"))
+    )
     p = F.col("path")
     out = raw.select(
         "path", "length", F.least("length", F.lit(layout.MAX_SIZE)).alias("size"), F.col("modificationTime").alias("modified"), "content",
-        paths.file_name(p).alias("name"), paths.directory(p).alias("dir"), paths.stem(p).alias("stem"), paths.extension(p).alias("ext"), dispatch.signature(F.col("content")).alias("signature"),
+        paths.file_name(p).alias("name"), paths.directory(p).alias("dir"), paths.stem(p).alias("stem"), paths.extension(p).alias("ext"), dispatch.signature(F.col("content")).alias("signature"), "error",
     )
     return out.filter(paths.matches(F.col("name"), mask)) if mask else out
 

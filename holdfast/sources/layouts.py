@@ -21,6 +21,8 @@ TABLE = [
     ("ARC0", b"ARC0", (8, 4), 0x10, 0x20, (0x0C, 0x14), (0, 4), (4, 4), 0),
     ("ARC1", b"ARC1", (4, 4), AT((8, 4)), 0x18, (0, 0x10), (0x14, 4), (0x10, 4), 0),
     ("ARCX/LOWER", b"arcx", (4, 4), 0x10, 0x20, (0, 0x10), (0x14, 4), (0x10, 4), 0),
+    ("ARC/BGI", b"PackFile    ", (0x0C, 4), 0x10, 0x20, (0, 0x10), (0x10, 4), (0x14, 4), "end"),
+    ("ARC/BURIKO", b"BURIKO ARC20", (0x0C, 4), 0x10, 0x80, (0, 0x60), (0x60, 4), (0x64, 4), "end"),
     ("BISHOP", b"\x8c\x8ePK", (4, 4), 0x0C, 0x230, (0, 0x200), (0x204, 4), (0x208, 4), 0),
     ("BLD", b"BLD0", (8, 2), AT((0x0A, 4)), 0x10, (0, 0x0C), None, (0x0C, 4), 0x10),
     ("CDPA", b"PACK", (4, 4), 8, 0x28, (0, 0x20), (0x24, 4), (0x20, 4), 0),

@@ -1,5 +1,6 @@
 import sqlite3
 import struct
+import zlib
 
 from pyspark.sql import functions as F
 
@@ -208,3 +209,122 @@ def test_layouts_that_are_data_round_trip():
         for bad in (b"", made[: len(layout.magic) + 3], b"?" * 64):
             with pytest.raises((ValueError, IndexError)):
                 list(layout.list(bad))
+
+
+def test_opened_equals_listed(spark):
+    """Every member that is listed comes back: with data, or with the reason why not."""
+    z = bytearray(sink.build_zip([("good.txt", b"good " * 40), ("bad.txt", b"abcd" * 99), ("odd.txt", b"method" * 9)]))
+    at = [i for i in range(len(z)) if z[i : i + 4] == b"PK\1\2"]
+    z[at[2] + 10 : at[2] + 12] = (97).to_bytes(2, "little")
+    data = z.index(b"bad.txt") + len("bad.txt")
+    z[data : data + 6] = b"\xff" * 6
+    f = spark.createDataFrame([("z", bytes(z))], "path string, content binary")
+    listed = cs.list_members(f, ["ZIP"])
+    got = {r["name"]: r for r in cs.open_members(listed, f).collect()}
+    assert set(got) == {r["name"] for r in listed.collect()} == {"good.txt", "bad.txt", "odd.txt"}
+    assert bytes(got["good.txt"]["data"]) == b"good " * 40 and got["good.txt"]["error"] is None
+    assert got["bad.txt"]["data"] is None and "error" in got["bad.txt"]["error"]
+    assert got["odd.txt"]["data"] is None and got["odd.txt"]["error"] == "no decoder for method97"
+    gone = cs.open_members(listed, f.limit(0)).collect()
+    assert len(gone) == 3 and all(r["error"] in ("no content", "no decoder for method97") for r in gone)
+
+
+def test_64_bit_zip(spark):
+    """Hand-made: sizes and place in the extra field, the count in the 64-bit end record."""
+    body, name = b"wide", b"w.bin"
+    local = struct.pack("<IHHHHHIIIHH", 0x04034B50, 45, 0, 0, 0, 0, 0, 0xFFFFFFFF, 0xFFFFFFFF, len(name), 0) + name + body
+    extra = struct.pack("<HHQQQ", 1, 24, 4, 4, 0)
+    central = struct.pack("<IHHHHHHIIIHHHHHII", 0x02014B50, 45, 45, 0, 0, 0, 0, 0, 0xFFFFFFFF, 0xFFFFFFFF, len(name), len(extra), 0, 0, 0, 0, 0xFFFFFFFF) + name + extra
+    wide = struct.pack("<IQHHIIQQQQ", 0x06064B50, 44, 45, 45, 0, 0, 1, 1, len(central), len(local))
+    locator = struct.pack("<IIQI", 0x07064B50, 0, len(local) + len(central), 1)
+    end = struct.pack("<IHHHHIIH", 0x06054B50, 0, 0, 0xFFFF, 0xFFFF, 0xFFFFFFFF, 0xFFFFFFFF, 0)
+    f = spark.createDataFrame([("z", local + central + wide + locator + end)], "path string, content binary")
+    r = cs.open_members(cs.list_members(f, ["ZIP"]), f).first()
+    assert (r["name"], r["offset"], r["size"], bytes(r["data"])) == ("w.bin", 35, 4, b"wide")
+
+
+def test_extract_reports_every_member(spark, tmp_path):
+    schema = "name string, ord int, data binary, error string"
+    members = [("a.txt", 0, b"one", None), ("A.TXT", 1, b"two", None), ("none.bin", 2, None, "bad stream"), ("why.bin", 3, None, None), (None, 4, b"x", None)]
+    df = spark.createDataFrame(members, schema)
+    for policy, want, kept in (("error", ["written", "error: FileExistsError"], b"one"), ("skip", ["written", "skipped"], b"one"), ("overwrite", ["overwritten", "written"], b"two")):
+        to = tmp_path / policy
+        got = sorted(((r["name"] or "", r["status"]) for r in sink.extract(df, str(to), policy).collect()))
+        assert len(got) == 5
+        status = dict(got)
+        assert status["a.txt"].startswith(want[0]) and status["A.TXT"].startswith(want[1]), (policy, status)
+        assert status["none.bin"] == "error: bad stream" and status["why.bin"] == "error: not decoded" and status[""].startswith("error")
+        assert [p.read_bytes() for p in to.iterdir()] == [kept]
+
+
+def test_large_files_are_rows(spark, tmp_path):
+    (tmp_path / "big.bin").write_bytes(b"x" * 100)
+    (tmp_path / "small.bin").write_bytes(b"y")
+    got = {r["name"]: (r["length"], r["content"], r["error"]) for r in files.files(spark, str(tmp_path), max_file=50).collect()}
+    assert got["small.bin"] == (1, bytearray(b"y"), None)
+    assert got["big.bin"] == (100, None, "over 50 bytes")
+
+
+def utf(columns, rows):
+    """A typed table by hand: columns (name, kind), kinds 4 (u32), 6 (u64), 10 (text), 11 (bytes)."""
+    strings, data = b"<NULL>\0", b""
+
+    def text(x):
+        nonlocal strings
+        strings += x.encode() + b"\0"
+        return struct.pack(">I", len(strings) - len(x.encode()) - 1)
+
+    heads = b"".join(bytes([0x50 | k]) + text(n) for n, k in columns)
+    body = b""
+    for row in rows:
+        for (_, k), v in zip(columns, row):
+            if k == 11:
+                body += struct.pack(">II", len(data), len(v))
+                data += v
+            else:
+                body += text(v) if k == 10 else struct.pack({4: ">I", 6: ">Q"}[k], v)
+    rows_at = 24 + len(heads)
+    size = sum({4: 4, 6: 8, 10: 4, 11: 8}[k] for _, k in columns)
+    table = struct.pack(">IIIIHHI", rows_at, rows_at + len(body), rows_at + len(body) + len(strings), 0, len(columns), size, len(rows)) + heads + body + strings + data
+    return b"@UTF" + struct.pack(">I", len(table)) + table
+
+
+def chunk(tag, table):
+    return tag + struct.pack("<IQ", 0xFF, len(table)) + table
+
+
+def test_archives_by_hand(spark):
+    """Bytes laid out here, not by this library's writers."""
+    # one literal 'c', 'b', 'a' and a pair of distance 3 (a field of 0), length 3 + 1: written from the end on
+    bits = "".join("0" + f"{x:08b}" for x in b"cba") + "1" + f"{0:013b}" + "01"
+    bits += "0" * (-len(bits) % 8)
+    packed = int(bits, 2).to_bytes(len(bits) // 8, "big")[::-1]
+    layla = b"CRILAYLA" + struct.pack("<II", 7, len(packed)) + packed + b"HEAD"
+    toc = chunk(b"TOC ", utf([("DirName", 10), ("FileName", 10), ("FileSize", 4), ("ExtractSize", 4), ("FileOffset", 6), ("ID", 4)], [("d", "x.bin", 5, 5, 0x400, 1), ("", "y.bin", len(layla), 11, 0x410, 0)]))
+    cpk = chunk(b"CPK ", utf([("ContentOffset", 6), ("TocOffset", 6)], [(0x800, 0x400)])).ljust(0x400, b"\0") + toc
+    cpk = cpk.ljust(0x800, b"\0") + b"plain".ljust(16, b"\0") + layla
+    low = utf([("ID", 4), ("FileSize", 4), ("ExtractSize", 4)], [(0, 3, 3), (2, 4, 4)])
+    high = utf([("ID", 4), ("FileSize", 4), ("ExtractSize", 4)], [(1, 5, 5)])
+    numbered = chunk(b"CPK ", utf([("ContentOffset", 6), ("ItocOffset", 6), ("Align", 4)], [(0x800, 0x300, 8)])).ljust(0x300, b"\0")
+    numbered = (numbered + chunk(b"ITOC", utf([("DataL", 11), ("DataH", 11)], [(low, high)]))).ljust(0x800, b"\0") + b"one".ljust(8, b"\0") + b"three".ljust(8, b"\0") + b"four"
+    names = b"a.txt\0b.txt\0"
+    at = 0x1C + 8 * 3
+    majiro = b"MajiroArcV1.000\0" + struct.pack("<III", 2, at, at + len(names)) + struct.pack("<IIIIII", 7, at + len(names), 8, at + len(names) + 3, 0, at + len(names) + 7) + names + b"abcdefg"
+    wide = b"MajiroArcV3.000\0" + struct.pack("<III", 1, 0x1C + 16, 0x1C + 22) + struct.pack("<QII", 7, 0x1C + 22, 4) + b"c.txt\0" + b"data"
+    key = bytes.fromhex("c8bb8fb7ed43994aa27e5bb06818f888")
+    secret = bytes(range(100))
+    hidden = b"AFF\0" + bytes(12) + bytes(x ^ key[i % 16] for i, x in enumerate(secret[:64])) + secret[64:]
+    index = struct.pack("<II", 5, 8) + b"q.qnt\0\0\0" + struct.pack("<IIII", 0, 0, 0, len(hidden)) + struct.pack("<II", 1, 4) + b"r\0\0\0" + struct.pack("<IIII", 0, 0, len(hidden), 3)
+    packed_index = zlib.compress(index)
+    afa = b"AFAH" + struct.pack("<I", 0x1C) + b"AlicArch" + struct.pack("<IIII", 2, 1, 0, 0)[:8]
+    afa += struct.pack("<I", 0x2C + len(packed_index)) + b"INFO" + struct.pack("<III", len(packed_index), len(index), 2) + packed_index + hidden + b"raw"
+    bgi = b"PackFile    " + struct.pack("<I", 1) + b"n.txt".ljust(16, b"\0") + struct.pack("<II", 0, 4) + bytes(8) + b"text"
+    cases = {"CPK": (cpk, {"d/x.bin": b"plain", "y.bin": b"HEAD" + b"cbacbac"[::-1]}), "CPK2": (numbered, {"00000": b"one", "00001": b"three", "00002": b"four"})}
+    cases |= {"MAJIRO": (majiro, {"a.txt": b"abc", "b.txt": b"defg"}), "MAJIRO3": (wide, {"c.txt": b"data"}), "AFA": (afa, {"q.qnt": secret, "r": b"raw"}), "ARC/BGI": (bgi, {"n.txt": b"text"})}
+    f = spark.createDataFrame([(k, v[0]) for k, v in cases.items()], "path string, content binary")
+    listed = cs.list_members(f)
+    got = {}
+    for r in cs.open_members(listed, f).collect():
+        got.setdefault(r["path"], {})[r["name"]] = r["data"] and bytes(r["data"])
+    for k, (_, want) in cases.items():
+        assert got.get(k) == want, (k, got.get(k), [r["error"] for r in listed.collect() if r["path"] == k])

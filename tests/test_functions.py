@@ -146,3 +146,87 @@ def test_palettes(spark):
     df = spark.createDataFrame([(b,)], "b binary").select(*[read_palette(F.col("b"), 1, 2, o).alias(o) for o in ORDERS]).first()
     u = lambda x: x & 0xFFFFFFFF
     assert u(df["rgb"][0]) == 0xFF010203 and u(df["bgr"][1]) == 0xFF060504 and u(df["bgra"][1]) == 0x08070605 and u(df["rgbx"][0]) == 0xFF010203
+
+
+def test_checksums_of_batches():
+    """The batch forms equal a bit-by-bit division, whatever the lengths."""
+
+    def divide(b, poly, mask):
+        c = mask
+        for x in b:
+            c ^= x
+            for _ in range(8):
+                c = c >> 1 ^ poly if c & 1 else c >> 1
+        return c ^ mask
+
+    values = [bytes(RNG.randrange(256) for _ in range(n)) for n in [0, 1, 2, 300, 7, 7, 0, 64, *range(30)]]
+    assert codecs.crc64_of(values) == [divide(v, 0xC96C5795D7870F42, 2**64 - 1) for v in values]
+    assert codecs.crc64_of([]) == []
+
+    def first_bit(b, poly, bits, c):
+        for x in b:
+            c ^= x << bits - 8
+            for _ in range(8):
+                c = (c << 1 ^ poly if c >> bits - 1 else c << 1) & (1 << bits) - 1
+        return c
+
+    assert [codecs.crc32_normal(v) for v in values] == [first_bit(v, 0x04C11DB7, 32, 2**32 - 1) ^ 2**32 - 1 for v in values]
+    assert [codecs.crc16(v) for v in values] == [first_bit(v, 0x1021, 16, 0) for v in values]
+
+
+def test_sliding_window_by_the_letter():
+    """Slices of the output give what a ring of the frame's size gives, byte by byte."""
+
+    def ring_decode(b, frame, start, fill):
+        ring, at, out, i = bytearray([fill]) * frame, start, bytearray(), 0
+        while i < len(b):
+            flags, i = b[i], i + 1
+            for bit in range(8):
+                if i >= len(b):
+                    return out
+                if flags >> bit & 1:
+                    got, i = b[i : i + 1], i + 1
+                    ring[at], at = got[0], (at + 1) % frame
+                    out += got
+                elif i + 1 >= len(b):
+                    return out
+                else:
+                    src, n, i = b[i] | (b[i + 1] & 0xF0) << 4, (b[i + 1] & 0xF) + 3, i + 2
+                    for k in range(n):
+                        ring[at] = ring[(src + k) % frame]
+                        out.append(ring[at])
+                        at = (at + 1) % frame
+        return out
+
+    for _ in range(60):
+        b = bytes(RNG.choice([RNG.randrange(256), 0xFF, 0x0F]) for _ in range(RNG.randrange(400)))
+        assert codecs.lzss_decode(b, fill=0x20) == ring_decode(b, 0x1000, 0xFEE, 0x20)
+
+
+def test_picture_of_steps():
+    """Width 2, height 2, one value a plane and no steps: three planes of one shade."""
+    bits = ""
+    for shade in (10, 20, 30):
+        bits += f"{shade:08b}" + "000"
+    bits += "0" * (-len(bits) % 8)
+    b = (2).to_bytes(2, "big") * 2 + int(bits, 2).to_bytes(len(bits) // 8, "big")
+    got = codecs.DECODERS["spb"](b)
+    assert got[:2] == b"BM" and got[54:62] == bytes((10, 20, 30, 10, 20, 30, 0, 0)) and len(got) == 54 + 16
+    packed = (5).to_bytes(4, "big") + __import__("bz2").compress(b"hello")
+    assert codecs.DECODERS["nbz"](packed) == b"hello"
+
+
+def test_joins_of_wide_intervals(spark):
+    from holdfast.operators import layout
+
+    r = random.Random(4)
+    a = [(i, 0, s := r.randrange(5000), s + r.choice([0, 1, 5, 300, 4000, 10**9])) for i in range(60)]
+    b = [(i, 0, s := r.randrange(5000), s + r.choice([0, 2, 40, 1000, 10**12])) for i in range(60)]
+    x, y = spark.createDataFrame(a, "i long, k long, s long, e long"), spark.createDataFrame(b, "j long, k long, t long, u long")
+    got = sorted((v["i"], v["j"]) for v in layout.overlap_join(x, y, ["k"], ("s", "e"), ("t", "u"), 8).collect())
+    assert got == sorted((i, j) for i, _, s, e in a for j, _, t, u in b if s < u and t < e and s < e and t < u)
+    got = sorted((v["i"], v["j"]) for v in layout.contain_join(x, y, ["k"], "s", ("t", "u"), 8).collect())
+    assert got == sorted((i, j) for i, _, s, _ in a for j, _, t, u in b if t <= s < u)
+    sized = layout.strict_lead_size(x.select("i", "k", "s").withColumn("end", F.lit(9999).cast("long")), ["k"], "s", "end")
+    starts = sorted({v[2] for v in a})
+    assert {(v["i"], v["size"]) for v in sized.collect()} == {(i, min([t for t in starts if t > s], default=9999) - s) for i, _, s, _ in a}
