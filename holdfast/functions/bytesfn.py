@@ -18,13 +18,14 @@ def reversed_hex(b: Column) -> Column:
 def slice_of(b: Column, offset, size) -> Column:
     """size bytes at offset, null if there are fewer."""
     offset, size = (x if isinstance(x, Column) else F.lit(x) for x in (offset, size))
-    return F.when((offset >= 0) & (F.octet_length(b) >= offset + size), F.substring(b, (offset + 1).cast("int"), size.cast("int")))
+    return F.when((offset >= 0) & (size >= 0) & (F.octet_length(b) >= offset + size), F.substring(b, (offset + 1).cast("int"), size.cast("int")))
 
 
 def member(b: Column, offset, size) -> Column:
-    """A member's bytes: empty for size 0, cut at the end of the file."""
+    """A member's bytes: empty for size 0, cut at the end of the file, null where its place is beyond it."""
     offset, size = (x if isinstance(x, Column) else F.lit(x) for x in (offset, size))
-    return F.when(size == 0, F.lit(b"")).otherwise(F.substring(b, (offset + 1).cast("int"), size.cast("int")))
+    inside = (offset >= 0) & (offset < F.octet_length(b)) & (size > 0)
+    return F.when(size == 0, F.lit(b"")).when(inside, F.substring(b, (offset + 1).cast("int"), F.least(size, F.octet_length(b)).cast("int")))
 
 
 def unsigned_be(b: Column, offset, n: int) -> Column:

@@ -57,3 +57,23 @@ def compress_roundtrip(spark, sf_dir):
     d = table(spark, sf_dir, "documents").select("doc_id", b.alias("b"))
     back = lambda name, **o: codecs.decode(name, **o)(codecs.encode(name, **o)(F.col("b"))) == F.col("b")
     return d.select("doc_id", F.octet_length("b").cast("bigint").alias("n_bytes"), back("zlib").alias("zlib"), back("lzss").alias("lzss"), back("xor", key=b"\x5a\x01").alias("xor"))
+
+
+ROUND = ("gzip", "bz2", "zstd", "lzma", "lz4_block", "rle", "mtf")
+
+
+@query("SELECT doc_id, " + ", ".join(f"md5(text) AS {x}" for x in ROUND) + " FROM documents")
+def codec_roundtrips(spark, sf_dir):
+    """What each codec gives back of what it packed, by digest."""
+    d = table(spark, sf_dir, "documents").select("doc_id", F.encode("text", "UTF-8").alias("b"))
+    return d.select("doc_id", *[F.md5(codecs.decode(x)(codecs.encode(x)(F.col("b")))).alias(x) for x in ROUND])
+
+
+@query("SELECT doc_id, 'ZLIB' AS form, md5(text) AS md5, CAST(NULL AS VARCHAR) AS error FROM documents UNION ALL SELECT doc_id, 'plain', NULL, 'error' FROM documents")
+def checked_decoding(spark, sf_dir):
+    """A good stream gives its bytes, a bad one null and the reason, which stands for itself here by its first word."""
+    d = table(spark, sf_dir, "documents").select("doc_id", F.encode("text", "UTF-8").alias("b"))
+    packed = d.select("doc_id", F.lit("ZLIB").alias("form"), codecs.encode("zlib")(F.col("b")).alias("b"))
+    both = packed.unionByName(d.select("doc_id", F.lit("plain").alias("form"), F.concat(F.lit(b"\0\0"), "b").alias("b")))
+    out = both.select("doc_id", "form", codecs.decode_checked("zlib")(F.col("b")).alias("r"))
+    return out.select("doc_id", "form", F.md5("r.data").alias("md5"), F.substring_index("r.error", ":", 1).alias("error"))

@@ -112,3 +112,15 @@ def writer_checks(spark, sf_dir):
     """What a writer would leave out: second and later members of one name."""
     d = table(spark, sf_dir, "documents").select(F.col("source").alias("archive"), F.concat("lang", F.lit(".txt")).alias("name"), F.col("doc_id").alias("ord"), F.lit(b"x").alias("data"))
     return sink.checked(d).select("archive", "name", "problem")
+
+
+@query(f"""SELECT archive, name, CASE doc_id % 4 WHEN 1 THEN 'no decoder for method93x' WHEN 2 THEN 'beyond the end' END AS error,
+ CASE WHEN doc_id % 4 NOT IN (1, 2) THEN md5(text) END AS md5 FROM ({ARCHIVES})""")
+def opened_equals_listed(spark, sf_dir):
+    """Every listed member comes back: of four, one has a packing that nobody knows and one stands beyond its file's end."""
+    files = sink.build(rows(spark, sf_dir), "ZIP").select(F.col("archive").alias("path"), "content")
+    no = F.regexp_extract("name", r"(\d+)\.txt$", 1).cast("bigint") % 4
+    listed = cs.list_members(files, ["ZIP"])
+    listed = listed.withColumn("packing", F.when(no == 1, "method93x").when(no == 2, F.lit(None)).otherwise(F.col("packing")))
+    listed = listed.withColumn("offset", F.when(no == 2, F.lit(1 << 40)).otherwise(F.col("offset")))
+    return cs.open_members(listed, files).select(F.col("path").alias("archive"), "name", "error", F.md5("data").alias("md5"))
