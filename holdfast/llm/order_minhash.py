@@ -268,12 +268,14 @@ def sized(members: DataFrame) -> DataFrame:
 
 
 def _places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    counts = np.zeros(PLACES, np.int64)
+    counts = np.zeros((2, PLACES), np.int64)
     for b in batches:
-        for w in b.column(0):
-            counts += np.bincount((labelled(_words_in(w), 1) >> _PLACE).astype(np.int64), minlength=PLACES)
-    at = np.flatnonzero(counts)
-    yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(counts[at])], names=["place", "n"])
+        for is_open, w in zip(b.column(0), b.column(1)):
+            here = np.bincount((labelled(_words_in(w), 1) >> _PLACE).astype(np.int64), minlength=PLACES)
+            counts[0] += here
+            counts[1] += here if is_open.as_py() else 0
+    at = np.flatnonzero(counts[0])
+    yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(counts[0, at]), pa.array(counts[1, at])], names=["place", "n", "n_open"])
     release_memory()
 
 
@@ -281,11 +283,13 @@ def _rarest_of(counts: np.ndarray, least: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             n, words, ranks = [], [], []
-            for w in b.column(4):
+            for is_open, w in zip(b.column(2), b.column(4)):
                 x = labelled(_words_in(w), 1)
-                df = counts[(x >> _PLACE).astype(np.int64)]
-                order = np.lexsort((x, df))[: len(x) - matches(len(x), least) + 1]
-                at = np.flatnonzero(df[order] > 1)
+                place = (x >> _PLACE).astype(np.int64)
+                order = np.lexsort((x, counts[0, place]))[: len(x) - matches(len(x), least) + 1]
+                # a word that no other node has, or no open one where this is not open, is met by nobody
+                met = counts[0, place[order]] > 1 if is_open.as_py() else counts[1, place[order]] > 0
+                at = np.flatnonzero(met)
                 n.append(len(x))
                 words.append(x[order[at]].astype(np.int64))
                 ranks.append(at.astype(np.int32))
@@ -302,15 +306,17 @@ def rarest(words: DataFrame, nodes: DataFrame, least: float) -> DataFrame:
     words are counted by their hash in PLACES places, which is exact enough for
     an order and a table of bounded size, so no word is joined with its count.
     Of n words the first n - matches(n) + 1 are given (at counts those before
-    it), without those that stand alone in their place, once for each of the
-    node's groups: a key is a word in a group.
+    it), without those that stand alone in their place or, for a node that is
+    not open, that no open one has, once for each of the node's groups: a key
+    is a word in a group.
     """
     held = stage(words.join(nodes, "h").select("h", "score", "open", "groups", "w"), "omh-rest")
-    counted = held.select("w").mapInArrow(_places, "place bigint, n bigint").groupBy("place").agg(F.sum("n").alias("n")).collect()  # PLACES rows at most
-    counts = np.zeros(PLACES, np.int64)
+    counted = held.select("open", "w").mapInArrow(_places, "place bigint, n bigint, n_open bigint").groupBy("place").agg(F.sum("n").alias("n"), F.sum("n_open").alias("o")).collect()  # PLACES rows at most
+    counts = np.zeros((2, PLACES), np.int64)
     for r in counted:
-        counts[r["place"]] = r["n"]
-    given = held.mapInArrow(_rarest_of(counts, least), "h binary, score bigint, open boolean, groups array<binary>, n int, word array<bigint>, at array<int>")
+        counts[:, r["place"]] = r["n"], r["o"]
+    # dealt by text: nodes that met in one bucket stand together in few files
+    given = held.repartition("h").mapInArrow(_rarest_of(counts, least), "h binary, score bigint, open boolean, groups array<binary>, n int, word array<bigint>, at array<int>")
     each = given.select("h", "n", "score", "open", "groups", F.explode(F.arrays_zip("word", "at")).alias("x")).select("h", "n", "score", "open", "x.at", "x.word", F.explode("groups").alias("g"))
     return each.select(F.xxhash64("g", "word").alias("key"), "h", "n", "score", "at", "open")
 
