@@ -95,10 +95,59 @@ def image_metadata(content: Column) -> Column:
     return run(content)
 
 
+#: fixed values of the format: first column and row, and steps, of the seven passes of an interlaced image
+_PASSES = ((0, 0, 8, 8), (4, 0, 8, 8), (0, 4, 4, 8), (2, 0, 4, 4), (0, 2, 2, 4), (1, 0, 2, 2), (0, 1, 1, 2))
+
+
+def _unfiltered(raw: np.ndarray, n: int) -> np.ndarray:
+    """Rows without their filter byte; n is the number of bytes from a sample to the one left of it."""
+    out = np.zeros((len(raw), raw.shape[1] - 1), np.uint8)
+    size = out.shape[1]
+    for y in range(len(raw)):
+        f, row = raw[y, 0], raw[y, 1:].astype(np.int32)
+        up = out[y - 1].astype(np.int32) if y else np.zeros(size, np.int32)
+        if f == 0:
+            out[y] = row
+        elif f == 2:
+            out[y] = row + up & 255
+        elif f == 1:
+            wide = np.zeros(-(-size // n) * n, np.int32)
+            wide[:size] = row
+            out[y] = np.cumsum(wide.reshape(-1, n), axis=0).reshape(-1)[:size] & 255
+        elif f in (3, 4):
+            cur, above = [0] * size, up.tolist()
+            for i, x in enumerate(row.tolist()):
+                a, c = (cur[i - n], above[i - n]) if i >= n else (0, 0)
+                if f == 3:
+                    cur[i] = x + (a + above[i]) // 2 & 255
+                else:
+                    p = a + above[i] - c
+                    pa, pb, pc = abs(p - a), abs(p - above[i]), abs(p - c)
+                    cur[i] = x + (a if pa <= pb and pa <= pc else above[i] if pb <= pc else c) & 255
+            out[y] = cur
+        else:
+            raise ValueError(f"filter {f}")
+    return out
+
+
+def _samples(data: np.ndarray, w: int, h: int, n: int, depth: int, indexed: bool) -> tuple[np.ndarray, int]:
+    """h x w x n samples of eight bits from the packed rows of one pass, and the bytes used."""
+    stride = -(-w * n * depth // 8)
+    used = h * (stride + 1)
+    rows = _unfiltered(data[:used].reshape(h, stride + 1), max(1, n * depth // 8))
+    if depth == 16:
+        rows = rows[:, ::2]  # the high byte
+    elif depth < 8:
+        bits = np.unpackbits(rows, axis=1).reshape(h, -1, depth)
+        rows = bits @ (1 << np.arange(depth)[::-1])
+        rows = (rows if indexed else rows * 255 // ((1 << depth) - 1)).astype(np.uint8)
+    return rows[:, : w * n].reshape(h, w, n), used
+
+
 def decode_png(b: bytes):
     w, h, depth, kind, _, _, lace = struct.unpack_from(">IIBBBBB", b, 16)
-    if depth != 8 or lace:
-        raise ValueError("only eight bits a sample, not interlaced")
+    if kind not in (0, 2, 3, 4, 6) or depth not in (1, 2, 4, 8, 16):
+        raise ValueError("no such kind of pixels")
     n = {0: 1, 2: 3, 3: 1, 4: 2, 6: 4}[kind]
     data, palette, at = b"", None, 8
     while at + 8 <= len(b):
@@ -109,30 +158,16 @@ def decode_png(b: bytes):
             p = np.frombuffer(b[at + 8 : at + 8 + size], np.uint8).reshape(-1, 3).astype(np.int64)
             palette = [int(x) - (1 << 32) for x in (0xFF000000 | p[:, 0] << 16 | p[:, 1] << 8 | p[:, 2])]
         at += 12 + size
-    raw = np.frombuffer(zlib.decompress(data), np.uint8).reshape(h, 1 + w * n)
-    out = np.zeros((h, w * n), np.uint8)
-    for y in range(h):
-        f, row = raw[y, 0], raw[y, 1:].astype(np.int32)
-        up = out[y - 1].astype(np.int32) if y else np.zeros(w * n, np.int32)
-        if f == 0:
-            out[y] = row
-        elif f == 2:
-            out[y] = row + up & 255
-        elif f == 1:
-            out[y] = np.cumsum(row.reshape(w, n), axis=0).reshape(-1) & 255
-        else:
-            cur = np.zeros(w * n, np.int32)
-            for i in range(w * n):
-                a = cur[i - n] if i >= n else 0
-                c = up[i - n] if i >= n else 0
-                if f == 3:
-                    cur[i] = row[i] + (a + up[i]) // 2 & 255
-                else:
-                    p = a + up[i] - c
-                    pa, pb, pc = abs(p - a), abs(p - up[i]), abs(p - c)
-                    cur[i] = row[i] + (a if pa <= pb and pa <= pc else up[i] if pb <= pc else c) & 255
-            out[y] = cur
-    px = out.reshape(h, w, n)
+    raw = np.frombuffer(zlib.decompress(data), np.uint8)
+    if lace:
+        px, at = np.zeros((h, w, n), np.uint8), 0
+        for x, y, right, down in _PASSES:
+            pw, ph = max(0, -(-(w - x) // right)), max(0, -(-(h - y) // down))
+            if pw and ph:
+                px[y::down, x::right], used = _samples(raw[at:], pw, ph, n, depth, kind == 3)
+                at += used
+    else:
+        px, _ = _samples(raw, w, h, n, depth, kind == 3)
     if kind == 2:
         return "bgr24", px[:, :, ::-1], palette
     if kind == 6:

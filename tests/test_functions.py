@@ -230,3 +230,41 @@ def test_joins_of_wide_intervals(spark):
     sized = layout.strict_lead_size(x.select("i", "k", "s").withColumn("end", F.lit(9999).cast("long")), ["k"], "s", "end")
     starts = sorted({v[2] for v in a})
     assert {(v["i"], v["size"]) for v in sized.collect()} == {(i, min([t for t in starts if t > s], default=9999) - s) for i, _, s, _ in a}
+
+
+def test_png_of_other_depths():
+    """Written here sample by sample: 1, 2, 4 and 16 bits, with palette, and in seven passes."""
+    chunk = lambda n, d: struct.pack(">I", len(d)) + n + d + struct.pack(">I", zlib.crc32(n + d))
+
+    def png(w, h, depth, kind, rows, lace=0, extra=b""):
+        return b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", struct.pack(">IIBBBBB", w, h, depth, kind, 0, 0, lace)) + extra + chunk(b"IDAT", zlib.compress(rows)) + chunk(b"IEND", b"")
+
+    def packed(values, depth):
+        bits = "".join(f"{v:0{depth}b}" for v in values)
+        bits += "0" * (-len(bits) % 8)
+        return int(bits, 2).to_bytes(len(bits) // 8, "big")
+
+    r = random.Random(5)
+    for depth in (1, 2, 4, 8, 16):
+        w, h = 11, 5
+        px = [[r.randrange(1 << depth) for _ in range(w)] for _ in range(h)]
+        kind, got, _ = media.decode_png(png(w, h, depth, 0, b"".join(b"\0" + packed(row, depth) for row in px)))
+        want = [[v >> 8 if depth == 16 else v * 255 // ((1 << depth) - 1) for v in row] for row in px]
+        assert kind == "gray8" and got[:, :, 0].tolist() == want, depth
+        passes = ((0, 0, 8, 8), (4, 0, 8, 8), (0, 4, 4, 8), (2, 0, 4, 4), (0, 2, 2, 4), (1, 0, 2, 2), (0, 1, 1, 2))
+        laced = b"".join(b"\0" + packed(px[y][x0::dx], depth) for x0, y0, dx, dy in passes if x0 < w for y in range(y0, h, dy))
+        assert media.decode_png(png(w, h, depth, 0, laced, 1))[1][:, :, 0].tolist() == want, depth
+    px = [[r.randrange(4) for _ in range(7)] for _ in range(3)]
+    plte = chunk(b"PLTE", bytes([1, 2, 3, 4, 5, 6, 7, 8, 9, 10, 11, 12]))
+    kind, got, palette = media.decode_png(png(7, 3, 2, 3, b"".join(b"\0" + packed(row, 2) for row in px), 0, plte))
+    assert kind == "indexed8" and got[:, :, 0].tolist() == px and palette[1] & 0xFFFFFF == 0x040506
+    wide = [[[r.randrange(65536) for _ in range(3)] for _ in range(4)] for _ in range(3)]
+    rows = [b"".join(struct.pack(">HHH", *v) for v in row) for row in wide]
+    filtered, before = b"", bytes(24)
+    for i, row in enumerate(rows):
+        f = i + 1
+        left = bytes(6) + row[:-6]
+        guess = [left, before, bytes((x + y) // 2 for x, y in zip(left, before))][i]
+        filtered, before = filtered + bytes([f]) + bytes((x - y) & 255 for x, y in zip(row, guess)), row
+    kind, got, _ = media.decode_png(png(4, 3, 16, 2, filtered))
+    assert kind == "bgr24" and got.tolist() == [[[v >> 8 for v in p[::-1]] for p in row] for row in wide]
