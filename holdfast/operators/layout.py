@@ -185,3 +185,35 @@ def tree_paths(spark, nodes: DataFrame, sep: str = "/") -> DataFrame:
               SELECT n.id, concat(t.path, '{sep}', n.name), t.depth + 1 FROM holdfast_tree_nodes n JOIN t ON n.parent = t.id)
             SELECT id, path, depth FROM t"""
     )
+
+
+def history(events: DataFrame, container: list[str], order: list[str], action: str, state: str, limit: int = 50) -> DataFrame:
+    """container, events in order with the state after each, and how many steps back and forward there are then.
+
+    action is 'visit' (to `state`), 'undo' or 'redo'. A visit puts the state
+    before it on the way back, of which the last `limit` stay, and forgets the
+    way forward; undo and redo without a way leave all as it was. One session
+    is a container: its events are folded in order, as each depends on all
+    before it.
+    """
+    kind = dict(events.dtypes)[state]
+    start = F.struct(
+        F.array().cast(f"array<{kind}>").alias("back"), F.array().cast(f"array<{kind}>").alias("ahead"), F.lit(None).cast(kind).alias("now"),
+        F.lit(False).alias("any"), F.array().cast(f"array<struct<action: string, now: {kind}, n_back: int, n_ahead: int>>").alias("out"),
+    )
+
+    def step(s: Column, e: Column) -> Column:
+        none = F.array().cast(f"array<{kind}>")
+        undo, redo = (e.action == "undo") & (F.size(s.back) > 0), (e.action == "redo") & (F.size(s.ahead) > 0)
+        visit = e.action == "visit"
+        longer = F.when(s.any, F.concat(s.back, F.array(s.now))).otherwise(s.back)
+        longer = F.slice(longer, F.greatest(F.size(longer) - limit + 1, F.lit(1)), F.lit(limit))
+        back = F.when(visit, longer).when(undo, F.slice(s.back, F.lit(1), F.size(s.back) - 1)).when(redo, F.concat(s.back, F.array(s.now))).otherwise(s.back)
+        ahead = F.when(visit, none).when(undo, F.concat(s.ahead, F.array(s.now))).when(redo, F.slice(s.ahead, F.lit(1), F.size(s.ahead) - 1)).otherwise(s.ahead)
+        now = F.when(visit, e.state).when(undo, F.element_at(s.back, -1)).when(redo, F.element_at(s.ahead, -1)).otherwise(s.now)
+        row = F.struct(e.action.alias("action"), now.alias("now"), F.size(back).alias("n_back"), F.size(ahead).alias("n_ahead"))
+        return F.struct(back.alias("back"), ahead.alias("ahead"), now.alias("now"), (s.any | visit).alias("any"), F.concat(s.out, F.array(row)).alias("out"))
+
+    rows = events.select(*container, F.struct(*order, F.col(action).alias("action"), F.col(state).alias("state")).alias("e_"))
+    folded = rows.groupBy(*container).agg(F.sort_array(F.collect_list("e_")).alias("e_"))
+    return folded.select(*container, F.posexplode(F.aggregate("e_", start, step, lambda s: s.out)).alias("step", "r_")).select(*container, "step", "r_.*")

@@ -231,6 +231,71 @@ def extract(members: DataFrame, destination: str, on_exists: str = "skip") -> Da
     return rows.select("name", "target", "data", "why").mapInArrow(run, "name string, target string, status string")
 
 
+def _on_files(rows: DataFrame, columns: list[str], act) -> DataFrame:
+    """columns and status of each row, after act(file system, row) on the file in its first column."""
+    schema = pa.schema([(c, pa.string()) for c in [*columns, "status"]])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyarrow import fs
+
+        for b in batches:
+            out = []
+            for r in b.to_pylist():
+                try:
+                    place = r[columns[0]]
+                    system, at = fs.FileSystem.from_uri(place) if "://" in place or place.startswith("file:") else (fs.LocalFileSystem(), place)
+                    status = act(fs, system, at, r)
+                except Exception as e:  # noqa: BLE001  reported with its row
+                    status = f"error: {type(e).__name__}: {e}"
+                out.append({**r, "status": status})
+            yield pa.RecordBatch.from_pylist(out, schema=schema)
+
+    return rows.select(*columns).mapInArrow(run, ", ".join(f"`{c}` string" for c in [*columns, "status"]))
+
+
+def delete_files(rows: DataFrame) -> DataFrame:
+    """path, status ('deleted', 'missing', 'error: ...') of each file of rows (path); folders stay.
+
+    A task that runs twice finds its files gone: 'missing' is no error.
+    """
+
+    def act(fs, system, at, r):
+        kind = system.get_file_info(at).type
+        if kind == fs.FileType.NotFound:
+            return "missing"
+        if kind != fs.FileType.File:
+            raise IsADirectoryError(at)
+        system.delete_file(at)
+        return "deleted"
+
+    return _on_files(rows, ["path"], act)
+
+
+def rename_files(rows: DataFrame) -> DataFrame:
+    """path, name, status ('renamed', 'same', 'error: ...') for rows (path, name: the new name in the same folder).
+
+    A name that is there already is an error, and so is one with a folder in it.
+    """
+
+    def act(fs, system, at, r):
+        name = r["name"]
+        if not name or "/" in name or "\\" in name or name in (".", ".."):
+            raise ValueError("no file name")
+        folder, _, old = at.rpartition("/")
+        target = f"{folder}/{name}" if folder else name
+        if name == old:
+            return "same"
+        there, done = (system.get_file_info(x).type != fs.FileType.NotFound for x in (at, target))
+        if not there and done:
+            return "renamed"  # by an earlier run of the same task
+        if done:
+            raise FileExistsError(target)
+        system.move(at, target)
+        return "renamed"
+
+    return _on_files(rows, ["path", "name"], act)
+
+
 def convert_images(members: DataFrame, to: str, extension: str) -> DataFrame:
     """Images of `members` (name, type, data, ...) in another format under its extension; other rows stay as they are."""
     is_image = F.col("type") == "image"

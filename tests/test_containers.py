@@ -328,3 +328,40 @@ def test_archives_by_hand(spark):
         got.setdefault(r["path"], {})[r["name"]] = r["data"] and bytes(r["data"])
     for k, (_, want) in cases.items():
         assert got.get(k) == want, (k, got.get(k), [r["error"] for r in listed.collect() if r["path"] == k])
+
+
+def test_files_deleted_and_renamed(spark, tmp_path):
+    for n in ("a", "b", "c", "d"):
+        (tmp_path / n).write_text(n)
+    (tmp_path / "folder").mkdir()
+    at = lambda n: str(tmp_path / n)
+    df = spark.createDataFrame([(at("a"),), (at("none"),), (at("folder"),), (None,)], "path string")
+    got = {r["path"]: r["status"] for r in sink.delete_files(df).collect()}
+    assert got[at("a")] == "deleted" and got[at("none")] == "missing" and got[at("folder")].startswith("error") and got[None].startswith("error")
+    df = spark.createDataFrame([(at("b"), "x"), (at("c"), "d"), (at("d"), "d"), (at("c"), "../e"), (at("gone"), "x2")], "path string, name string")
+    got = [r["status"].split(":")[0] for r in sink.rename_files(df.coalesce(1)).collect()]
+    assert got == ["renamed", "error", "same", "error", "error"]
+    assert sorted(p.name for p in tmp_path.iterdir()) == ["c", "d", "folder", "x"]
+
+
+def test_history_of_visits(spark):
+    import random
+
+    from holdfast.operators import layout
+
+    r, events, want = random.Random(2), [], {}
+    for user in range(3):
+        back, ahead, now, seen = [], [], None, False
+        for i in range(60):
+            act = r.choice(["visit", "visit", "undo", "redo"])
+            events.append((user, i, act, f"s{i}"))
+            if act == "visit":
+                back, ahead, now, seen = (back + [now] if seen else back)[-5:], [], f"s{i}", True
+            elif act == "undo" and back:
+                ahead, now, back = [*ahead, now], back[-1], back[:-1]
+            elif act == "redo" and ahead:
+                back, now, ahead = [*back, now], ahead[-1], ahead[:-1]
+            want[user, i] = (act, now, len(back), len(ahead))
+    df = spark.createDataFrame(r.sample(events, len(events)), "u int, i int, act string, s string")
+    got = {(x["u"], x["step"]): (x["action"], x["now"], x["n_back"], x["n_ahead"]) for x in layout.history(df, ["u"], ["i"], "act", "s", 5).collect()}
+    assert got == want
