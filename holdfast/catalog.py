@@ -64,6 +64,19 @@ def register(*formats: Format) -> None:
     _REGISTRY.update({f.tag: f for f in formats})
 
 
+def discover(group: str = "holdfast.formats") -> list[str]:
+    """Imports the plug-ins that installed packages name under `group` (each registers its formats); those that fail are returned."""
+    from importlib.metadata import entry_points
+
+    failed = []
+    for point in entry_points(group=group):
+        try:
+            point.load()
+        except Exception as e:  # noqa: BLE001  one bad plug-in must not hide the others
+            failed.append(f"{point.name}: {type(e).__name__}: {e}")
+    return failed
+
+
 register(
     Format("PNG", "image", "Portable Network Graphics", [magic(b"\x89PNG")], ["png"], True, 100),
     Format("BMP", "image", "Windows bitmap", [], ["bmp"], True, 10),

@@ -365,3 +365,31 @@ def test_history_of_visits(spark):
     df = spark.createDataFrame(r.sample(events, len(events)), "u int, i int, act string, s string")
     got = {(x["u"], x["step"]): (x["action"], x["now"], x["n_back"], x["n_ahead"]) for x in layout.history(df, ["u"], ["i"], "act", "s", 5).collect()}
     assert got == want
+
+
+def test_command_line(spark, tmp_path, capsys):
+    from holdfast.__main__ import main
+
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "a.zip").write_bytes(sink.build_zip([("x.txt", b"text"), ("y/z.txt", b"more")]))
+    assert main(["list", str(tmp_path / "in")]) == 0
+    out = capsys.readouterr().out.splitlines()
+    assert [line.split()[1:] for line in out] == [["6", "x.txt"], ["6", "y/z.txt"]]
+    assert main(["extract", str(tmp_path / "in"), str(tmp_path / "out")]) == 0
+    assert capsys.readouterr().out == "written: 2\n"
+    assert (tmp_path / "out" / "y" / "z.txt").read_bytes() == b"more"
+    assert main(["formats"]) == 0 and " ZIP " in capsys.readouterr().out
+
+
+def test_plug_ins_are_found(tmp_path, monkeypatch):
+    from holdfast import catalog
+
+    (tmp_path / "extra_format.py").write_text("from holdfast import catalog\ncatalog.register(catalog.Format('EXTRA', 'archive', 'From a plug-in', [1], ['extra']))\n")
+    info = tmp_path / "extra-1.0.dist-info"
+    info.mkdir()
+    (info / "METADATA").write_text("Metadata-Version: 2.1\nName: extra\nVersion: 1.0\n")
+    (info / "entry_points.txt").write_text("[holdfast.formats]\nextra = extra_format\nbroken = no_such_module\n")
+    monkeypatch.syspath_prepend(str(tmp_path))
+    monkeypatch.setattr(catalog, "_REGISTRY", dict(catalog._REGISTRY))
+    failed = catalog.discover()
+    assert "EXTRA" in catalog._REGISTRY and len(failed) == 1 and failed[0].startswith("broken")
