@@ -397,7 +397,8 @@ def links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least
             left = rarest(words, near, least)
         else:
             # buckets of up to SMALL are done, and a leader has met all of its bucket
-            left = left.filter(F.col("c") > SMALL).drop("comp", "c").join(led, ["key", "h"], "left_anti")
+            turn = F.row_number().over(Window.partitionBy("key").orderBy(F.desc("open"), F.desc("score"), "h"))
+            left = left.filter(F.col("c") > SMALL).withColumn("r", turn).filter(~F.col("open") | (F.col("r") > leaders)).drop("r", "comp", "c")
             leaders *= 16
         left = sized(left.join(named, "h", "left").withColumn("comp", F.coalesce("label", "h")).drop("label"))
     return rows.select("doc_id", "h"), tested, label
