@@ -97,8 +97,8 @@ def estimate(patterns: list[tuple[tuple[int, ...], int]], rounds: int = ROUNDS)
     and counts the rates again; PRIOR of the first counts is mixed in, and a
     rule may not call good documents bad more often than bad ones, so the
     classes cannot change places. False alarms are counted like all else: a
-    rule whose bad votes others back (each kind of junk has two witnesses at
-    least among rules()) ends with few, one that mostly stands alone with many,
+    rule whose bad votes others back (symbol junk has two witnesses among
+    rules(); repeats may stand alone, and the base rules take them) ends with few, one that mostly stands alone with many,
     and its lone vote is outvoted. A document that no rule calls bad counts as
     good to CLEAN at least in each round: the bad class holds several kinds of
     junk, expects several bad votes, and would else fill up with documents that
