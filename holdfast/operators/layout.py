@@ -11,6 +11,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from holdfast.operators import staging
+
 #: fixed values of the data model
 MAX_MEMBERS = 0x40000
 MAX_SIZE = 0xFFFFFFFF
@@ -176,15 +178,35 @@ def group_directories(entries: DataFrame, container: list[str], ext: str, order:
 
 
 def tree_paths(spark, nodes: DataFrame, sep: str = "/") -> DataFrame:
-    """path and depth of each node (id, parent, name) of a tree: a recursive query from the roots."""
-    nodes.createOrReplaceTempView("holdfast_tree_nodes")
-    return spark.sql(
-        f"""WITH RECURSIVE t(id, path, depth) AS (
-              SELECT id, name, 0 FROM holdfast_tree_nodes WHERE parent IS NULL
-              UNION ALL
-              SELECT n.id, concat(t.path, '{sep}', n.name), t.depth + 1 FROM holdfast_tree_nodes n JOIN t ON n.parent = t.id)
-            SELECT id, path, depth FROM t"""
-    )
+    """path and depth of each node (id, parent, name) of a tree: a recursive query from the roots.
+
+    Each level is the join of the nodes with the level above, and is staged, until one is empty. Spark's own recursive
+    query ends with an error at a million rows or 100 levels by default; here neither is bounded. As in SQL a node whose parent is
+    missing, or that no root leads to, has no row, and repeated ids have a row for each way from a root. Only a circle
+    with a repeated id can be met from a root: its ways do not end, so it is an error. The levels are worked out when
+    this is called.
+    """
+    at = staging.folder(spark, "tree")
+    rows = staging.stage(nodes.select("id", "parent", "name"), f"{at}/nodes")
+    again = rows.filter("id IS NOT NULL").groupBy("id").count().filter("count > 1").select("id", F.lit(True).alias("again_"))
+    again = staging.stage(again, f"{at}/again")
+    rows = rows.withColumn("again_", F.lit(False)) if again.isEmpty() else rows.join(again, "id", "left").fillna(False, "again_")
+
+    # seen_: the repeated ids on the way
+    none, own = F.array().cast(f"array<{dict(rows.dtypes)['id']}>"), F.array("id")
+    roots = rows.filter("parent IS NULL")
+    level = roots.select("id", F.col("name").alias("path"), F.lit(0).alias("depth"), F.when(F.col("again_"), own).otherwise(none).alias("seen_"))
+    paths = [f"{at}/level-0"]
+    level = staging.stage(level, paths[0])
+    while not level.isEmpty():
+        above = level.select(F.col("id").alias("parent"), F.col("path").alias("above_"), F.col("seen_").alias("met_"))
+        circle = F.raise_error(F.lit("tree_paths: a circle of nodes can be reached from a root, since ids are repeated"))
+        seen = F.when(~F.col("again_"), F.col("met_")).when(F.array_contains("met_", F.col("id")), circle).otherwise(F.concat("met_", own))
+        below = rows.join(above, "parent")
+        below = below.select("id", F.concat("above_", F.lit(sep), "name").alias("path"), F.lit(len(paths)).alias("depth"), seen.alias("seen_"))
+        paths.append(f"{at}/level-{len(paths)}")
+        level = staging.stage(below, paths[-1])
+    return spark.read.schema(level.schema).parquet(*paths).select("id", "path", "depth")
 
 
 def history(events: DataFrame, container: list[str], order: list[str], action: str, state: str, limit: int = 50) -> DataFrame:
